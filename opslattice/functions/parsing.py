@@ -18,7 +18,10 @@ RACK_PATTERN = r"\bR\d{2}\b"
 REREPLICATION_TEMPLATE = "E16"
 EXCEPTION_TEMPLATES = ["E7", "E10", "E14", "E27", "E8", "E13"]
 PRIVATE_PREFIXES = ["192.168.", "10.", "172.16."]
-PRIVATE_RANGES = [("10.0.0.0", 8), ("172.16.0.0", 12), ("192.168.0.0", 16), ("100.64.0.0", 10)]
+IPV4_PATTERN = r"^((25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.|$)){4}(?<!\.)$"
+IPV6_PATTERN = r"^[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*$"
+# 10.0.0.0/8, 172.16.0.0/12, 192.168.0.0/16 and 100.64.0.0/10 on valid addresses
+PRIVATE_PATTERN = r"^(10\.|172\.(1[6-9]|2\d|3[01])\.|192\.168\.|100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.)"
 PROTOCOL_NAMES = {"6": "tcp", "17": "udp", "1": "icmp"}
 EPHEMERAL_PORT = 32768
 OPEN_RANGES = ["0.0.0.0/0", "::/0"]
@@ -105,37 +108,19 @@ def is_external_prefix(ip: Column) -> Column:
     return ~inside
 
 
-def _ipv4_number(ip: Column) -> Column:
-    octet = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-    valid = ip.rlike(rf"^{octet}\.{octet}\.{octet}\.{octet}$")
-    parts = F.split(ip, r"\.")
-    number = F.lit(0).cast("bigint")
-    for i in range(4):
-        number = number * 256 + F.try_element_at(parts, F.lit(i + 1)).try_cast("bigint")
-    return F.when(valid, number)
-
-
 def is_external_cidr(ip: Column) -> Column:
     """Outside the private ranges; an address that cannot be parsed is not external."""
-    number = _ipv4_number(ip)
-    inside = F.lit(False)
-    for base, bits in PRIVATE_RANGES:
-        start = 0
-        for octet in base.split("."):
-            start = start * 256 + int(octet)
-        inside = inside | number.between(start, start + 2 ** (32 - bits) - 1)
-    ipv6 = ip.rlike(r"^[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*$")
-    return F.when(number.isNotNull(), ~inside).otherwise(F.coalesce(ipv6, F.lit(False)))
+    return F.coalesce((ip.rlike(IPV4_PATTERN) & ~ip.rlike(PRIVATE_PATTERN)) | ip.rlike(IPV6_PATTERN), F.lit(False))
 
 
 def parse_flow_record(df: DataFrame, line: str, *keep: str) -> DataFrame:
     """Space-separated flow record; short lines and records without a source are dropped."""
-    f = F.col("_f")
+    f = [F.get(F.col("_f"), F.lit(i)) for i in range(11)]
     names = F.create_map(*[F.lit(x) for pair in PROTOCOL_NAMES.items() for x in pair])
     digits = F.when(f[6].rlike(r"^\d+$"), f[6].cast("int"))
     return (
         df.withColumn("_f", F.split(F.trim(F.col(line)), r"\s+"))
-        .filter((F.size("_f") >= 12) & (F.get(F.col("_f"), F.lit(3)) != "-"))
+        .filter((F.size("_f") >= 12) & (f[3] != "-"))
         .select(
             *keep,
             f[0].cast("bigint").alias("start_s"), f[1].cast("bigint").alias("end_s"), f[2].alias("eni"),

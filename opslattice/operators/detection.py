@@ -538,3 +538,22 @@ def recall_by_reputation(test: DataFrame, alerts: DataFrame, is_reputation: Colu
         F.avg(F.when(rep, F.col("flag").cast("int"))).alias("recall_reputation"),
         F.avg(F.when(~rep, F.col("flag").cast("int"))).alias("recall_behavioural"),
     )
+
+
+def next_event_detector(listed: DataFrame, parts: DataFrame, key: str, event_key: str, event: str,
+                        lengths: tuple[int, ...] = (3, 2, 1, 0), max_g: int = 12) -> DataFrame:
+    """Train on normal 'fit' keys, choose g by F1 on 'validation', flag 'test' keys with rank >= g.
+
+    `listed` carries a `history` column, `parts` one (key, part, y) row per key.
+    """
+    normal = parts.filter((F.col("part") == "fit") & ~F.col("y")).select(key)
+    train = listed.join(normal, key, "left_semi")
+    scores = next_event_scores(train, listed, key, event_key, event, lengths).join(parts.select(key, "part", "y"), key)
+    vocabulary = train.select(event).distinct().count()
+    grid = [float(g) for g in range(1, max(2, min(vocabulary + 1, max_g)))]
+    curve = threshold_curve(scores.filter(F.col("part") == "validation"), F.col("y"), F.col("max_rank"), grid)
+    g = best_threshold(curve).first()["threshold"]
+    clipped = F.greatest(F.least(F.col("min_p"), F.lit(1.0)), F.lit(1e-12))
+    return scores.filter(F.col("part") == "test").select(
+        key, "y", "max_rank", (F.col("max_rank") >= g).alias("flag"), (-F.log(clipped)).alias("score"),
+        F.lit(int(g)).alias("g"))

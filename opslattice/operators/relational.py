@@ -127,12 +127,16 @@ def union_distinct(*columns: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, columns).distinct()
 
 
-def set_algebra(expected: Column, found: Column) -> list[Column]:
-    return [
-        F.size(F.array_intersect(expected, found)).alias("common"),
-        (F.size(F.array_except(expected, found)) == 0).alias("subset"),
-        ((F.size(F.array_except(expected, found)) == 0) & (F.size(F.array_except(found, expected)) == 0)).alias("equal"),
-    ]
+def set_algebra(memberships: DataFrame, key: str, member: str, a: str, b: str) -> DataFrame:
+    """Per key: |A n B|, A subset of B, A = B, from rows with boolean columns a and b.
+
+    Works on counts of distinct members, so no set is ever held in one place.
+    """
+    flags = memberships.groupBy(key, member).agg(F.max(a).alias("_a"), F.max(b).alias("_b"))
+    only_a, only_b = F.count_if(F.col("_a") & ~F.col("_b")), F.count_if(F.col("_b") & ~F.col("_a"))
+    return flags.groupBy(key).agg(
+        F.count_if(F.col("_a") & F.col("_b")).alias("common"), (only_a == 0).alias("subset"),
+        ((only_a == 0) & (only_b == 0)).alias("equal"))
 
 
 def partition_difference(a: DataFrame, b: DataFrame, member: str, group: str) -> DataFrame:

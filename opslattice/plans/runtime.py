@@ -30,6 +30,7 @@ def local_session(cores: str = "*", app: str = "opslattice", shuffle_partitions:
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("OPSLATTICE_DRIVER_MEMORY", "12g"))
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")

@@ -40,8 +40,15 @@ def run_available(stream: DataFrame, folder: str, mode: str) -> None:
     query.awaitTermination()
 
 
+def last_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """The result of a complete-mode job: the rows of its last batch."""
+    rows = spark.read.parquet(f"{folder}/out")
+    newest = rows.agg(F.max("batch").alias("batch"))
+    return rows.join(F.broadcast(newest), "batch").drop("batch")  # one row
+
+
 def latest(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
-    """The newest version of every result row in update or complete mode."""
+    """The result of an update-mode job: the newest version of every row."""
     rows = spark.read.parquet(f"{folder}/out")
     newest = Window.partitionBy(*keys).orderBy(F.desc("batch"))
     return rows.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") == 1).drop("_r", "batch")
