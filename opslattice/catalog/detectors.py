@@ -14,11 +14,14 @@ from opslattice.operators import detection as D
 from opslattice.operators import metrics as M
 from opslattice.operators import relational as R
 from opslattice.operators.metrics import chrono_split
+from opslattice.plans.runtime import durable
 from opslattice.plans.skew import history
 
 
 def vectors(t: Tables):
-    return count_vectors(t).join(split_blocks(t).select("block_id", "block_no", "is_anomaly", "split"), "block_id")
+    """Count vectors with label and split, written once because every detector reads them several times."""
+    split = split_blocks(t).select("block_id", "block_no", "is_anomaly", "split")
+    return durable(count_vectors(t).join(split, "block_id"))
 
 
 @query("d1_rule_detector", f"SELECT block_id, CAST(E7 AS DOUBLE) AS score, E7 > 0 AS flag FROM ({VECTORS}) WHERE split = 'test'")
@@ -173,7 +176,7 @@ def _(t):
 @query("d10_next_event_detector")
 def _(t):
     listed, split = rare_sequences(t), session_split(t)
-    cut = M.split_point(split.filter("split = 'train'"), "first_ts", "session", int(split.filter("split = 'train'").count() * 0.8))
+    cut = M.split_point(split.filter("split = 'train'"), "first_ts", "session", lambda n: int(n * 0.8))
     parts = split.withColumn("part", F.when(F.col("split") == "test", "test").when(
         M.before_split(F.col("first_ts"), F.col("session"), cut), "fit").otherwise("validation"))
     return D.next_event_detector(listed, parts, "session", "line", "template")

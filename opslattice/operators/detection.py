@@ -53,29 +53,22 @@ def fit_pca(train: DataFrame, columns: list[str], keep: float = 0.95) -> dict:
     values, vectors = np.clip(values[order], 0, None), vectors[:, order]
     share = np.cumsum(values) / max(values.sum(), 1e-300)
     k = min(int(np.searchsorted(share, keep, side="right")) + 1, d)
-    return {"columns": columns, "mean": mean.tolist(), "scale": scale.tolist(),
-            "components": vectors[:, :k].T.tolist()}
+    return {"columns": columns, "mean": mean.tolist(), "scale": scale.tolist(), "n_components": k,
+            "components": vectors[:, :k].T.tolist(), "discarded": vectors[:, k:].T.tolist()}
 
 
 def pca_residual(model: dict) -> Column:
-    """Squared reconstruction error as a plain expression: |z|^2 - |Vz|^2 written per column."""
-    z = [(F.col(c).cast("double") - m) / s for c, m, s in zip(model["columns"], model["mean"], model["scale"])]
-    vec = F.array(*z)
+    """Squared reconstruction error: the squared length along the discarded directions.
 
-    def dot(v: Column, weights: list[float]) -> Column:
-        return reduce(lambda a, b: a + b, [v[i] * float(w) for i, w in enumerate(weights)])
-
-    def residual(v: Column) -> Column:
-        proj = [dot(v, w) for w in model["components"]]
-        total = F.lit(0.0)
-        for i in range(len(z)):
-            back = F.lit(0.0)
-            for p, w in zip(proj, model["components"]):
-                back = back + p * float(w[i])
-            total = total + (v[i] - back) * (v[i] - back)
-        return total
-
-    return F.transform(F.array(vec), residual)[0]
+    Scaling is folded into the weights, so the residual is plain arithmetic on the columns.
+    """
+    total = F.lit(0.0)
+    for direction in model["discarded"]:
+        weights = [w / s for w, s in zip(direction, model["scale"])]
+        offset = sum(w * m for w, m in zip(weights, model["mean"]))
+        along = reduce(lambda a, b: a + b, [F.col(c) * w for c, w in zip(model["columns"], weights)]) - offset
+        total = total + F.pow(along, F.lit(2.0))
+    return total
 
 
 def train_idf(train: DataFrame, columns: list[str]) -> list[float]:
@@ -500,9 +493,8 @@ def logistic_triage(train: DataFrame, rows: DataFrame, label: str) -> DataFrame:
 
 def boosted_triage(features: DataFrame, ts: str, key: str, label: str, rounds: int = 300) -> DataFrame:
     """Boosted trees on the first 70 %; operating threshold from the last 20 % of train."""
-    n = features.count()
-    cut = int(n * 0.7)
-    train_end, fit_end = split_point(features, ts, key, cut), split_point(features, ts, key, int(cut * 0.8))
+    train_end = split_point(features, ts, key, lambda n: int(n * 0.7))
+    fit_end = split_point(features, ts, key, lambda n: int(int(n * 0.7) * 0.8))
     is_train = before_split(F.col(ts), F.col(key), train_end)
     is_fit = before_split(F.col(ts), F.col(key), fit_end)
     columns = [c for c in FLOW_FEATURES]

@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opslattice.functions.parsing import micros
 from opslattice.functions.statistics import precision_recall_f1, ratio
 from opslattice.operators.sessions import one_row
-from opslattice.plans.ranks import exact_percentile, kth_smallest, running_totals
+from opslattice.plans.ranks import exact_percentile, kth_smallest, order_values, running_totals
 
 
-def split_point(df: DataFrame, ts: str, key: str, n_first: int) -> tuple[int, int] | None:
-    """(time in micros, key) of the last of the first n_first rows ordered by (ts, key)."""
-    if n_first <= 0:
-        return None
+def split_point(df: DataFrame, ts: str, key: str, n_first: Callable[[int], int]) -> tuple[int, int] | None:
+    """(time in micros, key) of the last of the first n_first(n) rows ordered by (ts, key)."""
     timed = df.select(micros(F.col(ts)).alias("_t"), F.col(key).alias("_k"))
-    at = kth_smallest(timed, "_t", n_first - 1)
-    ties = timed.filter(F.col("_t") == at.value)
-    last = kth_smallest(ties, "_k", n_first - at.below - 1)
+    n, found = order_values(timed, "_t", lambda n: [n_first(n) - 1] if n_first(n) > 0 else [])
+    if not found:
+        return None
+    at = found[0]
+    last = kth_smallest(timed.filter(F.col("_t") == at.value), "_k", n_first(n) - at.below - 1)
     return at.value, last.value
 
 
@@ -34,8 +36,7 @@ def chrono_split(df: DataFrame, ts: str, key: str, frac: float = 0.7) -> DataFra
 
     The cut is found by selection, so the split itself is a filter: no sort, no shuffle.
     """
-    n = df.count()
-    first = before_split(F.col(ts), F.col(key), split_point(df, ts, key, int(n * frac)))
+    first = before_split(F.col(ts), F.col(key), split_point(df, ts, key, lambda n: int(n * frac)))
     return df.withColumn("split", F.when(first, "train").otherwise("test"))
 
 
@@ -119,10 +120,11 @@ def percentile_threshold(df: DataFrame, column: str, p: float = 0.96) -> DataFra
 
 def latency_percentiles(df: DataFrame, column: str) -> DataFrame:
     """Median, and the value at rank floor(0.95 n) (1-based); empty and zero latencies are dropped."""
-    kept = df.filter(F.col(column).isNotNull() & (F.col(column) != 0))
-    n = kept.count()
-    p50 = exact_percentile(kept, column, 0.5)
-    p95 = float(kth_smallest(kept, column, max(int(0.95 * n) - 1, 0)).value) if n else None
+    kept = df.filter(F.col(column) != 0)
+    n, ranks = order_values(
+        kept, column, lambda n: [(n - 1) // 2, n // 2, max(int(0.95 * n) - 1, 0)] if n else [])
+    p50 = (float(ranks[0].value) + float(ranks[1].value)) / 2 if n else None
+    p95 = float(ranks[2].value) if n else None
     return df.sparkSession.createDataFrame([(n, p50, p95)], "n bigint, p50 double, p95 double")
 
 

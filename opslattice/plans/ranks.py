@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import NamedTuple
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,53 +30,70 @@ def _bucketed(df: DataFrame, column: str, splits: list[float]) -> DataFrame:
     return Bucketizer(splits=edges, inputCol=column, outputCol="_bucket", handleInvalid="keep").transform(df)
 
 
-def kth_smallest(df: DataFrame, column: str, k: int, small: int = SMALL, splits: int = SPLITS) -> Ranked:
-    """The value at 0-based rank k.
+def order_values(
+    df: DataFrame, column: str, pick: Callable[[int], list[int]], small: int = SMALL, splits: int = SPLITS
+) -> tuple[int, list[Ranked]]:
+    """(n, values at the 0-based ranks pick(n)) of a column without its nulls.
 
     Copies collapse into (value, count). While too many distinct values remain, they
-    are counted per bucket and the search goes on in the bucket that holds rank k, so
+    are counted per bucket and the search goes on in the bucket that holds the rank, so
     no task ever sorts more than `small` values. Only counters reach the driver.
     """
     hist = (
         df.select(F.col(column).alias("v")).filter(F.col("v").isNotNull())
         .groupBy("v").agg(F.count(F.lit(1)).alias("n")).withColumn("x", F.col("v").cast("double"))
+        .persist(StorageLevel.MEMORY_AND_DISK)
     )
+    try:
+        size = hist.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("d")).first()
+        ranks = pick(size["n"])
+        if any(r < 0 or r >= size["n"] for r in ranks):
+            raise ValueError(f"rank outside the {size['n']} values of {column}")
+        if size["d"] <= small:
+            return size["n"], _ranked(hist, ranks, 0)
+        return size["n"], [_search(hist, r, small, splits) for r in ranks]
+    finally:
+        hist.unpersist()
+
+
+def _ranked(hist: DataFrame, ranks: list[int], below: int) -> list[Ranked]:
+    """Values at the given ranks of a small histogram that starts at rank `below`."""
+    running = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    table = hist.withColumn("upto", running)
+    wanted = [F.min(F.when(F.col("upto") > r - below, F.struct("v", "upto", "n"))).alias(f"r{i}") for i, r in enumerate(ranks)]
+    row = table.agg(F.count(F.lit(1)), *wanted).first()
+    found = [row[f"r{i}"] for i in range(len(ranks))]
+    return [Ranked(f["v"], below + f["upto"] - f["n"]) for f in found]
+
+
+def _search(hist: DataFrame, rank: int, small: int, splits: int) -> Ranked:
     below = 0
     while hist.limit(small + 1).count() > small:
         points = _split_points(hist, "x", splits)
+        if len(points) < 2:
+            raise ValueError(f"more than {small} values share one double")
         counts = _bucketed(hist, "x", points).groupBy("_bucket").agg(F.sum("n").alias("n")).collect()
-        sizes = {int(r["_bucket"]): r["n"] for r in counts}
+        sizes = {int(r["_bucket"]): r["n"] for r in counts}  # at most `splits` buckets
         for bucket in sorted(sizes):
-            if k < below + sizes[bucket]:
+            if rank < below + sizes[bucket]:
                 break
             below += sizes[bucket]
         edges = [-math.inf, *points, math.inf]
-        narrowed = hist.filter((F.col("x") >= edges[bucket]) & (F.col("x") < edges[bucket + 1]))
-        if len(points) < 2 and narrowed.limit(small + 1).count() > small:
-            raise ValueError(f"{column} has more than {small} values that share one double")
-        hist = narrowed
-    running = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    row = (
-        hist.withColumn("upto", running)
-        .filter(F.col("upto") > k - below)
-        .orderBy("v").limit(1).collect()
-    )
-    if not row:
-        raise ValueError(f"rank {k} is outside {column}")
-    return Ranked(row[0]["v"], below + row[0]["upto"] - row[0]["n"])
+        hist = hist.filter((F.col("x") >= edges[bucket]) & (F.col("x") < edges[bucket + 1]))
+    return _ranked(hist, [rank], below)[0]
+
+
+def kth_smallest(df: DataFrame, column: str, k: int, small: int = SMALL, splits: int = SPLITS) -> Ranked:
+    return order_values(df, column, lambda n: [k], small, splits)[1][0]
 
 
-def exact_percentile(df: DataFrame, column: str, p: float) -> float | None:
+def exact_percentile(df: DataFrame, column: str, p: float, small: int = SMALL) -> float | None:
     """Percentile with linear interpolation between the two neighbouring ranks."""
-    n = df.filter(F.col(column).isNotNull()).count()
+    n, found = order_values(df, column, lambda n: [math.floor(p * (n - 1)), math.ceil(p * (n - 1))] if n else [], small)
     if n == 0:
         return None
-    rank = p * (n - 1)
-    low = kth_smallest(df, column, math.floor(rank))
-    if rank == math.floor(rank):
-        return float(low.value)
-    high = kth_smallest(df, column, math.ceil(rank))
-    return float(low.value) + (rank - math.floor(rank)) * (float(high.value) - float(low.value))
+    low, high = float(found[0].value), float(found[1].value)
+    return low + (p * (n - 1) - math.floor(p * (n - 1))) * (high - low)
 
 
 def running_totals(hist: DataFrame, order: str, sums: list[str], descending: bool = False) -> DataFrame:
