@@ -31,11 +31,29 @@ def _(t):
     return D.rule_detector(test, columns).select("block_id", "score", "flag")
 
 
+MEASURES = [f"{m}_{c}" for c in LINE_TEMPLATES for m in ("n", "qty", "price")]
+
+
+def measure_vectors(t: Tables):
+    """Lines, quantity and price per template: correlated columns, so that few components carry most variance."""
+    lines = t.sql(MEASURED)
+    wide = lines.groupBy("block_id").pivot("event_id", LINE_TEMPLATES).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("qty").alias("qty"), F.sum("price").alias("price"))
+    named = wide.select("block_id", *[F.coalesce(F.col(f"{c}_{m}").cast("double"), F.lit(0.0)).alias(f"{m}_{c}")
+                                      for c in LINE_TEMPLATES for m in ("n", "qty", "price")])
+    return durable(named.join(split_blocks(t).select("block_id", "block_no", "is_anomaly", "split"), "block_id"))
+
+
+MEASURED = """SELECT 'blk_' || CAST(l_orderkey AS STRING) AS block_id, CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' AND l_discount >= 0.09 THEN 'E7'
+    ELSE CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'E5' WHEN 'AO' THEN 'E22' WHEN 'NF' THEN 'E26' WHEN 'NO' THEN 'E11' WHEN 'RF' THEN 'E9' ELSE 'E21' END END AS event_id,
+    CAST(l_quantity AS DECIMAL(18,2)) AS qty, CAST(l_extendedprice AS DECIMAL(18,2)) AS price FROM @lineitem"""
+
+
 @query("d2_pca_residual")
 def _(t):
-    rows = vectors(t)
+    rows = measure_vectors(t)
     train = rows.filter("split = 'train'")
-    model = D.fit_pca(train, LINE_TEMPLATES)
+    model = D.fit_pca(train, MEASURES)
     threshold = M.exact_percentile(train.withColumn("s", D.pca_residual(model)), "s", D.PERCENTILE)
     scored = rows.withColumn("score", D.pca_residual(model))
     return scored.select("block_id", "split", F.round("score", 6).alias("score"), (F.col("score") > threshold).alias("flag"))
@@ -66,10 +84,12 @@ def _(t):
 
 @query("d5_detector_protocol")
 def _(t):
-    rows = vectors(t)
+    rows = measure_vectors(t)
     train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
+    detectors = (D.RuleDetector(["n_E7"], "block_no"), D.PCAResidualDetector(MEASURES, "block_no"),
+                 D.IsolationForestDetector(MEASURES, "block_no"))
     out = None
-    for detector in (D.RuleDetector(["E7"]), D.PCAResidualDetector(LINE_TEMPLATES)):
+    for detector in detectors:
         flagged = detector.fit(train).transform(test)
         report = M.binary_metrics(flagged, "is_anomaly", "score", "flag").withColumn("detector", F.lit(detector.name))
         out = report if out is None else out.union(report)

@@ -42,6 +42,9 @@ def local_session(cores: str = "*", app: str = "opslattice", shuffle_partitions:
     return spark
 
 
+_scratch: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a scratch folder only for local masters."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -49,9 +52,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    scratch = tempfile.mkdtemp(prefix="opslattice-checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", scratch)
-    return scratch
+    app = spark.sparkContext.applicationId
+    if app not in _scratch:
+        _scratch[app] = tempfile.mkdtemp(prefix="opslattice-checkpoint-")
+    return _scratch[app]
 
 
 def durable(df: DataFrame) -> DataFrame:
