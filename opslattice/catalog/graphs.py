@@ -13,8 +13,9 @@ from opslattice.functions import parsing as P
 from opslattice.operators import graph as G
 from opslattice.operators import relational as R
 from opslattice.operators.sessions import one_row, parse_hardware_log, parse_log
+from opslattice.plans.runtime import durable
 
-STRONG = 30  # shared orders that make two suppliers neighbours; below it the test graph is complete
+# suppliers are neighbours if they share clearly more orders than usual; with all pairs the graph is complete
 
 
 @query("h1_cooccurrence_graph", f"SELECT src, dst, n, n_pos, round(1.0 / n, 9) AS weight FROM ({PAIRS})")
@@ -24,10 +25,13 @@ def _(t):
 
 
 def strong_edges(t: Tables):
-    return G.cooccurrence_edges(t("placement"), "block_no", "host", t("order_labels")).filter(F.col("n") >= STRONG)
+    edges = durable(G.cooccurrence_edges(t("placement"), "block_no", "host", t("order_labels")))
+    usual = edges.agg((F.avg("n") + 2 * F.stddev_pop("n")).alias("least"), F.lit(1).alias("_one"))
+    marked = edges.withColumn("_one", F.lit(1)).join(F.broadcast(usual), "_one")  # one row
+    return marked.filter(F.col("n") >= F.col("least")).select("src", "dst", "n", "weight")
 
 
-EDGES = f"SELECT src, dst, n, CAST(1 AS DOUBLE) / n AS weight FROM ({PAIRS}) WHERE n >= {STRONG}"
+EDGES = f"""SELECT src, dst, n, CAST(1 AS DOUBLE) / n AS weight FROM (SELECT *, avg(n) OVER () + 2 * stddev_pop(n) OVER () AS least FROM ({PAIRS})) WHERE n >= least"""
 LINKS = f"SELECT src, dst, weight FROM ({EDGES}) UNION ALL SELECT dst, src, weight FROM ({EDGES})"
 
 

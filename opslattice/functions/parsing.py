@@ -203,15 +203,19 @@ def stem(token: Column) -> Column:
     """Strip the first suffix that fits a token longer than 4 and does not follow a digit."""
     out = F
     for suffix in SUFFIXES:
-        fits = (F.length(token) > 4) & token.rlike(rf"[^0-9]{suffix}$")
+        before = F.substring(token, -len(suffix) - 1, 1)
+        fits = (F.length(token) > 4) & token.endswith(suffix) & ~before.between("0", "9")
         cut = F.substring(token, F.lit(1), F.length(token) - len(suffix))
         out = out.when(fits, cut)
     return out.otherwise(token)
 
 
+def raw_tokens(text: Column) -> Column:
+    return find_all(F.lower(text), r"[a-z0-9_.]+")
+
+
 def tokenize(text: Column, stemmed: bool = True) -> Column:
-    tokens = find_all(F.lower(text), r"[a-z0-9_.]+")
-    return F.transform(tokens, stem) if stemmed else tokens
+    return F.transform(raw_tokens(text), stem) if stemmed else raw_tokens(text)
 
 
 def words(text: Column) -> Column:
