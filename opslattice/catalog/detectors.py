@@ -18,15 +18,19 @@ from opslattice.plans.runtime import durable
 from opslattice.plans.skew import history
 
 
-def vectors(t: Tables):
-    """Count vectors with label and split, written once because every detector reads them several times."""
+def labelled_vectors(t: Tables):
     split = split_blocks(t).select("block_id", "block_no", "is_anomaly", "split")
-    return durable(count_vectors(t).join(split, "block_id"))
+    return count_vectors(t).join(split, "block_id")
+
+
+def vectors(t: Tables):
+    """Count vectors with label and split, written once because the learners read them several times."""
+    return durable(labelled_vectors(t))
 
 
 @query("d1_rule_detector", f"SELECT block_id, CAST(E7 AS DOUBLE) AS score, E7 > 0 AS flag FROM ({VECTORS}) WHERE split = 'test'")
 def _(t):
-    test = vectors(t).filter("split = 'test'")
+    test = labelled_vectors(t).filter("split = 'test'")
     columns = [c for c in P.EXCEPTION_TEMPLATES if c in LINE_TEMPLATES]
     return D.rule_detector(test, columns).select("block_id", "score", "flag")
 
@@ -143,7 +147,7 @@ def _(t):
     count(*) FILTER (WHERE y) AS positives, count(*) FILTER (WHERE y AND NOT flag AND host_risk >= threshold) AS rescued,
     count(*) FILTER (WHERE NOT y AND NOT flag AND host_risk >= threshold) AS false_added, max(threshold) AS threshold FROM s, b WHERE split = 'test'""")
 def _(t):
-    scored = risk_scores(t)
+    scored = durable(risk_scores(t))  # read for the threshold and for the report
     return D.neighbour_risk_report(scored, D.choose_risk_threshold(scored))
 
 
@@ -266,7 +270,8 @@ def _(t):
 
 @query("d14_triage_model")
 def _(t):
-    scored = D.boosted_triage(triage_features(t), "start_ts", "flow_id", "alerted", rounds=20)
+    # all rows, but fewer rounds than the default of 300, which takes minutes of scheduling on one machine
+    scored = D.boosted_triage(durable(triage_features(t)), "start_ts", "flow_id", "alerted", rounds=50)
     return scored.select("flow_id", "alerted", F.round("score", 6).alias("score"), "flag", "threshold")
 
 

@@ -119,7 +119,8 @@ def parse_flow_record(df: DataFrame, line: str, *keep: str) -> DataFrame:
     names = F.create_map(*[F.lit(x) for pair in PROTOCOL_NAMES.items() for x in pair])
     digits = F.when(f[6].rlike(r"^\d+$"), f[6].cast("int"))
     return (
-        df.withColumn("_f", F.split(F.trim(F.col(line)), r"\s+"))
+        # exploding a one-element array keeps later filters from splitting the line again per field
+        df.select(*keep, F.explode(F.array(F.split(F.trim(F.col(line)), r"\s+"))).alias("_f"))
         .filter((F.size("_f") >= 12) & (f[3] != "-"))
         .select(
             *keep,

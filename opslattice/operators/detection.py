@@ -10,12 +10,14 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opslattice.functions.statistics import binomial_tail
 from opslattice.operators.metrics import before_split, best_threshold, split_point, threshold_curve
 from opslattice.plans.ranks import exact_percentile
+from opslattice.plans.runtime import durable
 from opslattice.plans.skew import history, numbered, salted_join
 
 PERCENTILE = 0.96  # fixed in advance from the base rate of about 4 %
@@ -29,25 +31,23 @@ def rule_detector(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def fit_pca(train: DataFrame, columns: list[str], keep: float = 0.95) -> dict:
-    """Mean, population std and leading eigenvectors from one aggregate pass.
+    """Mean, population std and eigenvectors of the correlation matrix.
 
-    Only d + d(d+1)/2 sums reach the driver. Constant columns keep scale 1, so a value
-    first seen after training still enters the residual.
+    Spark accumulates the d x d matrix in parallel; only that matrix reaches the driver.
+    Constant columns keep scale 1 and no correlation, so a value first seen after
+    training still enters the residual.
     """
     d = len(columns)
     x = [F.col(c).cast("double") for c in columns]
-    sums = [F.count(F.lit(1)).alias("n"), *[F.sum(x[i]).alias(f"s{i}") for i in range(d)]]
-    sums += [F.sum(x[i] * x[j]).alias(f"c{i}_{j}") for i in range(d) for j in range(i, d)]
-    row = train.agg(*sums).first()
-    n = row["n"]
-    mean = np.array([row[f"s{i}"] for i in range(d)]) / n
-    cov = np.zeros((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            cov[i, j] = cov[j, i] = row[f"c{i}_{j}"] / n - mean[i] * mean[j]
-    var = np.clip(np.diag(cov), 0, None)
-    scale = np.where(var > 1e-12 * np.maximum(1.0, mean**2), np.sqrt(var), 1.0)
-    scaled = cov / np.outer(scale, scale)
+    row = train.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)],
+                    *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(x)]).first()
+    mean = np.array([row[f"m{i}"] for i in range(d)])
+    std = np.array([row[f"s{i}"] for i in range(d)])
+    constant = std <= 1e-12 * np.maximum(1.0, np.abs(mean))
+    scale = np.where(constant, 1.0, std)
+    vectors = VectorAssembler(inputCols=columns, outputCol="features").transform(train).select("features")
+    scaled = np.nan_to_num(Correlation.corr(vectors, "features").first()[0].toArray())
+    scaled[constant, :] = scaled[:, constant] = 0.0
     values, vectors = np.linalg.eigh((scaled + scaled.T) / 2)
     order = np.argsort(values)[::-1]
     values, vectors = np.clip(values[order], 0, None), vectors[:, order]
@@ -153,14 +153,20 @@ def _unsuccessful_search(n):
 def fit_isolation_forest(train: DataFrame, columns: list[str], key: str, trees: int = 300, sample: int = 256,
                          seed: int = SEED) -> list[pd.DataFrame]:
     """Trees grow in parallel, one group of at most `sample` rows per tree."""
+    draw = F.xxhash64(F.lit(seed), "_k")
+    share = min(1.0, 4.0 * POOL / max(train.count(), 1))  # thinned first, so few rows meet in the final sort
     pool = (
         train.select(F.col(key).alias("_k"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
-        .orderBy(F.xxhash64(F.lit(seed), "_k"), "_k").limit(POOL)
+        .filter(F.pmod(draw, F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))).orderBy(draw, "_k").limit(POOL)
     )
-    order = Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed), "tree", "_k"), "_k")
+    pool = durable(pool)
+    ticket = F.xxhash64(F.lit(seed), "tree", "_k")
+    share = min(1.0, 2.0 * sample / max(pool.count(), 1))
     drawn = (
         pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        .withColumn("r", F.row_number().over(order)).filter(F.col("r") <= sample)
+        .filter(F.pmod(ticket, F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
+        .withColumn("r", F.row_number().over(Window.partitionBy("tree").orderBy(ticket, "_k")))
+        .filter(F.col("r") <= sample)
     )
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:

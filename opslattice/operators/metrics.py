@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,10 +84,8 @@ def threshold_curve(df: DataFrame, label: Column, score: Column, grid: list[floa
     then accumulated over at most len(grid) + 1 rows.
     """
     base = F.lit(False) if base is None else base
-    levels = F.array(*[F.lit(float(t)) for t in sorted(grid)])
-    reached = F.when(base, F.lit(len(grid))).otherwise(
-        F.coalesce(F.size(F.filter(levels, lambda t: score >= t)), F.lit(0))
-    )
+    passed = reduce(lambda a, b: a + b, [F.when(score >= float(t), 1).otherwise(0) for t in grid])
+    reached = F.when(base, F.lit(len(grid))).otherwise(passed)
     counts = df.select(reached.alias("reached"), label.alias("y")).groupBy("reached").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("y").alias("pos")
     )

@@ -11,7 +11,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL = 50_000  # at most this many distinct values are ranked in one task
+SMALL = 500_000  # at most this many distinct values are ranked in one task
 SPLITS = 1_000
 
 

@@ -70,7 +70,7 @@ def test_pairs_within_splits_hot_items(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("small,splits", [(50_000, 1000), (10, 4)])
+@pytest.mark.parametrize("small,splits", [(500_000, 1000), (10, 4)])
 def test_kth_smallest_and_percentile(spark, small, splits):
     rng = random.Random(5)
     values = [rng.choice([7.0, rng.uniform(-50, 50), float(rng.randint(0, 5))]) for _ in range(500)]
