@@ -186,7 +186,8 @@ NEXT_EVENT = f"""WITH e AS (SELECT line, session, CASE WHEN session % 50 = 7 AND
 
 def rare_sequences(t: Tables):
     rare = F.when((F.col("session") % 50 == 7) & (F.col("template") == "view"), "rare").otherwise(F.col("template"))
-    return history(sequences(t).withColumn("template", rare), ["session"], "cell", ["ts", "line"], "template", 3)
+    listed = history(sequences(t).withColumn("template", rare), ["session"], "cell", ["ts", "line"], "template", 3)
+    return durable(listed)  # training and scoring both read it
 
 
 @query("d10_next_event_scores", NEXT_EVENT)

@@ -251,7 +251,7 @@ def _(t):
     text = F.col("text")
     return t("documents").select(
         "doc_id", F.regexp_extract(text, r"([0-9]+)", 1).alias("first_number"),
-        F.size(P.find_all(text, r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")).alias("ips"), text.rlike(r"(?i)\bthe\b").alias("has_the"))
+        F.size(P.find_all(text, r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")).cast("bigint").alias("ips"), text.rlike(r"(?i)\bthe\b").alias("has_the"))
 
 
 @query("f3_date_functions", """SELECT event_id, date_trunc('hour', ts) AS hour, epoch_us(ts) // 1000000 AS seconds,
@@ -281,8 +281,8 @@ def _(t):
 def _(t):
     found = t("questions").select("qid", *P.extract_entities(F.col("question")))
     return found.select(
-        "qid", F.size("blocks").alias("n_blocks"), F.array_contains("hosts", "203.0.0.4").alias("asks_first"),
-        F.size(F.array_intersect("blocks", F.array(F.lit("blk_0"), F.lit("blk_7"), F.lit("blk_-5")))).alias("known"),
+        "qid", F.size("blocks").cast("bigint").alias("n_blocks"), F.array_contains("hosts", "203.0.0.4").alias("asks_first"),
+        F.size(F.array_intersect("blocks", F.array(F.lit("blk_0"), F.lit("blk_7"), F.lit("blk_-5")))).cast("bigint").alias("known"),
         F.coalesce(F.get(F.array_sort("blocks"), F.lit(0)), F.lit("")).alias("smallest"))
 
 

@@ -417,7 +417,7 @@ def next_event_scores(train_seq: DataFrame, seq: DataFrame, key: str, event_key:
     training vocabulary gets UNSEEN_RANK. Both inputs carry a `history` array.
     """
     lengths = list(lengths)
-    model = context_model(train_seq, "history", event, lengths)
+    model = durable(context_model(train_seq, "history", event, lengths))  # read three times below
     seen_contexts = model.select("ctx", "candidates").distinct()
     vocabulary = model.filter(F.col("ctx") == "0|").select(F.col("next").alias(event), F.lit(True).alias("_known"))
     # each event needs its contexts only once per distinct (contexts, event): reduce before joining

@@ -119,7 +119,7 @@ def top_k(df: DataFrame, k: int, order: list[Column]) -> DataFrame:
 def top_per_key(df: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
     """The first k rows per key; Spark also cuts to k per key before the shuffle."""
     ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    return ranked.filter(F.col("rank") <= k)
+    return ranked.filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 # ---------------------------------------------------------------- sets
