@@ -8,7 +8,6 @@ from opslattice.catalog.base import Tables, query
 from opslattice.catalog.aggregates import external_flows
 from opslattice.catalog.joins import HARDWARE, KEY, PAIRS
 from opslattice.catalog.parsing import REPLICAS, REREPL, TRANSFERS
-from opslattice.catalog.rankings import all_hosts
 from opslattice.functions import parsing as P
 from opslattice.operators import graph as G
 from opslattice.operators import relational as R
@@ -105,14 +104,10 @@ CO_REPLICA = f"SELECT a.host_ip AS src, b.host_ip AS dst, count(*) AS n FROM ({R
 
 
 def log_graph(t: Tables):
-    log = parse_log(t("log_raw"))
-    stored = P.extract_placement(log, "content")
-    return {
-        "hosts": all_hosts(t), "edges": G.cooccurrence_edges(stored, "block_id", "host_ip"), "stored": stored,
-        "transfers": P.extract_transfers(log, "content", "block_id"),
-        "moves": P.extract_rereplication(log, "content", "event_id", "block_id"),
-        "blocks": P.drop_unkeyed(log, "block_id"),
-    }
+    """Link tables of the log and their co-replica edges; the narrow extract is written once."""
+    links = durable(P.extract_links(parse_log(t("log_raw")), "content", "event_id", "block_id"))
+    tables = P.link_tables(links)
+    return tables | {"edges": G.cooccurrence_edges(tables["stored"], "block_id", "host_ip")}
 
 
 @query("h7_graph_stats", f"""WITH h AS ({HOSTS}), e AS ({CO_REPLICA}), t AS ({TRANSFERS}), r AS ({REREPL})
@@ -131,7 +126,7 @@ def _(t):
     g = log_graph(t)
     return one_row([
         g["hosts"].agg(F.count(F.lit(1)).alias("hosts")), g["edges"].agg(F.count(F.lit(1)).alias("co_replica_edges")),
-        g["blocks"].agg(F.countDistinct("block_id").alias("blocks"))])
+        g["blocks"].agg(F.count(F.lit(1)).alias("blocks"))])
 
 
 GRAPH_NODES = f"""SELECT 'Host' AS kind, ip AS id FROM ({HOSTS}) UNION SELECT 'Subnet', split_part(ip, '.', 1) || '.' || split_part(ip, '.', 2) || '.0.0/16' FROM ({HOSTS})

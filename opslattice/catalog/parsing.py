@@ -255,25 +255,25 @@ def _(t):
 
 
 @query("f3_date_functions", """SELECT event_id, date_trunc('hour', ts) AS hour, epoch_us(ts) // 1000000 AS seconds,
-    CAST(ts AS DATE) AS day, round((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6, 3) AS since FROM @events""")
+    CAST(ts AS DATE) AS day, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6 AS since FROM @events""")
 def _(t):
     ts = F.col("ts")
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
     return t("events").select(
         "event_id", F.date_trunc("hour", ts).cast("timestamp_ntz").alias("hour"),
         F.floor(P.micros(ts) / 1_000_000).alias("seconds"), F.to_date(ts).alias("day"),
-        F.round((P.micros(ts) - F.unix_micros(start)) / 1e6, 3).alias("since"))
+        ((P.micros(ts) - F.unix_micros(start)) / 1e6).alias("since"))
 
 
-@query("f4_math_functions", """SELECT event_id, round(ln(1 + value), 6) AS log1p_value, round(-ln(greatest(least(value / 500, 1), 1e-12)), 6) AS nll,
-    abs(value - 100) AS deviation, greatest(least(value, 200), 10) AS clipped, round(value / greatest(1, user_id), 10) AS ratio FROM @events""")
+@query("f4_math_functions", """SELECT event_id, round(ln(1 + value), 6) AS log1p_value, round(ln(1 / greatest(least(value / 500, 1), 1e-12)), 6) AS nll,
+    abs(value - 100) AS deviation, greatest(least(value, 200), 10) AS clipped, value / greatest(1, user_id) AS ratio FROM @events""")
 def _(t):
     v = F.col("value")
     return t("events").select(
         "event_id", F.round(F.log1p(v), 6).alias("log1p_value"),
-        F.round(-F.log(F.greatest(F.least(v / 500, F.lit(1.0)), F.lit(1e-12))), 6).alias("nll"),
+        F.round(F.log(1 / F.greatest(F.least(v / 500, F.lit(1.0)), F.lit(1e-12))), 6).alias("nll"),
         F.abs(v - 100).alias("deviation"), F.greatest(F.least(v, F.lit(200.0)), F.lit(10.0)).alias("clipped"),
-        F.round(v / F.greatest(F.lit(1), F.col("user_id")), 10).alias("ratio"))
+        (v / F.greatest(F.lit(1), F.col("user_id"))).alias("ratio"))
 
 
 @query("f5_array_functions", f"""SELECT qid, len(blocks) AS n_blocks, list_contains(hosts, '203.0.0.4') AS asks_first,

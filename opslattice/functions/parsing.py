@@ -83,6 +83,30 @@ def extract_rereplication(df: DataFrame, text: str, template: str, key: str) ->
     )
 
 
+def extract_links(df: DataFrame, text: str, template: str, key: str) -> DataFrame:
+    """Every address field of a line side by side, so that the texts are read once for all link tables."""
+    line, moved = F.col(text), F.col(template) == REREPLICATION_TEMPLATE
+    return df.select(
+        F.col(key).alias("block_id"),
+        group_or_null(line, TRANSFER_PATTERN, 1).alias("sent_from"), group_or_null(line, TRANSFER_PATTERN, 2).alias("sent_to"),
+        group_or_null(line, STORED_PATTERN, 1).alias("stored_host"), group_or_null(line, STORED_PATTERN, 2).alias("stored_block"),
+        F.when(moved, F.regexp_extract(line, r"^(\d+\.\d+\.\d+\.\d+)", 1)).alias("moved_from"),
+        F.when(moved, F.regexp_extract(line, r"to /(\d+\.\d+\.\d+\.\d+)", 1)).alias("moved_to"),
+    )
+
+
+def link_tables(links: DataFrame) -> dict[str, DataFrame]:
+    """transfers, stored replicas, re-replications, blocks and hosts from extracted links."""
+    transfers = links.select(F.col("sent_from").alias("src_ip"), F.col("sent_to").alias("dst_ip"), "block_id").dropna(
+        subset=["src_ip", "dst_ip"])
+    stored = links.select(F.col("stored_host").alias("host_ip"), F.col("stored_block").alias("block_id")).dropna().distinct()
+    moves = links.filter(F.col("moved_from").isNotNull()).select(
+        F.col("moved_from").alias("src_ip"), F.col("moved_to").alias("dst_ip"), "block_id")
+    named = links.select(F.explode(F.array("sent_from", "sent_to", "stored_host")).alias("ip"))
+    return {"transfers": transfers, "stored": stored, "moves": moves, "blocks": links.select("block_id").dropna().distinct(),
+            "hosts": named.dropna().distinct()}
+
+
 def parse_hierarchy(node: Column) -> list[Column]:
     return [group_or_null(node, NODE_PATTERN, g).alias(n) for g, n in ((1, "rack"), (2, "midplane"), (3, "node_card"))]
 
