@@ -1,8 +1,10 @@
-"""Byte-level BPE ids through the tokenizers library, with a cache of frequent words."""
+"""Byte-level BPE ids through the tokenizers library, with a bounded memory of words met before."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
+from struct import pack
 
 import numpy as np
 
@@ -11,44 +13,69 @@ import numpy as np
 _CHUNK = re.compile(r"\s*\S+|\s+")
 # Characters on whose class the two regex engines disagree; such a text is encoded in one go.
 _UNSURE = re.compile("[\x1c-\x1f᠎]")
-_LONGEST, _CACHED = 40, 300_000
-
-
-class _Cache(dict):
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.encode(chunk)
-        if len(chunk) <= _LONGEST:
-            self[chunk] = ids
-        return ids
+_LONGEST = 40  # longer chunks are not remembered
+_GENERATION = 300_000  # chunks; two generations are kept
+_BATCH_CHARS = 1 << 20
 
 
 class Encoder:
-    """Texts to ids, as little-endian unsigned 32-bit integers. Special tokens in a text are ordinary text."""
+    """Whole texts to ids, as little-endian unsigned 32-bit integers. Special tokens in a text are ordinary text."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        self._cache = _Cache(self._ids)
+        self._model = self._tokenizer.model
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
 
-    def _ids(self, text: str) -> bytes:
+    def _whole(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def __call__(self, text: str | None) -> bytes:
-        """Ids of one whole text; null is the empty text."""
-        if not text:
-            return b""
-        if _UNSURE.search(text):
-            return self._ids(text)
-        cache = self._cache
-        if len(cache) > _CACHED:
-            cache.clear()
-        return b"".join([cache[chunk] for chunk in _CHUNK.findall(text)])
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of new chunks: cut by the vocabulary's own pre-tokenizer in one call, then merged piece by piece."""
+        plain = [c for c in chunks if c[0].isspace() and not c.isspace()]
+        out = {c: self._whole(c) for c in set(chunks).difference(plain)}
+        merge, ids, end, rest = self._model.tokenize, [], 0, iter(plain)
+        chunk = ""
+        for piece, (start, _) in self._tokenizer.pre_tokenizer.pre_tokenize_str("".join(plain)):
+            if start >= end:
+                if chunk:
+                    out[chunk] = pack(f"<{len(ids)}I", *ids)
+                chunk, ids = next(rest), []
+                end += len(chunk)
+            ids += [token.id for token in merge(piece)]
+        if chunk:
+            out[chunk] = pack(f"<{len(ids)}I", *ids)
+        return out
+
+    def _batch(self, texts: list[str]) -> list[bytes]:
+        cut = [_CHUNK.findall(t) if not _UNSURE.search(t) else None for t in texts]
+        if len(self._young) > _GENERATION:
+            self._old, self._young = self._young, {}
+        young, old = self._young, self._old
+        new = {c for c in set().union(*(c for c in cut if c)) if c not in young}
+        again = [c for c in new if c in old]
+        young.update((c, old[c]) for c in again)
+        learned = self._learn(list(new.difference(again)))
+        young.update(learned)
+        out = [self._whole(t) if chunks is None else b"".join([young[c] for c in chunks]) for t, chunks in zip(texts, cut)]
+        for c in learned:
+            if len(c) > _LONGEST:
+                del young[c]
+        return out
+
+    def __call__(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Ids of each text in turn; null is the empty text."""
+        waiting, size = [], 0
+        for text in texts:
+            waiting.append(text if isinstance(text, str) else "")
+            size += len(waiting[-1])
+            if size >= _BATCH_CHARS:
+                yield from self._batch(waiting)
+                waiting, size = [], 0
+        yield from self._batch(waiting)
 
 
 _encoders: dict[str, Encoder] = {}

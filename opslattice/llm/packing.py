@@ -44,12 +44,12 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
     """Encoded pieces of every document with their rank among pieces of equal length in the same task."""
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode_text, task = encoder(tokenizer), TaskContext.get().partitionId()
+        encode, task = encoder(tokenizer), TaskContext.get().partitionId()
         end, seen = np.array([end_id], dtype="<u4").tobytes(), [0] * (capacity + 1)
         for frame in frames:
             rows = []
-            for doc_id, text in zip(frame["doc_id"].array, frame["text"].array):
-                ids = encode_text(text if isinstance(text, str) else None) + end
+            for doc_id, ids in zip(frame["doc_id"].array, encode(frame["text"].array)):
+                ids += end
                 for i, (start, length) in enumerate(cuts(len(ids) // 4, capacity)):
                     part = ids[4 * start: 4 * (start + length)]
                     rows.append((doc_id, i, start, length, part, zlib.crc32(part), task, seen[length]))

@@ -40,7 +40,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, width: int) -> bytes:
     def sample(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(tokenizer)
         for frame in frames:
-            yield pd.DataFrame({"ids": [_serialise(encode(t), width)[:SAMPLE_BYTES] for t in frame["text"]]})
+            yield pd.DataFrame({"ids": [_serialise(ids, width)[:SAMPLE_BYTES] for ids in encode(frame["text"].array)]})
 
     drawn = hash_sample(id_and_text(docs).filter(F.length("text") > 0), "doc_id", SAMPLE_DOCS, "dictionary")
     samples = sorted(bytes(r["ids"]) for r in drawn.mapInPandas(sample, "ids binary").collect())
@@ -77,8 +77,8 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, folder: str, width
         part, block, index, out, size, start = 0, 0, [], [], 0, 0
         for frame in frames:
             part = int(frame["part"].iloc[0]) if len(frame) else part
-            for doc_id, text in zip(frame["doc_id"].array, frame["text"].array):
-                ids = encode(text if isinstance(text, str) else None) + end
+            for doc_id, ids in zip(frame["doc_id"].array, encode(frame["text"].array)):
+                ids += end
                 packed = compressor.compress(_serialise(ids, width))
                 index.append({"doc_id": None if pd.isna(doc_id) else int(doc_id), "offset": size, "size": len(packed),
                               "start": start, "n_tokens": len(ids) // 4})
