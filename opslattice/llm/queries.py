@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opslattice.llm import packing, tokens
+from opslattice.llm import neardup, packing, tokens
 
 QUERIES, ORACLES = {}, {}
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,3 +33,9 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every piece of every document."""
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY, capacity=2048, end_id=0)
+
+
+@query
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document among near duplicates."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=75)
