@@ -165,17 +165,20 @@ def _search(shared):
     return search
 
 
+def _holds_none(shared):
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        find = Searcher([Item(*i) for i in shared.value])
+        for texts in batches:
+            yield pd.Series([next(find(normalised(t)), None) is None for t in texts], dtype=bool)
+
+    return clean
+
+
 def without_benchmark(docs: DataFrame, items: DataFrame, budget: float = BUDGET, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs without the rows that hold an item; columns as they were. Rows are judged by their own text."""
     out = docs
     for block in item_blocks(items, budget, block_chars):
-        shared = docs.sparkSession.sparkContext.broadcast([tuple(i) for i in block])
-
-        @F.pandas_udf("boolean")
-        def clean(texts: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            find = Searcher([Item(*i) for i in shared.value])
-            for some in texts:
-                yield pd.Series([next(iter(find(normalised(t))), None) is None for t in some], dtype=bool)
-
+        clean = _holds_none(docs.sparkSession.sparkContext.broadcast([tuple(i) for i in block]))
         out = out.filter(clean(F.col("text").cast("string")))
     return out

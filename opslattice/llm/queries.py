@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opslattice.llm import decontam, langid, licenses, neardup, packing, pii, quality_model, rules, tokens
+from opslattice.llm import decontam, langid, licenses, neardup, packing, pii, quality_model, rules, tokens, warc
+from opslattice.llm.common import stage_path
 
 QUERIES, ORACLES = {}, {}
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -75,3 +76,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licenses named in every document."""
     return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record of the pages in WARC files, against a second copy whose storage has lost bits under unchanged headers."""
+    pages = warc.segments(table(spark, sf_dir, "pages"))
+    good, aged = stage_path(spark, "warc"), stage_path(spark, "warc")
+    warc.write_warc(pages, good)
+    warc.write_warc(warc.decayed(pages), aged)
+    return warc.audit(warc.read_records(spark, good), warc.read_records(spark, aged))
