@@ -69,12 +69,13 @@ def fit(docs: DataFrame, training_docs: int = TRAINING_DOCS) -> Model:
         top = table.groupBy("token").agg(F.sum("n").alias("_n"), *per_language).filter("_n > 1").orderBy(F.desc("_n"), "token").limit(limit)
         return _log_frequencies([(r["token"], list(r)[2:]) for r in top.collect()], np.array(list(totals), dtype=float))
 
-    by_gram = []
-    padded = F.concat(F.lit("^"), "word", F.lit("$"))
-    for n in range(1, LONGEST + 1):
+    def all_grams(n: int) -> DataFrame:
+        padded = F.concat(F.lit("^"), "word", F.lit("$"))
         at = F.sequence(F.lit(1), F.length(padded) - n + 1)
-        pieces = F.when(F.length(padded) >= n, F.transform(at, lambda i, n=n: F.substring(padded, i, n)))
-        by_gram.append(frequent(counts.select("lang", "n", F.explode(pieces).alias("token")), KNOWN_GRAMS))
+        pieces = F.when(F.length(padded) >= n, F.transform(at, lambda i: F.substring(padded, i, n)))
+        return counts.select("lang", "n", F.explode(pieces).alias("token"))
+
+    by_gram = [frequent(all_grams(n), KNOWN_GRAMS) for n in range(1, LONGEST + 1)]
     return Model(languages, frequent(counts.select("lang", "n", F.col("word").alias("token")), KNOWN_WORDS), by_gram)
 
 

@@ -282,8 +282,11 @@ def digest(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = with_spans(docs, fit(docs))
     base = F.filter("_spans", lambda s: s["kind"] < len(BASE))
-    counts = [F.size(F.filter("_spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]
-    return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("_spans")).alias("spans"),
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("_spans", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(number, BASE), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("_spans")).alias("spans"),
                         F.size(F.filter("_spans", lambda s: s["kind"] >= len(BASE))).cast("long").alias("n_further"))
 
 
