@@ -111,7 +111,7 @@ CLAUSES = [
     ("no-redistribution", "redistribut", r"(?:may not|must not|shall not) be (?:copied |reproduced )?(?:or )?redistributed", 50, 0.7),
     ("proprietary", "confidential", r"proprietary and confidential|confidential and proprietary", 60, 0.9),
     ("proprietary", "permission", r"without (?:the )?(?:prior |express )*written permission (?:of|from)", 40, 0.6),
-    ("unnamed", "licen", r"(?:licensed|released|distributed|available) under (?:the |a |an )?(?:terms of )?(?:\w+ ){0,4}licen[cs]e", 10, 0.4),
+    ("unnamed", "licen", r"(?:licensed|released|distributed|available) under (?:the |a |an )?(?:terms of )?(?:\w+ ){0,4}?licen[cs]e", 10, 0.4),
 ]
 _LICENSE = r"(?: public)?(?: licen[cs]e)?"
 # How a name is used: expression around the name, priority, confidence. More words around it mean a stronger statement.
