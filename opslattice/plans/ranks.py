@@ -6,17 +6,17 @@ import math
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL = 500_000  # at most this many distinct values are ranked in one task
 SPLITS = 1_000
+PIVOTS = 24  # values that a round compares every row with
+BAND = 5_000  # rows that may be read to the driver once the search has closed in on them
 
 
 class Ranked(NamedTuple):
-    value: float
+    value: object
     below: int  # rows with a strictly smaller value
 
 
@@ -26,73 +26,88 @@ def _split_points(df: DataFrame, column: str, parts: int) -> list[float]:
 
 
 def _bucketed(df: DataFrame, column: str, splits: list[float]) -> DataFrame:
-    edges = [-math.inf, *splits, math.inf]
+    edges = [-math.inf, *[x for x in splits if math.isfinite(x)], math.inf]
+    if len(edges) < 3:
+        return df.withColumn("_bucket", F.lit(0.0))
     return Bucketizer(splits=edges, inputCol=column, outputCol="_bucket", handleInvalid="keep").transform(df)
 
 
-def order_values(
-    df: DataFrame, column: str, pick: Callable[[int], list[int]], small: int = SMALL, splits: int = SPLITS
-) -> tuple[int, list[Ranked]]:
-    """(n, values at the 0-based ranks pick(n)) of a column without its nulls.
+def order_values(df: DataFrame, column: str, pick: Callable[[int], list[int]], band: int = BAND,
+                 pivots: int = PIVOTS) -> tuple[int, list[Ranked]]:
+    """(n, values at the 0-based ranks pick(n)) of a column of any ordered type, without its nulls.
 
-    Copies collapse into (value, count). While too many distinct values remain, they
-    are counted per bucket and the search goes on in the bucket that holds the rank, so
-    no task ever sorts more than `small` values. Only counters reach the driver.
+    Selection by pivots: a sample proposes values near the rank, one aggregate counts the rows below and at each, and
+    the search goes on between two of them. Nothing is shuffled or sorted but the last few rows. NaN is the largest
+    number, as everywhere in Spark.
     """
-    hist = (
-        df.select(F.col(column).alias("v")).filter(F.col("v").isNotNull())
-        .groupBy("v").agg(F.count(F.lit(1)).alias("n")).withColumn("x", F.col("v").cast("double"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    try:
-        size = hist.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("d")).first()
-        ranks = pick(size["n"])
-        if any(r < 0 or r >= size["n"] for r in ranks):
-            raise ValueError(f"rank outside the {size['n']} values of {column}")
-        if size["d"] <= small:
-            return size["n"], _ranked(hist, ranks, 0)
-        return size["n"], [_search(hist, r, small, splits) for r in ranks]
-    finally:
-        hist.unpersist()
-
-
-def _ranked(hist: DataFrame, ranks: list[int], below: int) -> list[Ranked]:
-    """Values at the given ranks of a small histogram that starts at rank `below`."""
-    running = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    table = hist.withColumn("upto", running)
-    wanted = [F.min(F.when(F.col("upto") > r - below, F.struct("v", "upto", "n"))).alias(f"r{i}") for i, r in enumerate(ranks)]
-    row = table.agg(F.count(F.lit(1)), *wanted).first()
-    found = [row[f"r{i}"] for i in range(len(ranks))]
-    return [Ranked(f["v"], below + f["upto"] - f["n"]) for f in found]
-
-
-def _search(hist: DataFrame, rank: int, small: int, splits: int) -> Ranked:
-    below = 0
-    while hist.limit(small + 1).count() > small:
-        points = _split_points(hist, "x", splits)
-        if len(points) < 2:
-            raise ValueError(f"more than {small} values share one double")
-        counts = _bucketed(hist, "x", points).groupBy("_bucket").agg(F.sum("n").alias("n")).collect()
-        sizes = {int(r["_bucket"]): r["n"] for r in counts}  # at most `splits` buckets
-        for bucket in sorted(sizes):
-            if rank < below + sizes[bucket]:
-                break
-            below += sizes[bucket]
-        edges = [-math.inf, *points, math.inf]
-        hist = hist.filter((F.col("x") >= edges[bucket]) & (F.col("x") < edges[bucket + 1]))
-    return _ranked(hist, [rank], below)[0]
-
-
-def kth_smallest(df: DataFrame, column: str, k: int, small: int = SMALL, splits: int = SPLITS) -> Ranked:
-    return order_values(df, column, lambda n: [k], small, splits)[1][0]
-
-
-def exact_percentile(df: DataFrame, column: str, p: float, small: int = SMALL) -> float | None:
+    values = df.select(F.col(column).alias("v")).filter(F.col("v").isNotNull())
+    n = values.count()
+    ranks = pick(n)
+    if any(r < 0 or r >= n for r in ranks):
+        raise ValueError(f"rank outside the {n} values of {column}")
+    known: list[Ranked] = []  # of the last rows that were read, with one past the end
+    out = {}
+    for rank in sorted(set(ranks)):
+        inside = [k for k, following in zip(known, known[1:]) if k.below <= rank < following.below]
+        if not inside:
+            known = _closest(values, n, rank, band, pivots)
+            inside = [k for k, following in zip(known, known[1:]) if k.below <= rank < following.below]
+        out[rank] = inside[0]
+    return n, [out[r] for r in ranks]
+
+
+def _order(value) -> tuple:
+    return (True, 0) if isinstance(value, float) and math.isnan(value) else (False, value)
+
+
+def _closest(values: DataFrame, size: int, rank: int, band: int, pivots: int) -> list[Ranked]:
+    """Distinct values around the rank in order; the last entry only ends the one before it."""
+    below, seed = 0, 0
+    while size > band:
+        seed += 1
+        drawn = [r["v"] for r in values.sample(min(1.0, 40.0 * pivots / size), seed).distinct().collect()]
+        drawn = sorted(drawn, key=_order)
+        if not drawn:
+            continue
+        step = max(1, len(drawn) // pivots)
+        points = drawn[step // 2:: step]
+        counts = values.agg(*[F.count_if(F.col("v") < F.lit(p)).alias(f"b{i}") for i, p in enumerate(points)],
+                            *[F.count_if(F.col("v") == F.lit(p)).alias(f"e{i}") for i, p in enumerate(points)]).first()
+        low, high = None, None
+        for i, p in enumerate(points):
+            start, end = below + counts[f"b{i}"], below + counts[f"b{i}"] + counts[f"e{i}"]
+            if start <= rank < end:
+                return [Ranked(p, start), Ranked(None, end)]
+            if end <= rank:
+                low = (p, end)
+            elif high is None:
+                high = (p, start)
+        top = below + size if high is None else high[1]
+        if low is not None:
+            values, below = values.filter(F.col("v") > F.lit(low[0])), low[1]
+        if high is not None:
+            values = values.filter(F.col("v") < F.lit(high[0]))
+        size = top - below
+    found = sorted(values.groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: _order(r["v"]))
+    out = []
+    for r in found:
+        out.append(Ranked(r["v"], below))
+        below += r["n"]
+    return [*out, Ranked(None, below)]
+
+
+def kth_smallest(df: DataFrame, column: str, k: int, band: int = BAND, pivots: int = PIVOTS) -> Ranked:
+    return order_values(df, column, lambda n: [k], band, pivots)[1][0]
+
+
+def exact_percentile(df: DataFrame, column: str, p: float, band: int = BAND) -> float | None:
     """Percentile with linear interpolation between the two neighbouring ranks."""
-    n, found = order_values(df, column, lambda n: [math.floor(p * (n - 1)), math.ceil(p * (n - 1))] if n else [], small)
+    n, found = order_values(df, column, lambda n: [math.floor(p * (n - 1)), math.ceil(p * (n - 1))] if n else [], band)
     if n == 0:
         return None
     low, high = float(found[0].value), float(found[1].value)
+    if low == high or math.isnan(low):
+        return low
     return low + (p * (n - 1) - math.floor(p * (n - 1))) * (high - low)
 
 

@@ -7,6 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from opslattice.operators.metrics import binary_metrics
 from opslattice.plans import ranks, skew
 from opslattice.plans.runtime import durable
 
@@ -70,14 +71,14 @@ def test_pairs_within_splits_hot_items(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("small,splits", [(500_000, 1000), (10, 4)])
-def test_kth_smallest_and_percentile(spark, small, splits):
+@pytest.mark.parametrize("band,pivots", [(5_000, 24), (10, 4)])
+def test_kth_smallest_and_percentile(spark, band, pivots):
     rng = random.Random(5)
     values = [rng.choice([7.0, rng.uniform(-50, 50), float(rng.randint(0, 5))]) for _ in range(500)]
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
     ordered = sorted(values)
     for k in (0, 17, 250, 499):
-        found = ranks.kth_smallest(df, "x", k, small, splits)
+        found = ranks.kth_smallest(df, "x", k, band, pivots)
         assert found.value == ordered[k]
         assert found.below == sum(v < ordered[k] for v in values)
     rank = 0.96 * 499
@@ -87,6 +88,36 @@ def test_kth_smallest_and_percentile(spark, small, splits):
         ranks.kth_smallest(df, "x", 500)
 
 
+def test_order_values_of_other_types_and_limits(spark):
+    rng = random.Random(6)
+    names = [f"blk_{rng.randint(0, 300)}" for _ in range(400)] + ["é", "", "zz"]
+    df = spark.createDataFrame([(v,) for v in names], "k string")
+    for k in (0, 100, 402):
+        found = ranks.kth_smallest(df, "k", k, 10, 4)
+        assert (found.value, found.below) == (sorted(names)[k], sum(v < sorted(names)[k] for v in names))
+    odd = [math.inf, -math.inf, math.nan, math.nan, 1.0, 2.0, -0.0, 0.0]
+    df = spark.createDataFrame([(v,) for v in odd], "x double")
+    for band in (5_000, 1):
+        _, found = ranks.order_values(df, "x", lambda n: list(range(n)), band, 2)
+        assert [f.value for f in found[:6]] == [-math.inf, 0.0, 0.0, 1.0, 2.0, math.inf] and math.isnan(found[6].value) and found[7].below == 6
+    assert ranks.order_values(df.limit(0), "x", lambda n: [])[0] == 0 and ranks.exact_percentile(df.limit(0), "x", 0.5) is None
+    one = spark.createDataFrame([(7,)] * 300, "x int")
+    assert ranks.kth_smallest(one, "x", 299, 10, 4) == (7, 0)
+
+
+def test_selection_does_not_shuffle_the_column(spark):
+    df = spark.range(100_000).withColumn("x", F.rand(3))
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    assert ranks.kth_smallest(df, "x", 70_000).below == 70_000
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - len(before) < 30
+
+
+def test_metrics_of_an_empty_frame(spark):
+    empty = spark.createDataFrame([], "y boolean, s double, f boolean")
+    rows = binary_metrics(empty, "y", "s", "f").collect()
+    assert len(rows) == 1 and rows[0]["flagged"] == 0 and rows[0]["roc_auc"] is None
+
+
 @pytest.mark.parametrize("descending", [False, True])
 def test_running_totals(spark, descending):
     rng = random.Random(9)
