@@ -169,11 +169,18 @@ def _(t):
     return D.sequence_identity(prints, split.filter("split = 'test' AND y"), split.filter("split = 'train' AND NOT y"), "session")
 
 
+CONTEXT = 10  # events before the judged one that a context can hold
+
+
+def context_sql(n: int) -> str:
+    return " || ',' || ".join(f"p{i}" for i in range(n, 0, -1))
+
+
 NEXT_EVENT = f"""WITH e AS (SELECT line, session, CASE WHEN session % 50 = 7 AND template = 'view' THEN 'rare' ELSE template END AS template, ts FROM ({SEQUENCE})),
-    h AS (SELECT line, session, template, lag(template, 1) OVER w AS p1, lag(template, 2) OVER w AS p2, lag(template, 3) OVER w AS p3 FROM e
+    h AS (SELECT line, session, template, {', '.join(f"lag(template, {i}) OVER w AS p{i}" for i in range(1, CONTEXT + 1))} FROM e
       WINDOW w AS (PARTITION BY session ORDER BY ts, line)),
-    c AS (SELECT line, session, template, unnest([0, 1, 2, 3]) AS len, unnest(['0|', CASE WHEN p1 IS NOT NULL THEN '1|' || p1 END,
-      CASE WHEN p2 IS NOT NULL THEN '2|' || p2 || ',' || p1 END, CASE WHEN p3 IS NOT NULL THEN '3|' || p3 || ',' || p2 || ',' || p1 END]) AS ctx FROM h),
+    c AS (SELECT line, session, template, unnest(range({CONTEXT + 1})) AS len, unnest(['0|', {', '.join(
+      f"CASE WHEN p{n} IS NOT NULL THEN '{n}|' || {context_sql(n)} END" for n in range(1, CONTEXT + 1))}]) AS ctx FROM h),
     tr AS (SELECT * FROM c WHERE ctx IS NOT NULL AND session % 3 <> 0 AND session % 50 <> 7),
     m AS (SELECT ctx, template, count(*) AS cnt, sum(count(*)) OVER (PARTITION BY ctx) AS total, count(*) OVER (PARTITION BY ctx) AS cand,
       rank() OVER (PARTITION BY ctx ORDER BY count(*) DESC) - 1 AS rank FROM tr GROUP BY 1, 2),
@@ -186,7 +193,7 @@ NEXT_EVENT = f"""WITH e AS (SELECT line, session, CASE WHEN session % 50 = 7 AND
 
 def rare_sequences(t: Tables):
     rare = F.when((F.col("session") % 50 == 7) & (F.col("template") == "view"), "rare").otherwise(F.col("template"))
-    listed = history(sequences(t).withColumn("template", rare), ["session"], "cell", ["ts", "line"], "template", 3)
+    listed = history(sequences(t).withColumn("template", rare), ["session"], "cell", ["ts", "line"], "template", CONTEXT)
     return durable(listed)  # training and scoring both read it
 
 

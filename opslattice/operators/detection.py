@@ -117,9 +117,6 @@ def top_feature_weights(columns: list[str], weights: list[float], k: int = 6) ->
 
 
 # ---------------------------------------------------------------- isolation forest
-POOL = 16_384  # uniform sample from which every tree draws its 256 rows
-
-
 def _grow_tree(x: np.ndarray, rng: np.random.Generator) -> list[tuple]:
     """Nodes (left, right, feature, cut, size); leaves have left = -1."""
     limit = int(np.ceil(np.log2(max(len(x), 2))))
@@ -153,19 +150,17 @@ def _unsuccessful_search(n):
 def fit_isolation_forest(train: DataFrame, columns: list[str], key: str, trees: int = 300, sample: int = 256,
                          seed: int = SEED) -> list[pd.DataFrame]:
     """Trees grow in parallel, one group of at most `sample` rows per tree."""
-    draw = F.xxhash64(F.lit(seed), "_k")
-    share = min(1.0, 4.0 * POOL / max(train.count(), 1))  # thinned first, so few rows meet in the final sort
-    pool = (
-        train.select(F.col(key).alias("_k"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
-        .filter(F.pmod(draw, F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))).orderBy(draw, "_k").limit(POOL)
-    )
-    pool = durable(pool)
-    ticket = F.xxhash64(F.lit(seed), "tree", "_k")
-    share = min(1.0, 2.0 * sample / max(pool.count(), 1))
+    # every (row, tree) draws a ticket of its own; twice as many as needed pass, and the lowest of each tree stay
+    share = min(1.0, 2.0 * sample / max(train.count(), 1))
+
+    def ticket(tree: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed), tree, "_k"), F.lit(1 << 40))
+
+    rows = train.select(F.col(key).alias("_k"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
+    passed = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: ticket(tree) < int(share * (1 << 40)))
     drawn = (
-        pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        .filter(F.pmod(ticket, F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
-        .withColumn("r", F.row_number().over(Window.partitionBy("tree").orderBy(ticket, "_k")))
+        rows.withColumn("tree", F.explode(passed))
+        .withColumn("r", F.row_number().over(Window.partitionBy("tree").orderBy(ticket(F.col("tree")), "_k")))
         .filter(F.col("r") <= sample)
     )
 
@@ -408,7 +403,7 @@ def with_contexts(df: DataFrame, hist: str, lengths: list[int]) -> DataFrame:
 
 
 def next_event_scores(train_seq: DataFrame, seq: DataFrame, key: str, event_key: str, event: str,
-                      lengths: tuple[int, ...] = (3, 2, 1, 0), max_rank: int = UNSEEN_RANK,
+                      lengths: tuple[int, ...] = tuple(range(10, -1, -1)), max_rank: int = UNSEEN_RANK,
                       hot_rows: int = 1_000_000) -> DataFrame:
     """Per key the worst rank and lowest probability of its true next events.
 
@@ -539,7 +534,7 @@ def recall_by_reputation(test: DataFrame, alerts: DataFrame, is_reputation: Colu
 
 
 def next_event_detector(listed: DataFrame, parts: DataFrame, key: str, event_key: str, event: str,
-                        lengths: tuple[int, ...] = (3, 2, 1, 0), max_g: int = 12) -> DataFrame:
+                        lengths: tuple[int, ...] = tuple(range(10, -1, -1)), max_g: int = 12) -> DataFrame:
     """Train on normal 'fit' keys, choose g by F1 on 'validation', flag 'test' keys with rank >= g.
 
     `listed` carries a `history` column, `parts` one (key, part, y) row per key.
