@@ -60,11 +60,11 @@ def _(t):
 
 
 @query("j5_full_outer", """SELECT coalesce(f.src_ip, a.src_ip) AS src_ip, coalesce(flows, 0) AS flows, coalesce(alerts, 0) AS alerts FROM
-    (SELECT src_ip, count(*) AS flows FROM @flows WHERE pkts_toclient = 0 GROUP BY 1) f FULL JOIN
-    (SELECT src_ip, count(*) AS alerts FROM @alerts WHERE severity = 2 GROUP BY 1) a ON f.src_ip = a.src_ip""")
+    (SELECT src_ip, count(*) AS flows FROM @flows GROUP BY 1) f FULL JOIN
+    (SELECT src_ip, count(*) AS alerts FROM @alerts GROUP BY 1) a ON f.src_ip = a.src_ip""")
 def _(t):
-    flows = t("flows").filter("pkts_toclient = 0").groupBy("src_ip").agg(F.count(F.lit(1)).alias("flows"))
-    alerts = t("alerts").filter("severity = 2").groupBy("src_ip").agg(F.count(F.lit(1)).alias("alerts"))
+    flows = t("flows").groupBy("src_ip").agg(F.count(F.lit(1)).alias("flows"))
+    alerts = t("alerts").groupBy("src_ip").agg(F.count(F.lit(1)).alias("alerts"))
     return R.full_outer_filled(flows, alerts, "src_ip", ["flows", "alerts"])
 
 
@@ -82,24 +82,24 @@ def _(t):
         t("alerts").filter("severity = 1").select("flow_id"), "flow_id", "left_semi")
 
 
-@query("j8_not_in", """SELECT DISTINCT src_ip FROM @flows WHERE src_ip NOT IN (SELECT src_ip FROM @alerts WHERE category = 'Misc Attack')""")
+@query("j8_not_in", """SELECT DISTINCT src_ip FROM @flows WHERE src_ip NOT IN (SELECT src_ip FROM @alerts)""")
 def _(t):
-    return R.not_in(t("flows").select("src_ip").distinct(), t("alerts").filter("category = 'Misc Attack'"), "src_ip")
+    return R.not_in(t("flows").select("src_ip").distinct(), t("alerts"), "src_ip")
 
 
 @query("j9_dictionary_lookup", """SELECT block_no, coalesce(priority, 'none') AS priority, count(*) AS lines FROM @block_lines LEFT JOIN
-    (SELECT o_orderkey, o_orderpriority AS priority FROM @orders WHERE o_orderstatus <> 'P') o ON block_no = o_orderkey GROUP BY 1, 2""")
+    (SELECT o_orderkey, o_orderpriority AS priority FROM @orders) o ON block_no = o_orderkey GROUP BY 1, 2""")
 def _(t):
     per = t("block_lines").groupBy("block_no").agg(F.count(F.lit(1)).alias("lines"))
-    table = t("orders").filter("o_orderstatus <> 'P'").select(
+    table = t("orders").select(
         F.col("o_orderkey").alias("block_no"), F.col("o_orderpriority").alias("priority"))
     return R.dictionary_lookup(per, table, "block_no", "priority", F.lit("none"))
 
 
 @query("j10_scored_replicas", """SELECT p.block_no, p.host, s.flag FROM @placement p JOIN
-    (SELECT block_no, flag FROM @blocks WHERE residual > 2) s ON s.block_no = p.block_no""")
+    (SELECT block_no, flag FROM @blocks) s ON s.block_no = p.block_no""")
 def _(t):
-    scored = t("blocks").filter("residual > 2").select("block_no", "flag")
+    scored = t("blocks").select("block_no", "flag")
     return t("placement").join(scored, "block_no")
 
 

@@ -19,7 +19,9 @@ REREPLICATION_TEMPLATE = "E16"
 EXCEPTION_TEMPLATES = ["E7", "E10", "E14", "E27", "E8", "E13"]
 PRIVATE_PREFIXES = ["192.168.", "10.", "172.16."]
 IPV4_PATTERN = r"^((25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.|$)){4}(?<!\.)$"
-IPV6_PATTERN = r"^[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*$"
+# eight groups of up to four hex digits, or fewer around one "::"
+IPV6_PATTERN = (r"^(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}"
+                r"|(?=(?:[0-9A-Fa-f]*:){2,7}[0-9A-Fa-f]*$)(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?)$")
 # 10.0.0.0/8, 172.16.0.0/12, 192.168.0.0/16 and 100.64.0.0/10 on valid addresses
 PRIVATE_PATTERN = r"^(10\.|172\.(1[6-9]|2\d|3[01])\.|192\.168\.|100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.)"
 PROTOCOL_NAMES = {"6": "tcp", "17": "udp", "1": "icmp"}
@@ -141,17 +143,17 @@ def parse_flow_record(df: DataFrame, line: str, *keep: str) -> DataFrame:
     """Space-separated flow record; short lines and records without a source are dropped."""
     f = [F.get(F.col("_f"), F.lit(i)) for i in range(11)]
     names = F.create_map(*[F.lit(x) for pair in PROTOCOL_NAMES.items() for x in pair])
-    digits = F.when(f[6].rlike(r"^\d+$"), f[6].cast("int"))
+    digits = F.when(f[6].rlike(r"^\d+$"), f[6].try_cast("int"))
     return (
         # exploding a one-element array keeps later filters from splitting the line again per field
         df.select(*keep, F.explode(F.array(F.split(F.trim(F.col(line)), r"\s+"))).alias("_f"))
         .filter((F.size("_f") >= 12) & (f[3] != "-"))
         .select(
             *keep,
-            f[0].cast("bigint").alias("start_s"), f[1].cast("bigint").alias("end_s"), f[2].alias("eni"),
+            f[0].try_cast("bigint").alias("start_s"), f[1].try_cast("bigint").alias("end_s"), f[2].alias("eni"),
             f[3].alias("src"), f[4].alias("dst"), f[5].alias("sport"), digits.alias("dport"),
             F.coalesce(F.try_element_at(names, f[7]), f[7]).alias("proto"),
-            f[8].cast("bigint").alias("packets"), f[9].cast("bigint").alias("bytes"), f[10].alias("action"),
+            f[8].try_cast("bigint").alias("packets"), f[9].try_cast("bigint").alias("bytes"), f[10].alias("action"),
         )
     )
 

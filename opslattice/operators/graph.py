@@ -56,7 +56,7 @@ def _with_minimum(edges: DataFrame, rows: int, hot_rows: int) -> tuple[DataFrame
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", vertices: DataFrame | None = None,
-                         vertex: str = "id", max_rounds: int = 60, hot_rows: int = HOT_ROWS) -> DataFrame:
+                         vertex: str = "id", hot_rows: int = HOT_ROWS) -> DataFrame:
     """(id, component): the smallest id of the component; isolated vertices keep their own.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014), which need
@@ -68,7 +68,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", v
         .filter(F.col("u") != F.col("v")).distinct()
     )
     before = _fingerprint(state)
-    for _ in range(max_rounds):
+    while True:
         both = state.union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near, _least = _with_minimum(both, 2 * before[0], hot_rows)
         large = near.filter(F.col("v") > F.col("u")).select(
@@ -80,8 +80,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", v
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     labels = state.select(F.col("u").alias("id"), F.col("v").alias("component"))
     if vertices is None:
         roots = state.select(F.col("v").alias("id")).distinct()
@@ -109,7 +107,7 @@ def k_hop(edges: DataFrame, sources: DataFrame, k: int) -> DataFrame:
     return reached
 
 
-def shortest_paths(edges: DataFrame, source, max_rounds: int = 200) -> DataFrame:
+def shortest_paths(edges: DataFrame, source) -> DataFrame:
     """(id, dist, pred) from one source over undirected edges with weight >= 0.
 
     Relaxation rounds expand only vertices whose distance fell. Among equal paths the
@@ -120,7 +118,7 @@ def shortest_paths(edges: DataFrame, source, max_rounds: int = 200) -> DataFrame
     id_type = links.schema["src"].dataType.simpleString()
     start = spark.createDataFrame([(source, 0.0)], f"id {id_type}, d double")
     known, changed = start, start
-    for _ in range(max_rounds):
+    while True:
         offers = changed.join(links, changed["id"] == links["src"]).groupBy(F.col("dst").alias("id")).agg(
             F.min(F.col("d") + F.col("weight")).alias("d"))
         merged = (
@@ -132,8 +130,6 @@ def shortest_paths(edges: DataFrame, source, max_rounds: int = 200) -> DataFrame
         changed = known.filter(F.col("old").isNull() | (F.col("d") < F.col("old"))).select("id", "d")
         if changed.isEmpty():
             break
-    else:
-        raise RuntimeError(f"paths did not settle in {max_rounds} rounds")
     reached = known.select("id", F.col("d").alias("dist"))
     via = reached.select(F.col("id").alias("src"), F.col("dist").alias("_via")).join(links, "src")
     tight = via.join(reached, via["dst"] == reached["id"]).filter(F.col("_via") + F.col("weight") == F.col("dist"))
@@ -142,19 +138,18 @@ def shortest_paths(edges: DataFrame, source, max_rounds: int = 200) -> DataFrame
         "id", "dist", F.when(F.col("id") != F.lit(source), F.col("pred")).alias("pred"))
 
 
-def path_to(tree: DataFrame, source, max_rounds: int = 200) -> DataFrame:
+def path_to(tree: DataFrame, source) -> DataFrame:
     """(id, dist, path): vertices from the source to id, following predecessors."""
     tree = durable(tree)
     done = tree.filter(F.col("id") == F.lit(source)).select("id", "dist", F.array("id").alias("path"))
     frontier = done
-    for _ in range(max_rounds):
+    while True:
         step = tree.join(frontier.select(F.col("id").alias("pred"), "path"), "pred").select(
             "id", "dist", F.concat("path", F.array("id")).alias("path"))
         frontier = durable(step)
         if frontier.isEmpty():
             return done
         done = done.union(frontier)
-    raise RuntimeError(f"paths are longer than {max_rounds} hops")
 
 
 def bounded_shortest_path(edges: DataFrame, pairs: DataFrame, limit: int = 4) -> DataFrame:

@@ -47,7 +47,7 @@ _scratch: dict[str, str] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a scratch folder only for local masters."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
@@ -58,12 +58,6 @@ def shared_dir(spark: SparkSession) -> str:
     return _scratch[app]
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for per-row work on a table that is read in fewer tasks; others stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def durable(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and continue from the written copy.
 
