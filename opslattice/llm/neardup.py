@@ -4,9 +4,9 @@ A document is its set of distinct five-word shingles. Documents with equal sets
 smallest id goes on. MinHash bands deal the classes into buckets. Inside a bucket the odd sketches (parity bitmaps of the
 MinHash samples, whose XOR population count tells how many samples differ) decide which pairs are worth an exact look.
 
-Pairs within a bucket are never listed as such. In the first two rounds a class names its closest partner and the
-best-connected member of the bucket, then its closest few of other groups; confirmed links join classes into groups, and
-pairs inside one group need no further look. The last round compares whatever is still outside the largest group of its
+Pairs within a bucket are never listed as such. In the first two rounds a class names, in one bucket of its own, its closest
+partner and the best-connected member; confirmed links join classes into groups, and pairs inside one group need no further
+look. Then whatever is outside the largest group of a bucket names its closest few in every bucket. The last round compares whatever is still outside the largest group of its
 bucket with the whole bucket and names every pair that the sketches let pass, so no link between groups is lost. Large
 buckets are split into blocks of bounded size in every round.
 """
@@ -32,7 +32,7 @@ BANDS, ROWS = 40, 4  # a pair of similarity 0.75 shares no band with probability
 BITS = 1024
 MARGIN = 0.15  # below the wanted similarity, more than five standard errors of the sketch
 BLOCK = 2048  # members of a bucket that are compared in one task at a time
-FEW = 8
+FEW = (1, 1, 4, 0)  # partners that a member names in each round; the last round names all
 
 _random = np.random.default_rng(20240229)
 _POWERS = _random.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -158,25 +158,23 @@ def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def closest_pairs(ids: np.ndarray, group: np.ndarray, bits: np.ndarray, limit: int, few: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per member its `few` closest partners of other groups, and the member with most close partners."""
+def closest_pairs(ids: np.ndarray, group: np.ndarray, asks: np.ndarray, bits: np.ndarray, limit: int, few: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each member that asks: its `few` closest partners of other groups, and the member with most close partners."""
     degree = np.zeros(len(ids), dtype=np.int64)
-    near: list[tuple[np.ndarray, np.ndarray]] = []
     for at in range(0, len(ids), 64):
         far = _differing(bits[at: at + 64], bits)
         close = far <= limit
         degree[at: at + 64] = close.sum(axis=1)
-        wanted = close & (group[at: at + 64, None] != group[None, :])
+        wanted = close & (group[at: at + 64, None] != group[None, :]) & asks[at: at + 64, None]
         if not wanted.any():
             continue
         far[~wanted] = BITS + 1
         best = np.argsort(far, axis=1, kind="stable")[:, :few]
         rows, columns = np.nonzero(np.take_along_axis(wanted, best, axis=1))
-        near.append((ids[at + rows], ids[best[rows, columns]]))
-    yield from near
+        yield ids[at + rows], ids[best[rows, columns]]
     hub = int(degree.argmax())
     far = _differing(bits[hub: hub + 1], bits)[0]
-    to_hub = np.flatnonzero((far <= limit) & (group != group[hub]))
+    to_hub = np.flatnonzero((far <= limit) & (group != group[hub]) & asks)
     yield np.full(len(to_hub), ids[hub]), ids[to_hub]
 
 
@@ -204,16 +202,24 @@ def _sorted_by(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys, "doc_id")
 
 
+def _at_home(opened: DataFrame, number: int) -> DataFrame:
+    """Every member in one bucket only: its largest in round 0, in later rounds one drawn by a hash."""
+    rank = F.struct("n", "key") if number == 0 else F.struct(F.xxhash64(F.lit(number), "key"), "key")
+    home = opened.groupBy("doc_id").agg(F.max(rank)["key"].alias("key"))
+    return opened.join(home, ["doc_id", "key"])
+
+
 def _near_round(opened: DataFrame, number: int, limit: int, few: int, block: int) -> DataFrame:
     blocks = F.pmod(F.xxhash64(F.lit(number), "doc_id"), F.ceil(F.col("n") / block))
-    dealt = _sorted_by(opened.select("key", blocks.alias("block"), "doc_id", "group", "sketch"), ["key", "block"])
+    asks = F.coalesce(F.col("group") != F.col("main"), F.lit(True))
+    dealt = _sorted_by(opened.select("key", blocks.alias("block"), "doc_id", "group", asks.alias("asks"), "sketch"), ["key", "block"])
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, starts in _groups(frames, ["key", "block"]):
-            ids, group, bits = frame["doc_id"].to_numpy(), frame["group"].to_numpy(), _bits(frame["sketch"])
+            ids, group, asks, bits = frame["doc_id"].to_numpy(), frame["group"].to_numpy(), frame["asks"].to_numpy(), _bits(frame["sketch"])
             found = []
             for a, b in zip(starts, [*starts[1:], len(frame)]):
-                found.extend(closest_pairs(ids[a:b], group[a:b], bits[a:b], limit, few))
+                found.extend(closest_pairs(ids[a:b], group[a:b], asks[a:b], bits[a:b], limit, few))
             yield _pairs_frame(found)
 
     return dealt.mapInPandas(find, "a long, b long").distinct()
@@ -316,9 +322,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, block: int = BLOCK) -> D
                     .select("doc_id", "body"), "neardup-bodies")
     limit = most_differing_bits(percent / 100 - MARGIN)
     groups, tested = None, None
-    for number, few in enumerate([1, FEW, 0]):
+    for number, few in enumerate(FEW):
         opened = staged(_open(members, reps, groups), "neardup-open")
-        pairs = _near_round(opened, number, limit, few, block) if few else _last_round(opened, limit, block)
+        if number < 2:
+            pairs = _near_round(_at_home(opened, number), number, limit, few, block)
+        else:
+            pairs = _near_round(opened, number, limit, few, block) if few else _last_round(opened, limit, block)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         checked = staged(_confirmed(pairs, bodies, percent), "neardup-checked")
