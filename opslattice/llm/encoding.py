@@ -13,11 +13,20 @@ import numpy as np
 _CHUNK = re.compile(r"\s*\S+|\s+")
 # Characters on whose class the two regex engines disagree; such a text is encoded in one go.
 _UNSURE = re.compile("[\x1c-\x1f᠎]")
+# Without runs of white space, blanks and line ends are places to cut at, and no pattern is needed.
+_RUNS = re.compile("\\s\\s|[\x00\x1c-\x1f᠎]")
 _LONGEST = 40  # longer chunks are not remembered
-_GENERATION = 300_000  # chunks; two generations are kept
+_GENERATION = 400_000  # chunks; two generations are kept
 _BATCH_CHARS = 1 << 20
 
 
+def _chunks(text: str) -> list[str] | None:
+    """The text in pieces that can be encoded one by one; None if it can't be cut."""
+    if not _RUNS.search(text):
+        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+    return None if _UNSURE.search(text) else _CHUNK.findall(text)
+
+
 class Encoder:
     """Whole texts to ids, as little-endian unsigned 32-bit integers. Special tokens in a text are ordinary text."""
 
@@ -35,7 +44,7 @@ class Encoder:
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of new chunks: cut by the vocabulary's own pre-tokenizer in one call, then merged piece by piece."""
-        plain = [c for c in chunks if c[0].isspace() and not c.isspace()]
+        plain = [c for c in chunks if c and c[0].isspace() and not c[-1].isspace()]
         out = {c: self._whole(c) for c in set(chunks).difference(plain)}
         merge, ids, end, rest = self._model.tokenize, [], 0, iter(plain)
         chunk = ""
@@ -51,19 +60,23 @@ class Encoder:
         return out
 
     def _batch(self, texts: list[str]) -> list[bytes]:
-        cut = [_CHUNK.findall(t) if not _UNSURE.search(t) else None for t in texts]
+        cut = [_chunks(t) for t in texts]
         if len(self._young) > _GENERATION:
             self._old, self._young = self._young, {}
         young, old = self._young, self._old
-        new = {c for c in set().union(*(c for c in cut if c)) if c not in young}
+        found = [list(map(young.get, chunks)) if chunks else [] for chunks in cut]
+        new = {c for chunks, ids in zip(cut, found) if None in ids for c, i in zip(chunks, ids) if i is None}
         again = [c for c in new if c in old]
-        young.update((c, old[c]) for c in again)
-        learned = self._learn(list(new.difference(again)))
-        young.update(learned)
-        out = [self._whole(t) if chunks is None else b"".join([young[c] for c in chunks]) for t, chunks in zip(texts, cut)]
-        for c in learned:
-            if len(c) > _LONGEST:
-                del young[c]
+        learned = {c: old[c] for c in again} | self._learn(list(new.difference(again)))
+        young.update((c, ids) for c, ids in learned.items() if len(c) <= _LONGEST)
+        out = []
+        for text, chunks, ids in zip(texts, cut, found):
+            if chunks is None:
+                out.append(self._whole(text))
+            elif None in ids:
+                out.append(b"".join([learned[c] if i is None else i for c, i in zip(chunks, ids)]))
+            else:
+                out.append(b"".join(ids))
         return out
 
     def __call__(self, texts: Iterable[str | None]) -> Iterator[bytes]:
