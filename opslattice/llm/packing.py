@@ -172,7 +172,7 @@ def place(cut: DataFrame, capacity: int) -> DataFrame:
 
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     earlier = counts.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    found = cut.join(earlier, ["task", "length"]).withColumn("_slot", slot_of("length", F.col("_before") + F.col("local_rank")))
+    found = cut.join(earlier.hint("merge"), ["task", "length"]).withColumn("_slot", slot_of("length", F.col("_before") + F.col("local_rank")))
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", "_slot.sequence_id", "_slot.offset",
                         *(["ids"] if "ids" in cut.columns else []))
 
