@@ -90,12 +90,10 @@ def _(t):
 def _(t):
     rows = measure_vectors(t)
     train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
-    detectors = (D.RuleDetector(["n_E7"], "block_no"), D.PCAResidualDetector(MEASURES, "block_no"),
-                 D.IsolationForestDetector(MEASURES, "block_no"))
     out = None
-    for detector in detectors:
-        flagged = detector.fit(train).transform(test)
-        report = M.binary_metrics(flagged, "is_anomaly", "score", "flag").withColumn("detector", F.lit(detector.name))
+    for method, columns in (("events", ["n_E7"]), ("residual", MEASURES), ("isolation", MEASURES)):
+        flagged = D.AnomalyScorer(method, columns, "block_no").fit(train).transform(test)
+        report = M.binary_metrics(flagged, "is_anomaly", "score", "flag").withColumn("detector", F.lit(method))
         out = report if out is None else out.union(report)
     return out
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -10,6 +12,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +23,7 @@ from opslattice.plans.ranks import exact_percentile
 from opslattice.plans.runtime import durable
 from opslattice.plans.skew import history, numbered, salted_join
 
-PERCENTILE = 0.96  # fixed in advance from the base rate of about 4 %
+PERCENTILE = 0.96  # about one session in 25 is anomalous
 SEED = 42
 
 
@@ -208,71 +211,60 @@ def score_isolation_forest(df: DataFrame, columns: list[str], forest: list[pd.Da
     return df.withColumn("score", score(F.array(*[F.col(c).cast("double") for c in columns])))
 
 
-# ---------------------------------------------------------------- one protocol for all detectors
-class SessionDetector(Estimator):
-    """fit(train) -> model with a train-percentile threshold; transform adds score and flag."""
+# ---------------------------------------------------------------- scorers as pipeline stages
+class Scoring(NamedTuple):
+    """How one method learns from training rows and adds a score column."""
+    learn: Callable[[DataFrame, list[str], str], object]
+    score: Callable[[DataFrame, list[str], object], DataFrame]
+    fixed_threshold: float | None = None
 
-    name = "detector"
-    percentile = PERCENTILE
 
-    def __init__(self, columns: list[str], key: str = "block_id"):
-        super().__init__()
-        self.columns, self.key = columns, key
-
-    def fit_state(self, train: DataFrame):
-        return None
+SCORINGS = {
+    "events": Scoring(lambda train, columns, key: None, lambda df, columns, state: rule_detector(df, columns).drop("flag"), 0.0),
+    "residual": Scoring(lambda train, columns, key: fit_pca(train, columns), lambda df, columns, state: df.withColumn("score", pca_residual(state))),
+    "isolation": Scoring(fit_isolation_forest, score_isolation_forest),
+}
 
-    def add_score(self, df: DataFrame, state) -> DataFrame:
-        raise NotImplementedError
 
-    def pick_threshold(self, train: DataFrame, state) -> float:
-        return exact_percentile(self.add_score(train, state), "score", self.percentile)
+class _ScorerParams(Params):
+    method = Param(Params._dummy(), "method", "one of " + ", ".join(SCORINGS), TypeConverters.toString)
+    columns = Param(Params._dummy(), "columns", "numeric columns that are scored", TypeConverters.toListString)
+    key = Param(Params._dummy(), "key", "column that identifies a row", TypeConverters.toString)
+    percentile = Param(Params._dummy(), "percentile", "share of training scores at or below the threshold", TypeConverters.toFloat)
 
-    def _fit(self, train: DataFrame) -> SessionModel:
-        state = self.fit_state(train)
-        return SessionModel(self, state, self.pick_threshold(train, state))
+    def _scoring(self) -> Scoring:
+        return SCORINGS[self.getOrDefault("method")]
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        raise RuntimeError(f"{self.name}: call fit() first")
 
+class AnomalyScorer(Estimator, _ScorerParams):
+    """Fits one of SCORINGS and a threshold: the method's own, or a percentile of the training scores."""
 
-class SessionModel(Model):
-    def __init__(self, detector: SessionDetector, state, threshold: float):
+    def __init__(self, method: str, columns: list[str], key: str = "block_id", percentile: float = PERCENTILE):
         super().__init__()
-        self.detector, self.state, self.threshold = detector, state, threshold
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        return self.detector.add_score(df, self.state).withColumn("flag", F.col("score") > self.threshold)
-
-
-class RuleDetector(SessionDetector):
-    name = "rule_exception_templates"
+        self._set(method=method, columns=columns, key=key, percentile=percentile)
 
-    def pick_threshold(self, train, state):
-        return 0.0
+    def _fit(self, train: DataFrame) -> AnomalyScorerModel:
+        how, columns = self._scoring(), self.getOrDefault("columns")
+        state = how.learn(train, columns, self.getOrDefault("key"))
+        threshold = how.fixed_threshold
+        if threshold is None:
+            threshold = exact_percentile(how.score(train, columns, state), "score", self.getOrDefault("percentile"))
+        return self._copyValues(AnomalyScorerModel(state, threshold))
 
-    def add_score(self, df, state):
-        return rule_detector(df, self.columns).drop("flag")
 
+class AnomalyScorerModel(Model, _ScorerParams):
+    """Adds score and flag; rows above the threshold are flagged."""
 
-class PCAResidualDetector(SessionDetector):
-    name = "pca_residual"
+    threshold = Param(Params._dummy(), "threshold", "scores above it are flagged", TypeConverters.toFloat)
 
-    def fit_state(self, train):
-        return fit_pca(train, self.columns)
-
-    def add_score(self, df, state):
-        return df.withColumn("score", pca_residual(state))
-
-
-class IsolationForestDetector(SessionDetector):
-    name = "isolation_forest"
-
-    def fit_state(self, train):
-        return fit_isolation_forest(train, self.columns, self.key)
+    def __init__(self, state, threshold: float):
+        super().__init__()
+        self._state = state
+        self._set(threshold=threshold)
 
-    def add_score(self, df, state):
-        return score_isolation_forest(df, self.columns, state)
+    def _transform(self, df: DataFrame) -> DataFrame:
+        scored = self._scoring().score(df, self.getOrDefault("columns"), self._state)
+        return scored.withColumn("flag", F.col("score") > self.getOrDefault("threshold"))
 
 
 # ---------------------------------------------------------------- topology

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from opslattice.functions import parsing as P
@@ -60,14 +61,16 @@ def test_isolation_forest_ranks_outliers_first(spark):
     assert 0 < low < high < 1
 
 
-def test_detector_protocol(spark):
+def test_scorers_as_pipeline_stages(spark):
     df = spark.createDataFrame([(i, float(i % 5), float(i % 3)) for i in range(100)], "block_id int, a double, b double")
-    detector = D.PCAResidualDetector(["a", "b"])
-    with pytest.raises(RuntimeError):
-        detector.transform(df)
-    model = detector.fit(df)
-    assert model.transform(df).filter("flag").count() == model.transform(df).filter(F.col("score") > model.threshold).count()
-    assert D.RuleDetector(["a"]).fit(df).transform(df).filter("flag").count() == 80
+    scorer = D.AnomalyScorer("residual", ["a", "b"])
+    model = scorer.fit(df)
+    rows = model.transform(df)
+    assert rows.filter("flag").count() == rows.filter(F.col("score") > model.getOrDefault("threshold")).count()
+    lower = scorer.copy({scorer.percentile: 0.5}).fit(df)
+    assert lower.getOrDefault("threshold") <= model.getOrDefault("threshold") and lower.getOrDefault("percentile") == 0.5
+    assert D.AnomalyScorer("events", ["a"]).fit(df).transform(df).filter("flag").count() == 80
+    assert Pipeline(stages=[scorer]).fit(df).transform(df).count() == 100
 
 
 def test_chrono_split_breaks_ties_by_id(spark):
