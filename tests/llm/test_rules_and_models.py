@@ -97,9 +97,11 @@ def labelled(spark):
 def test_rules_reject_junk_and_keep_clean_documents(spark, labelled):
     docs, labels = labelled
     rows = {r["doc_id"]: r["kept"] for r in rules.judged(docs, labels, risk=0.06).collect()}
-    assert all(rows[i] for i in range(900)) and not any(rows[i] for i in range(900, 1000))
+    # too few labels in "xx": nothing is certified there, and its junk stays
+    kept = [i for i in range(1000) if i < 900 or i % 10 == 0]
+    assert sorted(i for i in rows if rows[i]) == kept
     left = rules.accepted(docs, labels, risk=0.06)
-    assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == list(range(900))
+    assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == kept
 
 
 def test_without_labels_only_the_base_rule_rejects(spark, rough, nothing):

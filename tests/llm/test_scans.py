@@ -157,7 +157,7 @@ def test_parse_round_trip_and_damage():
     assert [(name, damaged) for _, _, name, _, damaged in got] == [("1", False), ("2", False), ("3", False), ("none", False)]
     broken = body.replace("é".encode(), b"zz")
     assert [d for *_, d in warc.parse(broken)] == [True, False, False, False]
-    cut = body.replace(b"Content-Length: 8", b"Content-Length: 9")
+    cut = body.replace(b"Content-Length: 9", b"Content-Length: 8")
     assert [d for *_, d in warc.parse(cut)] == [True, False, False, False]
     assert list(warc.parse(b"")) == []
 
