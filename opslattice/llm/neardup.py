@@ -32,13 +32,14 @@ BANDS, ROWS = 40, 4  # a pair of similarity 0.75 shares no band with probability
 BITS = 1024
 MARGIN = 0.15  # below the wanted similarity, more than five standard errors of the sketch
 BLOCK = 2048  # members of a bucket that are compared in one task at a time
+FINE_SAMPLES, FINE_BITS, FINE_MARGIN = 1024, 4096, 0.07  # for the last round, where all close pairs count
 FEW = (1, 1, 4, 0)  # partners that a member names in each round; the last round names all
 
 _random = np.random.default_rng(20240229)
 _POWERS = _random.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_A = _random.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _random.integers(1, 1 << 63, SAMPLES, dtype=np.uint64)
-_PLACE = np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32)
+_A = _random.integers(1, 1 << 63, FINE_SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _random.integers(1, 1 << 63, FINE_SAMPLES, dtype=np.uint64)
+_PLACE = np.arange(FINE_SAMPLES, dtype=np.uint64) << np.uint64(32)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -67,11 +68,11 @@ def shingle_set(words: list[bytes]) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def minhash(shingles: np.ndarray) -> np.ndarray:
-    least = np.full(SAMPLES, np.iinfo(np.uint64).max, dtype=np.uint64)
+def minhash(shingles: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
+    least = np.full(samples, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(shingles), 1024):
-        some = shingles[at: at + 1024, None] * _A
-        some += _B
+        some = shingles[at: at + 1024, None] * _A[:samples]
+        some += _B[:samples]
         np.minimum(least, some.min(axis=0), out=least)
     return least >> np.uint64(32)
 
@@ -84,15 +85,15 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def odd_sketch(samples: np.ndarray) -> bytes:
+def odd_sketch(samples: np.ndarray, bits: int = BITS) -> bytes:
     """Bit b is the parity of the number of samples that hash to b."""
-    places = (_mix(samples | _PLACE) & np.uint64(BITS - 1)).astype(np.int64)
-    return np.packbits(np.bincount(places, minlength=BITS).astype(np.uint8) & 1).tobytes()
+    places = (_mix(samples | _PLACE[: len(samples)]) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(places, minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
-def most_differing_bits(similarity: float) -> int:
+def most_differing_bits(similarity: float, samples: int = SAMPLES, bits: int = BITS) -> int:
     """Population count of the XOR that two sets of that similarity have on average."""
-    return math.ceil(BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - similarity) / BITS)))
+    return math.ceil(bits / 2 * (1 - math.exp(-4 * samples * (1 - similarity) / bits)))
 
 
 SIGNATURES = "doc_id long, n_shingles long, fingerprint binary, sketch binary, keys array<long>, body binary"
@@ -147,7 +148,7 @@ def _groups(frames: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFr
 
 
 def _bits(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.uint64).reshape(len(column), BITS // 64)
+    return np.frombuffer(b"".join(column), dtype=np.uint64).reshape(len(column), -1)
 
 
 def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -168,7 +169,7 @@ def closest_pairs(ids: np.ndarray, group: np.ndarray, asks: np.ndarray, bits: np
         wanted = close & (group[at: at + 64, None] != group[None, :]) & asks[at: at + 64, None]
         if not wanted.any():
             continue
-        far[~wanted] = BITS + 1
+        far[~wanted] = FINE_BITS
         best = np.argsort(far, axis=1, kind="stable")[:, :few]
         rows, columns = np.nonzero(np.take_along_axis(wanted, best, axis=1))
         yield ids[at + rows], ids[best[rows, columns]]
@@ -256,6 +257,18 @@ def _last_round(opened: DataFrame, limit: int, block: int) -> DataFrame:
     return _sorted_by(hosts.unionByName(asking), by).mapInPandas(find, "a long, b long").distinct()
 
 
+def _with_fine_sketches(opened: DataFrame, bodies: DataFrame) -> DataFrame:
+    """opened with sketches of more samples, made only for the classes that are still in question."""
+    def sketch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for frame in frames:
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "sketch": [
+                odd_sketch(minhash(shingle_set(unpack(b).split()), FINE_SAMPLES), FINE_BITS) for b in frame["body"]]})
+
+    asked = bodies.join(opened.select("doc_id").distinct(), "doc_id", "left_semi")
+    return opened.drop("sketch").join(staged(asked.mapInPandas(sketch, "doc_id long, sketch binary"), "neardup-fine"), "doc_id")
+
+
 def _confirmed(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
     """(a, b, linked): the exact comparison of the full sets."""
     @F.pandas_udf("boolean")
@@ -327,7 +340,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, block: int = BLOCK) -> D
         if number < 2:
             pairs = _near_round(_at_home(opened, number), number, limit, few, block)
         else:
-            pairs = _near_round(opened, number, limit, few, block) if few else _last_round(opened, limit, block)
+            pairs = _near_round(opened, number, limit, few, block) if few else _last_round(
+                _with_fine_sketches(opened, bodies), most_differing_bits(percent / 100 - FINE_MARGIN, FINE_SAMPLES, FINE_BITS), block)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         checked = staged(_confirmed(pairs, bodies, percent), "neardup-checked")
