@@ -58,7 +58,8 @@ def test_stage_with_rough_and_empty_rows(spark, rough, nothing, stage, tmp_path)
     out = run(spark, rough, FOLDER)
     if name != "best-fit packing":
         assert out.columns == rough.columns
-    assert out.count() > 0 and run(spark, nothing, FOLDER).count() == 0
+    # all rough texts are short or repeat themselves, so the quality rules leave none
+    assert (out.count() > 0) == (name != "quality rules") and run(spark, nothing, FOLDER).count() == 0
 
 
 def test_clean_documents_pass(spark):
