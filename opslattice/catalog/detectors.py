@@ -276,8 +276,7 @@ def _(t):
 
 @query("d14_triage_model")
 def _(t):
-    # all rows, but fewer rounds than the default of 300, which takes minutes of scheduling on one machine
-    scored = D.boosted_triage(durable(triage_features(t)), "start_ts", "flow_id", "alerted", rounds=50)
+    scored = D.boosted_triage(durable(triage_features(t)), "start_ts", "flow_id", "alerted")
     return scored.select("flow_id", "alerted", F.round("score", 6).alias("score"), "flag", "threshold")
 
 

@@ -8,10 +8,12 @@ import pytest
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
+from opslattice.catalog import QUERIES
 from opslattice.functions import parsing as P
 from opslattice.functions.statistics import binomial_tail
 from opslattice.operators import detection as D
 from opslattice.operators import metrics as M
+from opslattice.plans.runtime import durable
 
 
 def test_binomial_tail(spark):
@@ -167,3 +169,28 @@ def test_stemming(spark):
     got = {r["w"]: r["t"] for r in df.select("w", P.stem(F.col("w")).alias("t")).collect()}
     assert got == words
     assert df.limit(1).select(P.tokenize(F.lit("Failed blk_1: 3 Errors!"))).first()[0] == ["fail", "blk_1", "3", "error"]
+
+
+def test_triage_query_asks_for_all_rounds(spark, monkeypatch):
+    asked, whole = [], D.GBTClassifier
+
+    def short(**params):
+        asked.append(params["maxIter"])
+        return whole(**params | {"maxIter": 1})
+
+    monkeypatch.setattr(D, "GBTClassifier", short)
+    assert QUERIES["d14_triage_model"](spark, "/root/testdata/sf0.001").count() > 0
+    assert asked == [300]
+
+
+def test_boosted_triage_runs_300_rounds_on_separable_rows(spark):
+    rows = spark.range(0, 40, 1, 1).select(
+        "id", F.col("id").alias("ts"), (F.col("id") % 2 == 1).alias("y"),
+        *[F.when(F.lit(c == "dest_port"), F.col("id") % 2).otherwise(0).alias(c) for c in D.FLOW_FEATURES])
+    scored = D.boosted_triage(durable(rows), "ts", "id", "y").select("y", "score", "flag").distinct().collect()
+    margin = 1.0
+    for _ in range(299):
+        margin += 0.05 * 4 / (1 + math.exp(2 * margin))
+    high = 1 / (1 + math.exp(-2 * margin))
+    assert {r["y"]: round(r["score"], 6) for r in scored} == {True: round(high, 6), False: round(1 - high, 6)}
+    assert all(r["flag"] == r["y"] for r in scored)
