@@ -1,13 +1,15 @@
 """License detection: ordered signature rules on the words of a text, gated by keywords, with suppression of contained finds.
 
 A text is turned into its lower-case words, joined by single blanks. Each rule is a regular expression over that form with a
-priority, and is tried only if its keyword occurs. Finds are taken by priority, then length; a find inside an interval that is
+priority. From the expression follow sets of keywords, of each of which every match contains one; it is tried only if the text
+has one of each set. Finds are taken by priority, then length; a find inside an interval that is
 already taken is dropped, so "licensed under the MIT license" hides the bare name in it.
 """
 
 from __future__ import annotations
 
 import re
+from re import _constants, _parser
 from typing import NamedTuple
 
 import pandas as pd
@@ -83,35 +85,35 @@ NAMES = [
     ("openrail", r"(?:creativeml |bigscience )?open ?rail(?: m)?(?: license)?", r"openrail", r"bigscience huggingface co .{0,20}rail"),
     ("llgpl", r"lisp lesser general public license|llgpl", r"llgpl", r"opensource franz com preamble"),
 ]
-# Sentences of license texts and notices: label, keyword, expression, priority, confidence.
+# Sentences of license texts and notices: label, expression, priority, confidence.
 CLAUSES = [
-    ("mit", "hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software", 90, 1.0),
-    ("isc", "hereby granted", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 90, 1.0),
-    ("bsd-3-clause", "endorse", r"neither the name of .{1,80} nor the names of its contributors may be used to endorse or promote products", 90, 1.0),
-    ("bsd-4-clause", "acknowledg", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 90, 1.0),
-    ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted", 80, 0.9),
-    ("apache-2.0", "compliance", r"you may not use this file except in compliance with the license", 85, 0.9),
-    ("apache-2.0", "contributor", r"licensed to the apache software foundation asf under one or more contributor license agreements", 85, 1.0),
-    ("gpl", "redistribute", r"you can redistribute it and or modify it under the terms of the gnu general public license", 85, 1.0),
-    ("lgpl", "redistribute", r"you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license", 86, 1.0),
-    ("agpl", "redistribute", r"you can redistribute it and or modify it under the terms of the gnu affero general public license", 86, 1.0),
-    ("gpl-or-later", "later version", r"either version [123] of the license or (?:at your option )?any later version", 84, 0.8),
-    ("mpl-2.0", "source code form", r"this source code form is subject to the terms of the mozilla public license v 2 0", 90, 1.0),
-    ("unlicense", "public domain", r"this is free and unencumbered software released into the public domain", 90, 1.0),
-    ("zlib", "altered source", r"altered source versions must be plainly marked as such", 85, 0.9),
-    ("boost-1.0", "machine executable", r"unless such copies or derivative works are solely in the form of machine executable object code", 90, 1.0),
-    ("ofl-1.1", "font software", r"the font software may be modified altered or added to", 85, 0.9),
-    ("public-domain", "public domain", r"(?:released|placed|dedicated|is) (?:in|into|to) the public domain", 70, 0.8),
-    ("public-domain", "public domain", r"public domain", 20, 0.4),
-    ("reserved", "reserved", r"all rights reserved", 60, 0.9),
-    ("reserved", "reserved", r"copyright (?:c )?(?:[0-9]{4} )+.{0,60}? all rights reserved", 65, 1.0),
-    ("reserved", "reserved", r"alle rechte vorbehalten|tous droits réservés|todos los derechos reservados", 60, 0.9),
-    ("copyright", "copyright", r"copyright (?:c )?[0-9]{4}(?: [0-9]{4})*", 30, 0.5),
-    ("no-commercial", "commercial", r"(?:not|no) (?:for |be used for )?commercial (?:use|purposes)", 50, 0.7),
-    ("no-redistribution", "redistribut", r"(?:may not|must not|shall not) be (?:copied |reproduced )?(?:or )?redistributed", 50, 0.7),
-    ("proprietary", "confidential", r"proprietary and confidential|confidential and proprietary", 60, 0.9),
-    ("proprietary", "permission", r"without (?:the )?(?:prior |express )*written permission (?:of|from)", 40, 0.6),
-    ("unnamed", "licen", r"(?:licensed|released|distributed|available) under (?:the |a |an )?(?:terms of )?(?:\w+ ){0,4}?licen[cs]e", 10, 0.4),
+    ("mit", r"permission is hereby granted free of charge to any person obtaining a copy of this software", 90, 1.0),
+    ("isc", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 90, 1.0),
+    ("bsd-3-clause", r"neither the name of .{1,80} nor the names of its contributors may be used to endorse or promote products", 90, 1.0),
+    ("bsd-4-clause", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 90, 1.0),
+    ("bsd", r"redistribution and use in source and binary forms with or without modification are permitted", 80, 0.9),
+    ("apache-2.0", r"you may not use this file except in compliance with the license", 85, 0.9),
+    ("apache-2.0", r"licensed to the apache software foundation asf under one or more contributor license agreements", 85, 1.0),
+    ("gpl", r"you can redistribute it and or modify it under the terms of the gnu general public license", 85, 1.0),
+    ("lgpl", r"you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license", 86, 1.0),
+    ("agpl", r"you can redistribute it and or modify it under the terms of the gnu affero general public license", 86, 1.0),
+    ("gpl-or-later", r"either version [123] of the license or (?:at your option )?any later version", 84, 0.8),
+    ("mpl-2.0", r"this source code form is subject to the terms of the mozilla public license v 2 0", 90, 1.0),
+    ("unlicense", r"this is free and unencumbered software released into the public domain", 90, 1.0),
+    ("zlib", r"altered source versions must be plainly marked as such", 85, 0.9),
+    ("boost-1.0", r"unless such copies or derivative works are solely in the form of machine executable object code", 90, 1.0),
+    ("ofl-1.1", r"the font software may be modified altered or added to", 85, 0.9),
+    ("public-domain", r"(?:released|placed|dedicated|is) (?:in|into|to) the public domain", 70, 0.8),
+    ("public-domain", r"public domain", 20, 0.4),
+    ("reserved", r"all rights reserved", 60, 0.9),
+    ("reserved", r"copyright (?:c )?(?:[0-9]{4} )+.{0,60}? all rights reserved", 65, 1.0),
+    ("reserved", r"alle rechte vorbehalten|tous droits réservés|todos los derechos reservados", 60, 0.9),
+    ("copyright", r"copyright (?:c )?[0-9]{4}(?: [0-9]{4})*", 30, 0.5),
+    ("no-commercial", r"(?:not|no) (?:for |be used for )?commercial (?:use|purposes)", 50, 0.7),
+    ("no-redistribution", r"(?:may not|must not|shall not) be (?:copied |reproduced )?(?:or )?redistributed", 50, 0.7),
+    ("proprietary", r"proprietary and confidential|confidential and proprietary", 60, 0.9),
+    ("proprietary", r"without (?:the )?(?:prior |express )*written permission (?:of|from)", 40, 0.6),
+    ("unnamed", r"(?:licensed|released|distributed|available) under (?:the |a |an )?(?:terms of )?(?:\w+ ){0,4}?licen[cs]e", 10, 0.4),
 ]
 _LICENSE = r"(?: public)?(?: licen[cs]e)?"
 # How a name is used: expression around the name, priority, confidence. More words around it mean a stronger statement.
@@ -126,32 +128,75 @@ BARE = {"gpl", "lgpl", "agpl", "gfdl", "cc0-1.0", "cc-by", "cc-by-sa", "cc-by-nd
 
 class Rule(NamedTuple):
     label: str
-    keyword: bytes
+    keywords: tuple[frozenset[bytes], ...]
     pattern: re.Pattern
     priority: int
     confidence: float
 
 
-def _rule(label: str, keyword: str, pattern: str, priority: int, confidence: float) -> Rule:
+def _strings(items, most: int = 16) -> tuple[set[str] | None, list[set[str]]]:
+    """All strings that a parsed expression matches, if at most `most`; sets of strings of each of which every match contains one."""
+    run, whole, sets = {""}, True, []
+    for op, value in items:
+        own, inner = None, []
+        if op is _constants.LITERAL:
+            own = {chr(value)}
+        elif op is _constants.IN and all(o is _constants.LITERAL for o, _ in value):
+            own = {chr(v) for _, v in value}
+        elif op is _constants.SUBPATTERN:
+            own, inner = _strings(value[3], most)
+        elif op is _constants.BRANCH:
+            parts = [_strings(p, most) for p in value[1]]
+            if all(own for own, _ in parts):
+                own = set().union(*(own for own, _ in parts))
+            else:
+                each = [([own] if own else []) + inner for own, inner in parts]
+                inner = [set().union(*(max(e, key=lambda c: min(map(len, c))) for e in each))] if all(each) else []
+        elif op in (_constants.MAX_REPEAT, _constants.MIN_REPEAT) and value[0]:
+            inner = _strings(value[2], most)[1]
+        if own and len(run) * len(own) <= most:
+            run = {a + b for a in run for b in own}
+            continue
+        sets += [run, *inner]
+        run, whole = own or {""}, False
+    return (run if whole else None), [c for c in [*sets, run] if min(map(len, c)) > 1]
+
+
+def _whole_word(keyword: bytes) -> bytes | None:
+    """The longest word that stands between blanks in the keyword, and so in every text that has it."""
+    return max(keyword.split(b" ")[1:-1], key=len, default=None)
+
+
+def keywords(pattern: str) -> tuple[frozenset[bytes], ...]:
+    """Sets of keywords, those with whole words and the longest first; a text without one of each has no match of the pattern between blanks."""
+    _, sets = _strings(_parser.parse(f" (?:{pattern}) "))
+    return tuple(sorted({frozenset(k.encode() for k in c) for c in sets},
+                        key=lambda c: (any(_whole_word(k) is None for k in c), -min(map(len, c)), sorted(c))))
+
+
+def _rule(label: str, pattern: str, priority: int, confidence: float) -> Rule:
     # A find stands between blanks; the first one is looked at only, so that finds may share a blank.
-    return Rule(label, keyword.encode(), re.compile(rb"(?<= )(?:" + pattern.encode() + rb")(?= )"), priority, confidence)
+    return Rule(label, keywords(pattern), re.compile(rb"(?<= )(?:" + pattern.encode() + rb")(?= )"), priority, confidence)
 
 
 def signatures() -> list[Rule]:
     """All rules, the strongest first."""
     rules = [_rule(*c) for c in CLAUSES]
     for label, name, identifier, address in NAMES:
-        rules += [_rule(label, "licen", frame.format(name), priority, confidence) for frame, priority, confidence in FRAMES]
-        rules.append(_rule(label, "spdx", rf"spdx license identifier (?:{identifier})", 95, 1.0))
-        rules.append(_rule(label, address.split(" ")[0], rf"(?:www )?{address}(?: [1-4] [05])?", 55, 0.9))
+        rules += [_rule(label, frame.format(name), priority, confidence) for frame, priority, confidence in FRAMES]
+        rules.append(_rule(label, rf"spdx license identifier (?:{identifier})", 95, 1.0))
+        rules.append(_rule(label, rf"(?:www )?{address}(?: [1-4] [05])?", 55, 0.9))
         if label in BARE:
-            rules.append(_rule(label, "cc" if label.startswith("cc") else label.split("-")[0], rf"(?:{name})", 35, 0.7))
+            rules.append(_rule(label, rf"(?:{name})", 35, 0.7))
     return sorted(rules, key=lambda r: (-r.priority, r.label, r.pattern.pattern))
 
 
 RULES = signatures()
-KEYWORDS = sorted({r.keyword for r in RULES} | {phrase for phrase, _ in BASE})
-_GATE = sorted({k for k in KEYWORDS if not any(o != k and o in k for o in KEYWORDS)})
+# Rules by their first set of keywords, so that a set is looked up once for all of them.
+_GROUPS: dict[frozenset[bytes], list[int]] = {}
+for _i, _r in enumerate(RULES):
+    _GROUPS.setdefault(_r.keywords[0], []).append(_i)
+_CHOICES = {c: [(k, _whole_word(k)) for k in sorted(c)] for r in RULES for c in r.keywords}
 
 
 class Find(NamedTuple):
@@ -167,12 +212,22 @@ def normalised(text: str | None) -> bytes:
     return b" " + b"".join(w + b" " for w in _WORDS.findall(raw))
 
 
+def open_rules(words: bytes) -> list[Rule]:
+    """The rules whose keywords the text has."""
+    seen = set(words.split(b" "))
+    known: dict[frozenset[bytes], bool] = {}
+
+    def has(choice: frozenset[bytes]) -> bool:
+        if (at := known.get(choice)) is None:
+            at = known[choice] = any((word is None or word in seen) and k in words for k, word in _CHOICES[choice])
+        return at
+
+    return [RULES[i] for i in sorted(i for first, group in _GROUPS.items() if has(first) for i in group if all(map(has, RULES[i].keywords)))]
+
+
 def detect(words: bytes) -> list[Find]:
     """Finds that no stronger find contains, by place. Offsets are bytes of the normalised text."""
-    if not any(k in words for k in _GATE):
-        return []
-    present = {k for k in KEYWORDS if k in words}
-    found = [(-r.priority, m.start() - m.end(), m.start(), m.end(), r) for r in RULES if r.keyword in present for m in r.pattern.finditer(words)]
+    found = [(-r.priority, m.start() - m.end(), m.start(), m.end(), r) for r in open_rules(words) for m in r.pattern.finditer(words)]
     kept: list[Find] = []
     for _, _, start, end, rule in sorted(found, key=lambda f: f[:4]):
         if not any(k.start <= start and end <= k.end for k in kept):

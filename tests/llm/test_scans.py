@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from re import _constants, _parser
 
 import pytest
 from hypothesis import given, settings
@@ -136,6 +137,46 @@ def test_keyword_gate_never_hides_a_find():
         assert bool(licenses.detect(words)) == bool(every)
 
 
+@pytest.mark.parametrize("text, labels", [
+    ("Mozilla Public License Version 2.0", "mpl-2.0"), ("Eclipse Public License v2.0", "epl-2.0"), ("Creative Commons Attribution 4.0", "cc-by"),
+    ("GNU Free Documentation License", "gfdl"), ("GNU General Public License version 3", "gpl,gpl-3.0"), ("Creative Commons Zero", "cc0-1.0"),
+    ("Do What The Fuck You Want To Public License", "wtfpl"),
+])
+def test_spelled_out_license_names(text, labels):
+    assert licenses.describe(text)[5] == labels
+
+
+def one_text_per_alternative(items):
+    """Matches of a parsed expression, in which each alternative occurs with the first one of all others."""
+    texts = [""]
+    for op, value in items:
+        if op is _constants.LITERAL:
+            own = [chr(value)]
+        elif op is _constants.IN:
+            own = [chr(v) if o is _constants.LITERAL else chr(v[0]) if o is _constants.RANGE else "a" for o, v in value]
+        elif op is _constants.BRANCH:
+            own = [t for part in value[1] for t in one_text_per_alternative(part)]
+        elif op is _constants.SUBPATTERN:
+            own = one_text_per_alternative(value[3])
+        elif op in (_constants.MAX_REPEAT, _constants.MIN_REPEAT):
+            own = [t * n for n in (value[0], value[0] + 1) if n <= value[1] for t in one_text_per_alternative(value[2])]
+        else:
+            assert op is _constants.ANY
+            own = ["x"]
+        texts = [t + own[0] for t in texts] + [texts[0] + o for o in own[1:]]
+    return texts
+
+
+def test_every_alternative_of_every_license_rule_passes_its_keywords():
+    for rule in licenses.RULES:
+        pattern = rule.pattern.pattern.decode().removeprefix("(?<= )").removesuffix("(?= )")
+        for text in one_text_per_alternative(_parser.parse(pattern)):
+            words = licenses.normalised(text)
+            if words != f" {text} ".encode():  # two blanks in a row, which no text has as words
+                continue
+            assert rule.pattern.search(words) and rule in licenses.open_rules(words), (rule.label, text)
+
+
 def test_license_of_rough_rows(spark, rough, nothing):
     rows = licenses.scanned(rough).collect()
     assert len(rows) == rough.count() and licenses.scanned(nothing).collect() == []
