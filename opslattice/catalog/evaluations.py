@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from opslattice.catalog.aggregates import external_flows, rack_alerts
 from opslattice.catalog.base import Tables, query
 from opslattice.catalog.detectors import rounded
 from opslattice.catalog.joins import split_blocks
+from opslattice.catalog.reports import host_table
 from opslattice.operators import evaluation as E
+from opslattice.operators import relational as R
+from opslattice.plans.runtime import durable
 
 LINE = r"trim(split_part(trim(answer, E' \t\n\r'), E'\n', 1), E' \t\r')"
 NO = r"no anomal(y|ies) (was |were )?(detected|found)"
@@ -35,7 +39,10 @@ def judged(t: Tables):
 @query("e1_golden_set")
 def _(t):
     test = split_blocks(t).filter("split = 'test'").select("block_id", "is_anomaly")
-    return E.golden_set(test, "is_anomaly", "block_id")
+    alerted = t("alerts").select("src_ip").dropna().distinct()
+    flows = external_flows(t)
+    clean = flows.select("src_ip").distinct().join(alerted, "src_ip", "left_anti")
+    return E.golden_questions(test, durable(host_table(t)), rack_alerts(t), alerted, clean, R.fan_out(flows))
 
 
 TEMPLATE_ROWS = """SELECT i, run, answer, type, CASE WHEN type = 'host' THEN '["10.0.0.1"]' ELSE truth END AS truth FROM @answers JOIN @prompts USING (i)"""

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from opslattice.catalog import QUERIES
 from opslattice.operators import audit as N
 from opslattice.operators import evaluation as E
 from opslattice.operators import quality as Q
@@ -138,3 +139,27 @@ def test_flow_log_and_eve_files(spark, tmp_path):
     assert parts["flows"].first()["end_ts"].isoformat() == "2024-01-01T00:01:00"
     broken = readers.eve_from_text(spark.createDataFrame([('{"event_type":"alert","flow_id":1,"alert":{}}',)], "l string"), "l")
     assert readers.missing_required(broken).first()["lacking"] == 1
+
+
+def test_golden_questions_of_every_kind(spark):
+    blocks = spark.range(9).select(F.concat(F.lit("blk_"), "id").alias("block_id"), (F.col("id") < 4).alias("is_anomaly"))
+    hosts = spark.createDataFrame([(f"10.0.0.{i}", i < 2) for i in range(8)], "ip string, significant boolean")
+    racks = spark.createDataFrame([("R01", 3), ("R02", 9)], "rack string, alerts int")
+    alerted, clean = (spark.createDataFrame([(f"{n}.0.0.{i}",) for i in range(8)], "src_ip string") for n in (8, 9))
+    scanners = spark.createDataFrame([("8.0.0.1", 5, 9), ("8.0.0.2", 7, 7)], "src_ip string, ports int, flows int")
+    rows = E.golden_questions(blocks, hosts, racks, alerted, clean, scanners, per_stratum=3).collect()
+    count, truth = {}, {}
+    for r in rows:
+        count[r["type"]] = count.get(r["type"], 0) + 1
+        truth.setdefault(r["type"], set()).add(r["truth"])
+    assert count == {"block": 6, "host": 3, "host_one": 5, "rack": 2, "template": 4, "missing": 2, "source": 12, "scanner": 2, "signature": 3}
+    assert truth["host"] == {'["10.0.0.0","10.0.0.1"]'} and truth["rack"] == {"R02"} and truth["scanner"] == {"8.0.0.2"}
+    for r in rows:
+        expected = {"host_one": str(r["key"] in ("10.0.0.0", "10.0.0.1")).lower(), "source": str(r["key"].startswith("8.")).lower(),
+                    "block": str(int(r["key"] < "blk_4")), "missing": "not found"}
+        assert r["truth"] == expected.get(r["type"], r["truth"]) and r["key"] in r["question"] + r["truth"]
+
+
+def test_golden_set_query_asks_every_kind(spark):
+    kinds = {r["type"] for r in QUERIES["e1_golden_set"](spark, "/root/testdata/sf0.001").collect()}
+    assert kinds == {"block", "host", "host_one", "rack", "template", "missing", "source", "scanner", "signature"}
