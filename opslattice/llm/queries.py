@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opslattice.llm import decontam, langid, licenses, neardup, packing, pii, quality_model, rules, tokens, warc
+from opslattice.llm import (
+    collocations, decontam, hard_negatives, langid, licenses, neardup, packing, pii, quality_model, rules, token_counts, tokens, warc)
 from opslattice.llm.common import stage_path
 
 QUERIES, ORACLES = {}, {}
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def query(fn):
@@ -86,3 +88,75 @@ def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_warc(pages, good)
     warc.write_warc(warc.decayed(pages), aged)
     return warc.audit(warc.read_records(spark, good), warc.read_records(spark, aged))
+
+
+@query
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), WORD_VOCABULARY, limit=2048)
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest phrases of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=30, top=2000, percent=80)
+
+
+ORACLES["op12_collocations"] = """
+WITH texts AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS p FROM texts),
+rows AS (SELECT lang, [x for x in regexp_split_to_array(p, '[\\x20\\x09]+') if x <> ''] AS w FROM pieces),
+grams AS (
+    SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) AS phrase
+    FROM rows, (SELECT unnest([1, 2, 3, 4]) AS k)),
+counts AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k AS size, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k > 1 AND f >= 30),
+cuts AS (SELECT lang, size, phrase, a, w, unnest(range(1, size)) AS k FROM cand),
+scores AS (
+    SELECT c.*, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a // (x.f::HUGEINT + y.f))::BIGINT AS score
+    FROM cuts c
+    JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ')
+    JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ')),
+lowest AS (
+    SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_phrases AS (
+    SELECT c.lang, c.a, unnest(flatten([[array_to_string(c.w[i:i + k - 1], ' ') for i in range(1, c.size - k + 2)] for k in range(2, c.size)])) AS phrase
+    FROM cand c WHERE c.size > 2),
+longer AS (SELECT lang, phrase, max(a) AS most FROM inner_phrases GROUP BY ALL),
+kept AS (
+    SELECT s.* FROM lowest s LEFT JOIN longer o USING (lang, phrase)
+    WHERE o.most IS NULL OR 100 * o.most::HUGEINT < 80 * s.a::HUGEINT),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives for the positives of every anchor."""
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op13_hard_negatives"] = """
+WITH base AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           [floor(256 * x::DOUBLE) for x in embedding] AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+    SELECT q.vec_id AS anchor_id, p.vec_id AS id, q.label = p.label AS same, list_dot_product(q.v, p.v)::BIGINT AS score
+    FROM base q JOIN base p ON q.vec_id <> p.vec_id WHERE q.vec_id % 50 = 0),
+positives AS (
+    SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+found AS (
+    SELECT p.anchor_id, p.positive_id, p.positive_score, n.id AS negative_id, n.score AS negative_score,
+           row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.id) AS rank
+    FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+    WHERE 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM found WHERE rank <= 3
+"""
