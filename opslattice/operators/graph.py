@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from opslattice.functions.parsing import crosses_subnet, subnet16
 from opslattice.operators.sessions import one_row
 from opslattice.plans.runtime import durable
-from opslattice.plans.skew import HOT_ROWS, MAX_HOT_KEYS, pairs_within, salted_join
+from opslattice.plans.skew import HOT_ROWS, hot_counts, pairs_within, salted_join
 
 
 def cooccurrence_edges(placement: DataFrame, item: str, member: str, labels: DataFrame | None = None,
@@ -45,14 +45,11 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return row["n"], row["a"], row["b"]
 
 
-def _with_minimum(edges: DataFrame, rows: int, hot_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Edges (u, v) with the smallest neighbour m of u; hubs are split when there can be any."""
+def _with_minimum(edges: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v) with the smallest neighbour m of u, hubs split; and (u, m)."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_d"))
-    if rows < hot_rows:
-        return edges.join(least.select("u", "m"), "u"), least
-    hubs = least.filter(F.col("_d") >= hot_rows).orderBy(F.desc("_d"), "u").limit(MAX_HOT_KEYS)
-    hot = hubs.select("u", F.lit(True).alias("_hot"))
-    return salted_join(edges, least.select("u", "m"), ["u"], "v", hot=hot), least
+    hubs = hot_counts(least, ["u"], "_d", hot_rows)
+    return salted_join(edges, least.select("u", "m"), ["u"], "v", hot=hubs), least
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", vertices: DataFrame | None = None,
@@ -70,10 +67,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", v
     before = _fingerprint(state)
     while True:
         both = state.union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near, _least = _with_minimum(both, 2 * before[0], hot_rows)
+        near, _least = _with_minimum(both, hot_rows)
         large = near.filter(F.col("v") > F.col("u")).select(
             F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        near, least = _with_minimum(large, 2 * before[0], hot_rows)
+        near, least = _with_minimum(large, hot_rows)
         small = near.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         state = durable(small.union(least.select("u", F.col("m").alias("v"))).distinct())
         after = _fingerprint(state)

@@ -13,36 +13,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000  # a key with fewer rows than this fits one task
-MAX_HOT_KEYS = 10_000  # size bound of the broadcast list of hot keys
-SALTS = 64
+SHARES = 10_000  # a key with less than this part of all rows is no larger than a fair share of one task
+NULL_SALTS = 64  # rows with a null key match nothing and are spread over so many values
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The largest keys with at least hot_rows rows; never more than MAX_HOT_KEYS.
+    """(keys, _salts): the keys that are too large for one task, and over how many values to spread each.
 
-    A key beyond the bound holds under 1/MAX_HOT_KEYS of the rows and is not split.
+    A key is too large with hot_rows rows or more, if these are 1/SHARES of all rows or more. So at most SHARES keys can be,
+    whatever the data, and each is spread by its own size.
     """
+    return hot_counts(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")), keys, "_rows", hot_rows)
+
+
+def hot_counts(counts: DataFrame, keys: list[str], rows: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The same from a frame that has one row per key and its number of rows."""
+    known = counts.select(*keys, F.col(rows).alias("_rows"), F.lit(1).alias("_one"))
+    total = known.agg(F.sum("_rows").alias("_all"), F.lit(1).alias("_one"))
+    most = F.greatest(F.lit(hot_rows), F.ceil(F.col("_all") / SHARES))
     return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") >= hot_rows)
-        .orderBy(F.desc("_rows"), *keys)
-        .limit(MAX_HOT_KEYS)
-        .select(*keys, F.lit(True).alias("_hot"))
+        known.filter(F.col("_rows") >= hot_rows)
+        .join(F.broadcast(total), "_one")
+        .filter(F.col("_rows") >= most)
+        .select(*keys, (F.ceil(F.col("_rows") / most) + 1).cast("int").alias("_salts"))
     )
 
 
-def salt_rows(df: DataFrame, hot: DataFrame, keys: list[str], spread: Column, salts: int = SALTS) -> DataFrame:
-    """Add _salt: rows of hot or null keys are spread over `salts` values, others get 0."""
-    split = F.col("_hot").isNotNull() | reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    salt = F.when(split, F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0)).cast("int")
-    return df.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_hot")
+def salt_rows(df: DataFrame, hot: DataFrame, keys: list[str], spread: Column) -> DataFrame:
+    """Add _salt: rows of hot or null keys are spread, others get 0."""
+    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    salts = F.coalesce("_salts", F.when(no_key, NULL_SALTS), F.lit(1))
+    return df.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("_salts")
 
 
-def replicate_rows(df: DataFrame, hot: DataFrame, keys: list[str], salts: int = SALTS) -> DataFrame:
+def replicate_rows(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
     """Add _salt: one copy per salt for rows of hot keys, a single copy with 0 otherwise."""
-    copies = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    return df.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    return df.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
 
 
 def salted_join(
@@ -52,18 +59,17 @@ def salted_join(
     spread: str,
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
     hot: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join in which a hot key of `rows` is spread by the unique column `spread`."""
     hot = hot_keys(rows, keys, hot_rows) if hot is None else hot
-    left = salt_rows(rows, hot, keys, F.col(spread), salts)
-    right = replicate_rows(lookup, hot, keys, salts)
+    left = salt_rows(rows, hot, keys, F.col(spread))
+    right = replicate_rows(lookup, hot, keys)
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
 def pairs_within(
-    df: DataFrame, item: str, member: str, carry: tuple[str, ...] = (), hot_rows: int = 10_000, salts: int = SALTS
+    df: DataFrame, item: str, member: str, carry: tuple[str, ...] = (), hot_rows: int = 10_000
 ) -> DataFrame:
     """(item, a, b, *carry) for members a < b of the same item; df holds distinct (item, member).
 
@@ -71,8 +77,8 @@ def pairs_within(
     member on one side and replicated on the other.
     """
     hot = hot_keys(df, [item], hot_rows)
-    left = salt_rows(df.select(item, member, *carry), hot, [item], F.col(member), salts)
-    right = replicate_rows(df.select(item, member), hot, [item], salts)
+    left = salt_rows(df.select(item, member, *carry), hot, [item], F.col(member))
+    right = replicate_rows(df.select(item, member), hot, [item])
     pairs = left.withColumnRenamed(member, "a").join(right.withColumnRenamed(member, "b"), [item, "_salt"])
     return pairs.filter(F.col("a") < F.col("b")).select(item, "a", "b", *carry)
 

@@ -57,16 +57,24 @@ def test_previous_numbered_and_last_seen(table):
 def test_salted_join_equals_plain_join(spark, table, how):
     lookup = spark.createDataFrame([("hot", 1), ("a", 2), ("z", 3), (None, 4)], "key string, w int")
     plain = sorted(table.join(lookup, "key", how).select("id", "w").collect())
-    salted = skew.salted_join(table, lookup, ["key"], "id", how, hot_rows=50, salts=5)
+    salted = skew.salted_join(table, lookup, ["key"], "id", how, hot_rows=50)
     assert sorted(salted.select("id", "w").collect(), key=str) == sorted(plain, key=str)
     assert skew.hot_keys(table, ["key"], 100).filter("key = 'hot'").count() == 1
 
 
+def test_hot_keys_are_few_and_spread_by_size(spark, monkeypatch):
+    monkeypatch.setattr(skew, "SHARES", 10)
+    df = spark.range(1000).selectExpr("CASE WHEN id < 500 THEN -1 WHEN id < 700 THEN -2 ELSE id % 100 END AS key")
+    found = {r["key"]: r["_salts"] for r in skew.hot_keys(df, ["key"], 3).collect()}
+    assert found == {-1: 6, -2: 3}  # 100 rows are a tenth of all
+    assert {r["key"] for r in skew.hot_keys(df, ["key"], 300).collect()} == {-1}
+
+
 def test_pairs_within_splits_hot_items(spark):
     rng = random.Random(3)
     placed = {("big", m) for m in range(40)} | {(f"i{rng.randint(0, 20)}", rng.randint(0, 40)) for _ in range(150)}
     df = spark.createDataFrame([(i, m, i == "big") for i, m in placed], "item string, member int, y boolean")
-    got = sorted(tuple(r) for r in skew.pairs_within(df, "item", "member", ("y",), hot_rows=10, salts=4).collect())
+    got = sorted(tuple(r) for r in skew.pairs_within(df, "item", "member", ("y",), hot_rows=10).collect())
     want = sorted((i, a, b, i == "big") for i, a in placed for j, b in placed if i == j and a < b)
     assert got == want
 
