@@ -16,6 +16,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -32,6 +34,7 @@ PERIOD = 32  # tokens between two cuts on average
 MOST = 512  # tokens after which a chunk ends where no cut was found
 TABLE_BITS = 1 << 25  # bits in a table of frequent hashes: 4 MB, whatever the corpus
 PROBES = 2
+KEY_BITS = 40  # of a phrase's hash, by which it is first counted
 SALTS = 64
 _BATCH_BYTES = 8 << 20
 
@@ -48,7 +51,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _hashes(tokens: list[bytes], seed: int = 0) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(t, seed) for t in tokens), dtype=np.uint64, count=len(tokens))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, tokens, repeat(seed)), dtype=np.uint64, count=len(tokens))
 
 
 def _sequences(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -117,12 +120,21 @@ class _Batch:
         chunk = np.repeat(np.arange(len(cut)), sizes)
         self.weights = weights[chunk]
         self.end = ends[chunk]  # first place behind the chunk
-        self.codes, self.words = pd.factorize(np.array(self.tokens, dtype=object))
-        self.words = list(self.words)
-        breaks = np.array([w == b"\n" for w in self.words], dtype=bool)
-        self.is_word = ~breaks[self.codes]
+        seed = xxhash.xxh3_64_intdigest(lang.encode("utf-8"))
+        self.hashes = _hashes(self.tokens, seed)
+        breaks = np.flatnonzero(self.hashes == np.uint64(xxhash.xxh3_64_intdigest(b"\n", seed)))
+        self.is_word = np.ones(len(self.tokens), dtype=bool)
+        self.is_word[breaks] = [self.tokens[i] != b"\n" for i in breaks.tolist()]
         self.own = (place < own_ends[chunk]) & self.is_word
-        self.hashes = _hashes(self.words, xxhash.xxh3_64_intdigest(lang.encode("utf-8")))
+
+    @cached_property
+    def codes(self) -> np.ndarray:
+        """Equal numbers for equal tokens."""
+        return pd.factorize(np.array(self.tokens, dtype=object))[0]
+
+    def keys(self, k: int) -> np.ndarray:
+        """Key of the k tokens that start at each place."""
+        return _sequences(self.hashes, k) & np.uint64((1 << KEY_BITS) - 1)
 
     def starts(self, fits: np.ndarray, k: int) -> np.ndarray:
         """Places where k tokens, all of them in `fits` and in one chunk, start a phrase that is counted here."""
@@ -152,47 +164,50 @@ def _by_language(frames: list[pd.DataFrame]) -> Iterator[tuple[str, _Batch]]:
 
 
 def _added_up(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and the sums of their weights, as integers."""
+    """(where each distinct key stands, sum of its weights), as integers."""
+    if not len(keys):
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, dtype=np.int64)
-    return keys[first], np.add.reduceat(weights[order], first) if len(first) else np.empty(0, dtype=np.int64)
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return order[first], np.add.reduceat(weights[order], first)
 
 
 def word_counts(parsed: DataFrame, least: int) -> DataFrame:
     """(lang, phrase, n): words with n >= least, and with phrase null the number of words of each language."""
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lang, batch in _batches(frames):
-            codes, sums = _added_up(batch.codes[batch.own], batch.weights[batch.own])
-            words = [batch.words[c].decode("utf-8") for c in codes]
+            at = np.flatnonzero(batch.own)
+            first, sums = _added_up(batch.codes[at], batch.weights[at])
+            words = [batch.tokens[i].decode("utf-8") for i in at[first].tolist()]
             yield pd.DataFrame({"lang": lang, "phrase": [*words, None], "n": [*sums.tolist(), int(sums.sum())]})
 
     counted = parsed.mapInPandas(count, "lang string, phrase string, n long")
     return counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | F.col("phrase").isNull())
 
 
-def _probes(hashes: np.ndarray) -> list[np.ndarray]:
-    return [_mix(hashes + np.uint64(i)) & np.uint64(TABLE_BITS - 1) for i in range(PROBES)]
+def _probes(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [_mix(hashes + np.uint64(i)) & np.uint64(bits - 1) for i in range(PROBES)]
 
 
 def _contains(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     found = np.ones(len(hashes), dtype=bool)
-    for at in _probes(hashes):
+    for at in _probes(hashes, len(table) << 6):
         found &= (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
     return found
 
 
-def _bit_table(rows: DataFrame, hashed: Callable[[pd.DataFrame], np.ndarray]) -> Broadcast:
-    """A table of TABLE_BITS bits with those of the rows' hashes set, put together on the executors."""
+def _bit_table(rows: DataFrame, hashed: Callable[[pd.DataFrame], np.ndarray], table_bits: int) -> Broadcast:
+    """A table of bits with those of the rows' hashes set, put together on the executors."""
     def bits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            at = np.concatenate(_probes(hashed(frame)))
+            at = np.concatenate(_probes(hashed(frame), table_bits))
             table = pd.DataFrame({"word": (at >> np.uint64(6)).astype(np.int64), "bits": (np.uint64(1) << (at & np.uint64(63))).view(np.int64)})
             yield table.drop_duplicates()
 
     spark = rows.sparkSession
     words = rows.mapInPandas(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    table = np.zeros(TABLE_BITS >> 6, dtype=np.uint64)
+    table = np.zeros(table_bits >> 6, dtype=np.uint64)
     table[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.int64).view(np.uint64)
     return spark.sparkContext.broadcast(table)
 
@@ -212,32 +227,31 @@ def _hash_counts(parsed: DataFrame, least: int, found: Callable[[_Batch], Iterat
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, batch in _batches(frames):
             for hashes, weights in found(batch):
-                keys, sums = _added_up(hashes, weights)
-                yield pd.DataFrame({"h": keys.view(np.int64), "n": sums})
+                first, sums = _added_up(hashes, weights)
+                yield pd.DataFrame({"h": hashes[first].view(np.int64), "n": sums})
 
     return parsed.mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
-def phrase_counts(parsed: DataFrame, words: DataFrame, least: int) -> DataFrame:
+def phrase_counts(parsed: DataFrame, words: DataFrame, least: int, table_bits: int = TABLE_BITS) -> DataFrame:
     """(lang, phrase, n): phrases of 2 to LONGEST words with n >= least; words: the frequent words."""
-    frequent = _bit_table(words, _word_hashes)
+    frequent = _bit_table(words, _word_hashes, table_bits)
 
     def known_words(batch: _Batch) -> np.ndarray:
-        return (_contains(frequent.value, batch.hashes))[batch.codes] & batch.is_word
+        return _contains(frequent.value, batch.hashes) & batch.is_word
 
     def pairs(batch: _Batch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at = batch.starts(known_words(batch), 2)
-        yield _sequences(batch.hashes[batch.codes], 2)[at], batch.weights[at]
+        yield batch.keys(2)[at], batch.weights[at]
 
-    paired = _bit_table(_hash_counts(parsed, least, pairs).select("h"), _hash_column)
+    paired = _bit_table(_hash_counts(parsed, least, pairs).select("h"), _hash_column, table_bits)
 
     def runs(batch: _Batch) -> tuple[np.ndarray, np.ndarray]:
         """For each place whether frequent words stand there, and whether a frequent pair starts there."""
         fits = known_words(batch)
-        hashes = batch.hashes[batch.codes]
         pair = np.zeros(len(fits), dtype=bool)
         both = np.flatnonzero(fits[:-1] & fits[1:])
-        pair[both] = _contains(paired.value, _sequences(hashes, 2)[both])
+        pair[both] = _contains(paired.value, batch.keys(2)[both])
         return fits, pair
 
     def placed(batch: _Batch, k: int, fits: np.ndarray, pair: np.ndarray) -> np.ndarray:
@@ -248,33 +262,30 @@ def phrase_counts(parsed: DataFrame, words: DataFrame, least: int) -> DataFrame:
 
     def longer(batch: _Batch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         fits, pair = runs(batch)
-        hashes = batch.hashes[batch.codes]
         for k in range(3, LONGEST + 1):
             at = placed(batch, k, fits, pair)
-            yield _sequences(hashes, k)[at], batch.weights[at]
+            yield batch.keys(k)[at], batch.weights[at]
 
-    lengthened = _bit_table(_hash_counts(parsed, least, longer).select("h"), _hash_column)
+    lengthened = _bit_table(_hash_counts(parsed, least, longer).select("h"), _hash_column, table_bits)
 
     def spell(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lang, batch in _batches(frames):
             fits, pair = runs(batch)
-            hashes = batch.hashes[batch.codes]
             for k in range(2, LONGEST + 1):
                 at = placed(batch, k, fits, pair)
-                keys = _sequences(hashes, k)[at]
+                keys = batch.keys(k)[at]
                 if k > 2:
                     some = _contains(lengthened.value, keys)
                     at, keys = at[some], keys[some]
                 found = Counter()
-                # Equal hashes are spelled once, if their words are equal too.
+                # Equal keys are spelled once where their words are equal too.
                 order = np.argsort(keys, kind="stable")
-                at, keys = at[order], keys[order]
+                at = at[order]
                 codes = np.stack([batch.codes[at + i] for i in range(k)], axis=1)
-                new = np.r_[True, (codes[1:] != codes[:-1]).any(axis=1)] if len(at) else np.empty(0, dtype=bool)
-                first = np.flatnonzero(new)
+                first = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]).any(axis=1)]) if len(at) else []
                 sums = np.add.reduceat(batch.weights[at], first).tolist() if len(first) else []
-                for row, n in zip(codes[first].tolist(), sums):
-                    found[b" ".join([batch.words[c] for c in row])] += n
+                for start, n in zip(at[first].tolist(), sums):
+                    found[b" ".join(batch.tokens[start: start + k])] += n
                 if found:
                     yield pd.DataFrame({"lang": lang, "phrase": [p.decode("utf-8") for p in found], "n": list(found.values())})
 
@@ -306,7 +317,7 @@ def _most_of_longer(phrases: DataFrame) -> DataFrame:
         "lang", F.explode(inner).alias("phrase"), "longer").groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
 
 
-def collocations(docs: DataFrame, least: int = 30, top: int = 2000, percent: int = 80) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 30, top: int = 2000, percent: int = 80, table_bits: int = TABLE_BITS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the `top` strongest phrases of each language.
 
     Words are runs of other characters than blank and tab inside pieces, which end at . , ; : ! ? and line ends; A-Z count as
@@ -321,7 +332,7 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, percent: int
     counted = staged(word_counts(parsed, least), "collocations-words")
     words = counted.filter(F.col("phrase").isNotNull())
     totals = counted.filter(F.col("phrase").isNull()).select("lang", F.col("n"))
-    phrases = staged(phrase_counts(parsed, words, least), "collocations-phrases")
+    phrases = staged(phrase_counts(parsed, words, least, table_bits), "collocations-phrases")
     scored = _scored(phrases, words).join(_most_of_longer(phrases), ["lang", "phrase"], "left").filter(
         F.col("longer").isNull() | (100 * F.col("longer").cast("decimal(20,0)") < percent * F.col("a").cast("decimal(20,0)")))
     order = [F.desc("score"), F.desc("a"), "phrase"]

@@ -34,7 +34,7 @@ _LONG = (-(1 << 63), (1 << 63) - 1)
 
 
 class Vectors(NamedTuple):
-    """Rows of integer vectors; `exact` tells that products with any other row stay below 2^53."""
+    """Rows of vectors with whole numbers as components."""
     row: np.ndarray
     id: np.ndarray
     label: np.ndarray
@@ -168,7 +168,8 @@ def prepared(vectors: DataFrame, classes: int, moved: int) -> DataFrame:
     return numbered.mapInPandas(scaled, "row long, id long, label long, values binary, length double")
 
 
-def _searched(index: DataFrame, anchors: Vectors, size: int, band: tuple[np.ndarray, np.ndarray] | None, few: int) -> DataFrame:
+def _searched(index: DataFrame, anchors: Vectors, size: int, band: tuple[np.ndarray, np.ndarray] | None, few: int,
+              rows: int) -> DataFrame:
     """(search, id, score): the best `few` of each task; without bands the same label, with bands (lowest and highest score
     of each search, anchor by anchor) another label."""
     shared = index.sparkSession.sparkContext.broadcast((tuple(anchors), band))
@@ -179,8 +180,8 @@ def _searched(index: DataFrame, anchors: Vectors, size: int, band: tuple[np.ndar
         anchors = Vectors(*columns)
         best = Best(len(anchors.id) * per, few)
         for frame in frames:
-            for at in range(0, len(frame), BUCKET):
-                bucket = Bucket(_vectors(frame.iloc[at: at + BUCKET], size))
+            for at in range(0, len(frame), rows):
+                bucket = Bucket(_vectors(frame.iloc[at: at + rows], size))
                 if band is None:
                     _same_label(anchors, bucket, best)
                 else:
@@ -207,15 +208,16 @@ def _verified_part(anchors: Vectors, bucket: Bucket, asking: np.ndarray, columns
 
 def _other_label(anchors: Vectors, bucket: Bucket, best: Best, lowest: np.ndarray, highest: np.ndarray) -> None:
     per = lowest.shape[1]
-    needed = np.maximum(best.least.reshape(-1, per), lowest)
-    needed[lowest > highest] = np.inf  # an empty band asks for nothing
+    bounds = lowest if lowest.dtype != object else np.array([_below(s) for s in lowest.ravel()]).reshape(lowest.shape)
+    needed = np.maximum(best.least.reshape(-1, per), bounds)
+    needed[(lowest > highest).astype(bool)] = np.inf  # an empty band asks for nothing
     asking, mask = bucket.candidates(anchors, needed.min(axis=1))
-    mask &= anchors.label[asking, None] != bucket.vectors.label[None, :]
+    mask &= (anchors.label[asking, None] != bucket.vectors.label[None, :]) & (anchors.id[asking, None] != bucket.vectors.id[None, :])
     if not mask.any():
         return
     scores = _verified(anchors, bucket, asking, mask)
     for k in range(per):
-        inside = (scores >= lowest[asking, k, None]) & (scores <= highest[asking, k, None])
+        inside = ((scores >= lowest[asking, k, None]) & (scores <= highest[asking, k, None])).astype(bool)
         best.add(asking * per + k, bucket.vectors.id, np.where(inside, scores, -np.inf))
 
 
@@ -229,7 +231,7 @@ RESULT = "anchor_id long, positive_id long, rank int, negative_id long, positive
 
 
 def hard_negatives(vectors: DataFrame, every: int = 50, positives: int = 5, negatives: int = 3, classes: int = 10, moved: int = 7,
-                   lowest: int = 50, highest: int = 95, block: int = BLOCK) -> DataFrame:
+                   lowest: int = 50, highest: int = 95, block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score).
 
     Anchors are the rows whose vec_id is divisible by `every`; where it is divisible by `moved`, the label is (label + 1) %
@@ -238,8 +240,8 @@ def hard_negatives(vectors: DataFrame, every: int = 50, positives: int = 5, nega
     then smaller ids.
 
     Rows with a null id, label, vector or component, or a component that is not finite (times 256) take no part. Shorter vectors
-    count as zeros beyond their end. Rows that share the anchor's vec_id are not its positives; otherwise repeated rows and ids are
-    rows of their own, so equal lines can be returned. Scores beyond a long are returned as the nearest long. Tables without
+    count as zeros beyond their end. Rows that share the anchor's vec_id are no partners of it; otherwise repeated rows and ids are
+    rows of their own, so equal lines can be returned. Scores beyond a long count as the nearest long. Tables without
     usable rows or anchors give no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
@@ -255,18 +257,21 @@ def hard_negatives(vectors: DataFrame, every: int = 50, positives: int = 5, nega
     spark.createDataFrame([], RESULT).write.parquet(out)
     for (number,) in asked.select("block").distinct().orderBy("block").collect():
         anchors = _vectors(asked.filter(F.col("block") == number).toPandas(), size)
-        found = _ranked(_searched(index, anchors, size, None, positives), positives).toPandas()
+        found = _ranked(_searched(index, anchors, size, None, positives, bucket), positives).toPandas()
         found = found.sort_values(["search", "rank"], ignore_index=True)
         table = np.full((len(anchors.id), positives, 2), 0, dtype=np.int64)
-        low, high = np.full(table.shape[:2], np.inf), np.full(table.shape[:2], -np.inf)
         at = (found["search"].to_numpy(np.int64), found["rank"].to_numpy(np.int64) - 1)
         table[at] = found[["id", "score"]].to_numpy(np.int64)
+        asked_for = np.zeros(table.shape[:2], dtype=bool)
+        asked_for[at] = True
         # Whole-number bounds: 100 * negative >= lowest * positive, 100 * negative <= highest * positive.
+        exact = float if np.abs(table[:, :, 1]).max(initial=0) < _EXACT / max(lowest, highest, 100) else object
+        low, high = np.full(table.shape[:2], 1, dtype=exact), np.full(table.shape[:2], 0, dtype=exact)
         low[at] = [-(-lowest * s // 100) for s in found["score"].tolist()]
         high[at] = [highest * s // 100 for s in found["score"].tolist()]
-        negative = _ranked(_searched(index, anchors, size, (low.ravel(), high.ravel()), negatives), negatives)
+        negative = _ranked(_searched(index, anchors, size, (low.ravel(), high.ravel()), negatives, bucket), negatives)
         ids, positive_ids, scores = np.repeat(anchors.id, positives), table[:, :, 0].ravel(), table[:, :, 1].ravel()
-        asks = np.arange(len(ids))[np.isfinite(low.ravel())]
+        asks = np.flatnonzero(asked_for.ravel())
         pairs = spark.createDataFrame(pd.DataFrame({
             "search": asks, "anchor_id": ids[asks], "positive_id": positive_ids[asks], "positive_score": scores[asks]}),
             "search long, anchor_id long, positive_id long, positive_score long")
