@@ -30,6 +30,19 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def columns_of(df: DataFrame) -> list[F.Column]:
+    """All columns under their own names, whatever characters these hold."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in df.columns]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def fold(column) -> F.Column:
     """crc32 of an id as text, modulo 4: the split that the contracts name."""
     return F.pmod(F.crc32(F.encode(column.cast("string"), "UTF-8")), F.lit(4))

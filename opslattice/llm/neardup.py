@@ -4,11 +4,12 @@ A document is its set of distinct five-word shingles. Documents with equal sets
 smallest id goes on. MinHash bands deal the classes into buckets. Inside a bucket the odd sketches (parity bitmaps of the
 MinHash samples, whose XOR population count tells how many samples differ) decide which pairs are worth an exact look.
 
-Pairs within a bucket are never listed as such. In the first two rounds a class names, in one bucket of its own, its closest
-partner and the best-connected member; confirmed links join classes into groups, and pairs inside one group need no further
-look. Then whatever is outside the largest group of a bucket names its closest few in every bucket. The last round compares whatever is still outside the largest group of its
-bucket with the whole bucket and names every pair that the sketches let pass, so no link between groups is lost. Large
-buckets are split into blocks of bounded size in every round.
+Pairs are never listed. A task that compares members of a bucket has their texts too, confirms what the sketches let pass
+through an index from shingle to member, and returns a spanning forest of the links: fewer rows than members, however many
+pairs there are. In the first round every class is in one bucket of its own, so the trees are groups already. In the second
+round it is in another bucket and in other company. The last round compares whatever is still outside the largest group of a
+bucket with the whole bucket, in every bucket, so no link between groups is lost. Large buckets are split into blocks of
+bounded size in every round.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslattice.llm.common import id_and_text, staged
+from opslattice.llm.common import columns_of, id_and_text, staged
 from opslattice.operators.graph import connected_components
+from opslattice.plans.skew import hot_counts, salted_join
 
 WORDS = 5
 SAMPLES = 256  # MinHash samples, all of them folded into the sketch
@@ -32,14 +34,14 @@ BANDS, ROWS = 40, 4  # a pair of similarity 0.75 shares no band with probability
 BITS = 1024
 MARGIN = 0.15  # below the wanted similarity, more than five standard errors of the sketch
 BLOCK = 2048  # members of a bucket that are compared in one task at a time
-FINE_SAMPLES, FINE_BITS, FINE_MARGIN = 1024, 4096, 0.07  # for the last round, where all close pairs count
-FEW = (1, 1, 4, 0)  # partners that a member names in each round; the last round names all
+HOT_ROWS = 1024  # equal documents whose join with their class is split
+PART_BYTES = 8 << 20  # compressed texts of members whose shingles are indexed at a time
 
 _random = np.random.default_rng(20240229)
 _POWERS = _random.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_A = _random.integers(1, 1 << 63, FINE_SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _random.integers(1, 1 << 63, FINE_SAMPLES, dtype=np.uint64)
-_PLACE = np.arange(FINE_SAMPLES, dtype=np.uint64) << np.uint64(32)
+_A = _random.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _random.integers(1, 1 << 63, SAMPLES, dtype=np.uint64)
+_PLACE = np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -68,11 +70,11 @@ def shingle_set(words: list[bytes]) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def minhash(shingles: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
-    least = np.full(samples, np.iinfo(np.uint64).max, dtype=np.uint64)
+def minhash(shingles: np.ndarray) -> np.ndarray:
+    least = np.full(SAMPLES, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(shingles), 1024):
-        some = shingles[at: at + 1024, None] * _A[:samples]
-        some += _B[:samples]
+        some = shingles[at: at + 1024, None] * _A
+        some += _B
         np.minimum(least, some.min(axis=0), out=least)
     return least >> np.uint64(32)
 
@@ -85,15 +87,15 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def odd_sketch(samples: np.ndarray, bits: int = BITS) -> bytes:
+def odd_sketch(samples: np.ndarray) -> bytes:
     """Bit b is the parity of the number of samples that hash to b."""
-    places = (_mix(samples | _PLACE[: len(samples)]) & np.uint64(bits - 1)).astype(np.int64)
-    return np.packbits(np.bincount(places, minlength=bits).astype(np.uint8) & 1).tobytes()
+    places = (_mix(samples | _PLACE) & np.uint64(BITS - 1)).astype(np.int64)
+    return np.packbits(np.bincount(places, minlength=BITS).astype(np.uint8) & 1).tobytes()
 
 
-def most_differing_bits(similarity: float, samples: int = SAMPLES, bits: int = BITS) -> int:
+def most_differing_bits(similarity: float) -> int:
     """Population count of the XOR that two sets of that similarity have on average."""
-    return math.ceil(bits / 2 * (1 - math.exp(-4 * samples * (1 - similarity) / bits)))
+    return math.ceil(BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - similarity) / BITS)))
 
 
 SIGNATURES = "doc_id long, n_shingles long, fingerprint binary, sketch binary, keys array<long>, body binary"
@@ -159,146 +161,141 @@ def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def closest_pairs(ids: np.ndarray, group: np.ndarray, asks: np.ndarray, bits: np.ndarray, limit: int, few: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each member that asks: its `few` closest partners of other groups, and the member with most close partners."""
-    degree = np.zeros(len(ids), dtype=np.int64)
-    for at in range(0, len(ids), 64):
-        far = _differing(bits[at: at + 64], bits)
-        close = far <= limit
-        degree[at: at + 64] = close.sum(axis=1)
-        wanted = close & (group[at: at + 64, None] != group[None, :]) & asks[at: at + 64, None]
-        if not wanted.any():
-            continue
-        far[~wanted] = FINE_BITS
-        best = np.argsort(far, axis=1, kind="stable")[:, :few]
-        rows, columns = np.nonzero(np.take_along_axis(wanted, best, axis=1))
-        yield ids[at + rows], ids[best[rows, columns]]
-    hub = int(degree.argmax())
-    far = _differing(bits[hub: hub + 1], bits)[0]
-    to_hub = np.flatnonzero((far <= limit) & (group != group[hub]) & asks)
-    yield np.full(len(to_hub), ids[hub]), ids[to_hub]
+class _Index:
+    """Shingle sets of some members, by shingle."""
 
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets])
+        shingles = np.concatenate(sets)
+        order = np.argsort(shingles, kind="stable")
+        self._shingles, self._owners = shingles[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
 
-def _pairs_frame(found: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
-    a = np.concatenate([x for x, _ in found]) if found else np.empty(0, dtype=np.int64)
-    b = np.concatenate([y for _, y in found]) if found else np.empty(0, dtype=np.int64)
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+    def common(self, asked: np.ndarray) -> np.ndarray:
+        """Number of shingles that each member shares with a sorted set."""
+        start, end = np.searchsorted(self._shingles, asked, "left"), np.searchsorted(self._shingles, asked, "right")
+        found = end - start
+        places = np.arange(found.sum()) + np.repeat(start - (np.cumsum(found) - found), found)
+        return np.bincount(self._owners[places], minlength=len(self.sizes))
 
 
-def _open(members: DataFrame, reps: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """(key, n, doc_id, group, sketch, main) of buckets that still hold several groups; main: the largest of them."""
-    if groups is None:
-        named = members.withColumn("group", F.col("doc_id"))
-        named = named.withColumn("main", F.lit(None).cast("long"))
-    else:
-        named = members.join(groups, "doc_id", "left").withColumn("group", F.coalesce("group", "doc_id"))
-        sizes = named.groupBy("key", "group").agg(F.count(F.lit(1)).alias("_n"))
-        sizes = sizes.groupBy("key").agg(F.max_by("group", F.struct("_n", "group")).alias("main"),
-                                         F.count(F.lit(1)).alias("_g")).filter("_g > 1").drop("_g")
-        named = named.join(sizes, "key")
-    return named.join(reps.select("doc_id", "sketch"), "doc_id")
+def _unpacked(body: bytes) -> np.ndarray:
+    return shingle_set(zstandard.ZstdDecompressor().decompress(body).split())
 
 
-def _sorted_by(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.repartition(*keys).sortWithinPartitions(*keys, "doc_id")
+def spanning_links(group: np.ndarray, asks: np.ndarray, bits: np.ndarray, bodies: list[bytes], limit: int,
+                   percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(places of linked members, tree of each member) after comparing every member that asks with all others.
 
+    Members of one group are one tree from the start. Two members are compared unless they are in one tree by then; all members
+    that the sketches let pass are compared exactly. One link is returned for every two trees that it joins.
+    """
+    tree = np.unique(group, return_inverse=True)[1]
+    links, questions = [], np.flatnonzero(asks)
+    part_of = np.cumsum([len(b) for b in bodies]) // PART_BYTES
+    for part in np.unique(part_of):
+        members = np.flatnonzero(part_of == part)
+        index, sets = None, {}
+        for q in questions.tolist():
+            apart = (tree[members] != tree[q]) & ~(asks[members] & (members < q))
+            if not apart.any():
+                continue
+            near = apart & (_differing(bits[q: q + 1], bits[members])[0] <= limit)
+            if not near.any():
+                continue
+            if index is None:
+                sets = {m: _unpacked(bodies[m]) for m in members.tolist()}
+                index = _Index(list(sets.values()))
+            own = sets[q] if q in sets else _unpacked(bodies[q])
+            common = index.common(own)
+            linked = members[near & (100 * common >= percent * (len(own) + index.sizes - common))]
+            for other, at in zip(*np.unique(tree[linked], return_index=True)):
+                links.append((q, int(linked[at])))
+                tree[tree == other] = tree[q]
+    return links, tree
+
+
+def _blocks(frames: Iterator[pd.DataFrame], by: list[str], limit: int, percent: int) -> Iterator[tuple[np.ndarray, list, np.ndarray]]:
+    """(ids, links, trees) of every group of rows with equal `by`."""
+    for frame, starts in _groups(frames, by):
+        for a, b in zip(starts, [*starts[1:], len(frame)]):
+            rows = frame.iloc[a:b]
+            group, asks = rows["group"].to_numpy(np.int64), rows["asks"].to_numpy(bool)
+            if (group != group[0]).any() and asks.any():
+                yield rows["doc_id"].to_numpy(np.int64), *spanning_links(group, asks, _bits(rows["sketch"]), rows["body"].tolist(), limit, percent)
+
+
+def _links_in(dealt: DataFrame, by: list[str], limit: int, percent: int) -> DataFrame:
+    def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ids, links, _ in _blocks(frames, by, limit, percent):
+            if links:
+                a, b = (ids[list(x)] for x in zip(*links))
+                yield pd.DataFrame({"a": a, "b": b})
 
-def _at_home(opened: DataFrame, number: int) -> DataFrame:
-    """Every member in one bucket only: its largest in round 0, in later rounds one drawn by a hash."""
-    rank = F.struct("n", "key") if number == 0 else F.struct(F.xxhash64(F.lit(number), "key"), "key")
-    home = opened.groupBy("doc_id").agg(F.max(rank)["key"].alias("key"))
-    return opened.join(home, ["doc_id", "key"])
+    return dealt.mapInPandas(find, "a long, b long")
 
 
-def _near_round(opened: DataFrame, number: int, limit: int, few: int, block: int) -> DataFrame:
-    blocks = F.pmod(F.xxhash64(F.lit(number), "doc_id"), F.ceil(F.col("n") / block))
-    asks = F.coalesce(F.col("group") != F.col("main"), F.lit(True))
-    dealt = _sorted_by(opened.select("key", blocks.alias("block"), "doc_id", "group", asks.alias("asks"), "sketch"), ["key", "block"])
+def _dealt(rows: DataFrame, cards: DataFrame, by: list[str]) -> DataFrame:
+    """rows with sketches and texts, those with equal `by` in one task and next to each other."""
+    return rows.join(cards, "doc_id").repartition(*by).sortWithinPartitions(*by, "doc_id")
 
-    def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame, starts in _groups(frames, ["key", "block"]):
-            ids, group, asks, bits = frame["doc_id"].to_numpy(), frame["group"].to_numpy(), frame["asks"].to_numpy(), _bits(frame["sketch"])
-            found = []
-            for a, b in zip(starts, [*starts[1:], len(frame)]):
-                found.extend(closest_pairs(ids[a:b], group[a:b], asks[a:b], bits[a:b], limit, few))
-            yield _pairs_frame(found)
 
-    return dealt.mapInPandas(find, "a long, b long").distinct()
+def _open(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """(key, n, doc_id, group, main) of buckets that still hold several groups; main: the largest of them."""
+    named = members.join(groups, "doc_id", "left").withColumn("group", F.coalesce("group", "doc_id"))
+    sizes = named.groupBy("key", "group").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.groupBy("key").agg(F.max_by("group", F.struct("_n", "group")).alias("main"),
+                                     F.count(F.lit(1)).alias("_g")).filter("_g > 1").drop("_g")
+    return named.join(sizes, "key")
 
 
-def _last_round(opened: DataFrame, limit: int, block: int) -> DataFrame:
-    """Members outside the largest group of their bucket against the whole bucket, block by block."""
-    outside = opened.filter(F.col("group") != F.col("main"))
-    guests = outside.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).alias("guest_blocks"))
-    host_blocks = F.ceil(F.col("n") / block)
-    own = F.pmod(F.xxhash64(F.lit(101), "doc_id"), host_blocks)
-    placed = opened.join(guests, "key")
-    hosts = placed.select("key", own.alias("host"), F.explode(F.sequence(F.lit(0), F.col("guest_blocks") - 1)).alias("guest"),
-                          F.lit(False).alias("asks"), "doc_id", "group", "sketch")
-    asking = placed.filter(F.col("group") != F.col("main")).select(
-        "key", F.explode(F.sequence(F.lit(0), host_blocks - 1)).alias("host"),
-        F.pmod(F.xxhash64(F.lit(103), "doc_id"), F.col("guest_blocks")).alias("guest"),
-        F.lit(True).alias("asks"), "doc_id", "group", "sketch")
-    by = ["key", "host", "guest"]
+def _at_home(rows: DataFrame, rank: Column) -> DataFrame:
+    """Every member in one bucket only: that with the largest rank."""
+    home = rows.groupBy("doc_id").agg(F.max(rank)["key"].alias("key"))
+    return rows.join(home, ["doc_id", "key"])
+
+
+def _block(number: int, block: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(number), "doc_id"), F.ceil(F.col("n") / block)).alias("block")
 
-    def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame, starts in _groups(frames, by):
-            ids, group, bits = frame["doc_id"].to_numpy(), frame["group"].to_numpy(), _bits(frame["sketch"])
-            asks, found = frame["asks"].to_numpy(), []
-            for a, b in zip(starts, [*starts[1:], len(frame)]):
-                questions, rest = a + np.flatnonzero(asks[a:b]), a + np.flatnonzero(~asks[a:b])
-                for at in range(0, len(questions), 64):
-                    some = questions[at: at + 64]
-                    near = (_differing(bits[some], bits[rest]) <= limit) & (group[some, None] != group[None, rest])
-                    x, y = np.nonzero(near)
-                    found.append((ids[some[x]], ids[rest[y]]))
-            yield _pairs_frame(found)
-
-    return _sorted_by(hosts.unionByName(asking), by).mapInPandas(find, "a long, b long").distinct()
-
-
-def _with_fine_sketches(opened: DataFrame, bodies: DataFrame) -> DataFrame:
-    """opened with sketches of more samples, made only for the classes that are still in question."""
-    def sketch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "sketch": [
-                odd_sketch(minhash(shingle_set(unpack(b).split()), FINE_SAMPLES), FINE_BITS) for b in frame["body"]]})
 
-    asked = bodies.join(opened.select("doc_id").distinct(), "doc_id", "left_semi")
-    return opened.drop("sketch").join(staged(asked.mapInPandas(sketch, "doc_id long, sketch binary"), "neardup-fine"), "doc_id")
+def _first_round(members: DataFrame, cards: DataFrame, limit: int, percent: int, block: int) -> DataFrame:
+    """(doc_id, group): every class in its largest bucket, where its tree is its group; only trees of several classes."""
+    home = _at_home(members, F.struct("n", "key")).select("key", _block(0, block), "doc_id", F.col("doc_id").alias("group"), F.lit(True).alias("asks"))
 
+    def trees(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ids, links, tree in _blocks(frames, ["key", "block"], limit, percent):
+            if links:
+                found = pd.DataFrame({"doc_id": ids, "tree": tree})
+                per = found.groupby("tree")["doc_id"]
+                yield found.assign(group=per.transform("min"))[per.transform("size") > 1][["doc_id", "group"]]
 
-def _confirmed(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked): the exact comparison of the full sets."""
-    @F.pandas_udf("boolean")
-    def linked(a: pd.Series, body_a: pd.Series, b: pd.Series, body_b: pd.Series) -> pd.Series:
-        unpack, known = zstandard.ZstdDecompressor().decompress, {}
+    return _dealt(home, cards, ["key", "block"]).mapInPandas(trees, "doc_id long, group long")
 
-        def shingles(doc_id: int, body: bytes) -> np.ndarray:
-            if doc_id not in known:
-                if len(known) > 200:
-                    known.clear()
-                known[doc_id] = shingle_set(unpack(body).split())
-            return known[doc_id]
 
-        out = np.zeros(len(a), dtype=bool)
-        for i, (x, body_x, y, body_y) in enumerate(zip(a, body_a, b, body_b)):
-            one, two = shingles(x, body_x), shingles(y, body_y)
-            both = len(one) + len(two) - len(np.unique(np.concatenate([one, two])))
-            out[i] = 100 * both >= percent * (len(one) + len(two) - both)
-        return pd.Series(out)
+def _second_round(opened: DataFrame, cards: DataFrame, limit: int, percent: int, block: int) -> DataFrame:
+    """Links between groups: every class in one more bucket, drawn by a hash, and in other blocks."""
+    home = _at_home(opened, F.struct(F.xxhash64(F.lit(1), "key"), "key")).select(
+        "key", _block(1, block), "doc_id", "group", (F.col("group") != F.col("main")).alias("asks"))
+    return _links_in(_dealt(home, cards, ["key", "block"]), ["key", "block"], limit, percent)
 
-    left = bodies.select(F.col("doc_id").alias("a"), F.col("body").alias("_body_a"))
-    right = bodies.select(F.col("doc_id").alias("b"), F.col("body").alias("_body_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", linked("a", "_body_a", "b", "_body_b").alias("linked"))
+
+def _last_round(opened: DataFrame, cards: DataFrame, limit: int, percent: int, block: int) -> DataFrame:
+    """Links of members outside the largest group of their bucket with the whole bucket, block by block."""
+    guests = opened.filter(F.col("group") != F.col("main")).groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).alias("guest_blocks"))
+    host_blocks = F.ceil(F.col("n") / block)
+    placed = opened.join(guests, "key")
+    hosts = placed.select(
+        "key", F.pmod(F.xxhash64(F.lit(101), "doc_id"), host_blocks).alias("host"),
+        F.explode(F.sequence(F.lit(0), F.col("guest_blocks") - 1)).alias("guest"), F.lit(False).alias("asks"), "doc_id", "group")
+    asking = placed.filter(F.col("group") != F.col("main")).select(
+        "key", F.explode(F.sequence(F.lit(0), host_blocks - 1)).alias("host"),
+        F.pmod(F.xxhash64(F.lit(103), "doc_id"), F.col("guest_blocks")).alias("guest"), F.lit(True).alias("asks"), "doc_id", "group")
+    by = ["key", "host", "guest"]
+    return _links_in(_dealt(hosts.unionByName(asking), cards, by), by, limit, percent)
 
 
-def _merged(groups: DataFrame | None, links: DataFrame) -> DataFrame:
+def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
     """(doc_id, group) after more links; the graph between groups is all that is walked."""
-    if groups is None:
-        found = connected_components(links, "a", "b")
-        return staged(found.select(F.col("id").alias("doc_id"), F.col("component").alias("group")), "neardup-groups")
     left = groups.select(F.col("doc_id").alias("a"), F.col("group").alias("_ga"))
     right = groups.select(F.col("doc_id").alias("b"), F.col("group").alias("_gb"))
     between = links.join(left, "a", "left").join(right, "b", "left").select(
@@ -310,7 +307,7 @@ def _merged(groups: DataFrame | None, links: DataFrame) -> DataFrame:
     return staged(renamed.unionByName(new), "neardup-groups")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, block: int = BLOCK, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per doc_id.
 
     Documents are linked if 100 * common shingles >= percent * shingles of either; component_id is the smallest id that
@@ -324,29 +321,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75, block: int = BLOCK) -> D
         "doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
     one = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("fingerprint", "n_shingles")).alias("_f")).select(
         "doc_id", "_f.*")
-    first = one.filter("n_shingles > 0").groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
-    classes = staged(one.join(first, "fingerprint", "left").select(
+    first = staged(one.filter("n_shingles > 0").groupBy("fingerprint").agg(
+        F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("_n")), "neardup-firsts")
+    many = hot_counts(first, ["fingerprint"], "_n", hot_rows)
+    classes = staged(salted_join(one, first.drop("_n"), ["fingerprint"], "doc_id", "left", hot=many).select(
         "doc_id", "n_shingles", "fingerprint", F.coalesce("first", "doc_id").alias("first")), "neardup-classes")
     firsts = classes.filter("n_shingles > 0 AND doc_id = first").select("doc_id", "fingerprint")
-    reps = staged(signed.select("doc_id", "fingerprint", "sketch", "keys").join(firsts, ["doc_id", "fingerprint"], "left_semi"), "neardup-reps")
+    reps = staged(signed.join(firsts, ["doc_id", "fingerprint"], "left_semi").select("doc_id", "sketch", "keys", "body"), "neardup-reps")
     members = _buckets(reps)
-    in_buckets = members.select("doc_id").distinct().join(firsts, "doc_id")
-    bodies = staged(signed.select("doc_id", "fingerprint", "body").join(in_buckets, ["doc_id", "fingerprint"], "left_semi")
-                    .select("doc_id", "body"), "neardup-bodies")
+    cards = reps.select("doc_id", "sketch", "body")
     limit = most_differing_bits(percent / 100 - MARGIN)
-    groups, tested = None, None
-    for number, few in enumerate(FEW):
-        opened = staged(_open(members, reps, groups), "neardup-open")
-        if number < 2:
-            pairs = _near_round(_at_home(opened, number), number, limit, few, block)
-        else:
-            pairs = _near_round(opened, number, limit, few, block) if few else _last_round(
-                _with_fine_sketches(opened, bodies), most_differing_bits(percent / 100 - FINE_MARGIN, FINE_SAMPLES, FINE_BITS), block)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        checked = staged(_confirmed(pairs, bodies, percent), "neardup-checked")
-        groups = _merged(groups, checked.filter("linked").select("a", "b"))
-        tested = checked.select("a", "b") if tested is None else tested.unionByName(checked.select("a", "b"))
+    groups = staged(_first_round(members, cards, limit, percent, block), "neardup-groups")
+    for further in (_second_round, _last_round):
+        opened = staged(_open(members, groups), "neardup-open")
+        links = staged(further(opened, cards, limit, percent, block), "neardup-links")
+        groups = _merged(groups, links)
     named = classes.join(groups.withColumnRenamed("doc_id", "first"), "first", "left").select(
         "doc_id", "n_shingles", F.coalesce("group", "first").alias("component_id"))
     return named.withColumn("kept", F.col("doc_id") == F.col("component_id")).unionByName(unnamed)
@@ -363,4 +352,4 @@ def without_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     stay = docs.join(kept, "doc_id", "left_semi")
     once = stay.join(repeated, "doc_id", "left_anti")
     again = stay.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again).unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    return once.unionByName(again).unionByName(docs.filter("doc_id IS NULL")).select(*columns_of(docs))
