@@ -11,6 +11,7 @@ from opslattice.catalog.parsing import REPLICAS, TRANSFERS, flow_records
 from opslattice.functions import parsing as P
 from opslattice.operators import audit, detection, evaluation, graph, metrics
 from opslattice.operators import relational as R
+from opslattice.plans.runtime import durable
 from opslattice.operators.sessions import parse_log
 from opslattice.operators.timeseries import gap_to_previous
 from opslattice.plans.skew import history
@@ -126,15 +127,18 @@ def _(t):
 @query("k6_hotspot_peers", f"""WITH h AS ({HOTSPOT}), e AS ({PAIRS}), s AS (SELECT src, dst, n, n_pos FROM e UNION ALL SELECT dst, src, n, n_pos FROM e)
     SELECT dst AS peer, n AS shared, n_pos AS shared_anomalous FROM s JOIN h ON src = host ORDER BY n_pos DESC, n DESC, dst LIMIT 5""")
 def _(t):
-    edges = graph.cooccurrence_edges(t("placement"), "block_no", "host", t("order_labels"))
-    return graph.hotspot_peers(edges, hotspot_pick(t).first()["host"])
+    host = hotspot_pick(t).select(F.col("host").alias("id"))
+    return graph.hotspot_peers(graph.peers_of(t("placement"), "block_no", "host", host, t("order_labels")))
 
 
 @query("k7_weighted_degree_top", f"""WITH e AS ({PAIRS}) SELECT src AS id, CAST(sum(n) AS BIGINT) AS degree, count(*) AS peers FROM
     (SELECT src, n FROM e UNION ALL SELECT dst, n FROM e) GROUP BY 1 ORDER BY degree DESC, id LIMIT 5""")
 def _(t):
-    edges = graph.cooccurrence_edges(t("placement"), "block_no", "host", t("order_labels"))
-    return R.top_k(graph.weighted_degree(edges), 5, [F.desc("degree"), F.asc("id")])
+    order = [F.desc("degree"), F.asc("id")]
+    placed = t("placement").join(t("order_labels").select("block_no"), "block_no", "left_semi")
+    top = durable(R.top_k(graph.weighted_degree(placed, "block_no", "host"), 5, order))
+    peers = graph.peers_of(placed, "block_no", "host", top).groupBy("id").agg(F.count(F.lit(1)).alias("peers"))
+    return R.top_k(top.join(peers, "id"), 5, order).select("id", "degree", "peers")
 
 
 @query("k9_ordered_export", "SELECT o_orderkey, o_orderdate, o_totalprice FROM @orders ORDER BY o_orderdate, o_orderkey")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opslattice.functions.parsing import crosses_subnet, subnet16
+from opslattice.operators.relational import top_per_key
 from opslattice.operators.sessions import one_row
 from opslattice.plans.runtime import durable
-from opslattice.plans.skew import HOT_ROWS, hot_counts, pairs_within, salted_join
+from opslattice.plans.skew import HOT_ROWS, hot_counts, hot_keys, pairs_within, replicate_rows, salt_rows, salted_join
 
 
 def cooccurrence_edges(placement: DataFrame, item: str, member: str, labels: DataFrame | None = None,
@@ -45,10 +48,10 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return row["n"], row["a"], row["b"]
 
 
-def _with_minimum(edges: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Edges (u, v) with the smallest neighbour m of u, hubs split; and (u, m)."""
+def _with_minimum(edges: DataFrame, rows: int, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """At most `rows` edges (u, v) with the smallest neighbour m of u, hubs split; and (u, m)."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_d"))
-    hubs = hot_counts(least, ["u"], "_d", hot_rows)
+    hubs = hot_counts(least, ["u"], "_d", hot_rows, rows)
     return salted_join(edges, least.select("u", "m"), ["u"], "v", hot=hubs), least
 
 
@@ -67,10 +70,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", v
     before = _fingerprint(state)
     while True:
         both = state.union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near, _least = _with_minimum(both, hot_rows)
-        large = near.filter(F.col("v") > F.col("u")).select(
-            F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        near, least = _with_minimum(large, hot_rows)
+        near, _least = _with_minimum(both, 2 * before[0], hot_rows)
+        large = durable(near.filter(F.col("v") > F.col("u")).select(
+            F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct())
+        near, least = _with_minimum(large, 2 * before[0], hot_rows)
         small = near.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         state = durable(small.union(least.select("u", F.col("m").alias("v"))).distinct())
         after = _fingerprint(state)
@@ -85,52 +88,104 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", v
         "id", F.coalesce("component", "id").alias("component"))
 
 
-def k_hop(edges: DataFrame, sources: DataFrame, k: int) -> DataFrame:
+class Adjacency(NamedTuple):
+    """Links (src, dst, ...) in both directions, the links of a hub spread over several salts by neighbour."""
+    links: DataFrame
+    hubs: DataFrame
+
+    def around(self, frontier: DataFrame, vertex: str = "id") -> DataFrame:
+        """Columns of the frontier and of the links of its vertices; a row at a hub goes to each of the hub's salts."""
+        copies = replicate_rows(frontier.withColumn("src", F.col(vertex)), self.hubs, ["src"])
+        return copies.join(self.links, ["src", "_salt"]).drop("_salt")
+
+
+def adjacency(edges: DataFrame, *carry: str, hot_rows: int = HOT_ROWS) -> Adjacency:
+    """Undirected edges made ready for many expansions: written once, hubs found once."""
+    links = both_directions(edges, *carry)
+    links = links.groupBy("src", "dst").agg(*[F.min(c).alias(c) for c in carry]) if carry else links.distinct()
+    links = durable(links)
+    hubs = durable(hot_keys(links, ["src"], hot_rows))
+    return Adjacency(durable(salt_rows(links, hubs, ["src"], F.col("dst"))) if not hubs.isEmpty() else links.withColumn("_salt", F.lit(0)), hubs)
+
+
+def _next_layer(graph: Adjacency, newest: DataFrame, before: DataFrame | None) -> DataFrame:
+    """(root, id): vertices one step beyond the newest layer.
+
+    Links go both ways, so a neighbour of a layer is in the layer before, in the layer itself or in the next one.
+    """
+    step = graph.around(newest).select("root", F.col("dst").alias("id")).distinct().join(newest, ["root", "id"], "left_anti")
+    return step if before is None else step.join(before, ["root", "id"], "left_anti")
+
+
+def k_hop(edges: DataFrame, sources: DataFrame, k: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(source, id, hops) for every vertex within k hops of a source; edges are undirected.
 
     `sources` has one column `source`. Each round expands only the newest vertices.
     """
-    links = both_directions(edges).distinct()
-    reached = sources.select("source", F.col("source").alias("id"), F.lit(0).alias("hops")).distinct()
-    frontier = reached
+    graph = adjacency(edges, hot_rows=hot_rows)
+    before, newest = None, sources.select(F.col("source").alias("root"), F.col("source").alias("id")).distinct()
+    reached = newest.withColumn("hops", F.lit(0))
     for hop in range(1, k + 1):
-        step = frontier.join(links, frontier["id"] == links["src"]).select("source", F.col("dst").alias("id")).distinct()
-        frontier = step.join(reached, ["source", "id"], "left_anti").withColumn("hops", F.lit(hop))
-        if k > 1:
-            frontier = durable(frontier)
-            if frontier.isEmpty():
-                break
-        reached = reached.union(frontier)
-    return reached
+        before, newest = newest, durable(_next_layer(graph, newest, before))
+        if newest.isEmpty():
+            break
+        reached = reached.union(newest.withColumn("hops", F.lit(hop)))
+    return reached.withColumnRenamed("root", "source")
+
+
+SHORTCUTS = 8  # composed links that a vertex keeps per doubling
+TIE = 1e-12  # relative difference below which two path lengths are equal
+
+
+def _composed(links: DataFrame, known: DataFrame) -> DataFrame:
+    """Paths of two links as shortcuts, the SHORTCUTS cheapest of each vertex, where they are not known already."""
+    cheap = top_per_key(links.select("src", "dst", "weight"), "src", [F.asc("weight"), F.asc("dst")], SHORTCUTS).drop("rank")
+    onward = cheap.select(F.col("src").alias("dst"), F.col("dst").alias("_to"), F.col("weight").alias("_further"))
+    twice = cheap.join(onward, "dst").filter(F.col("src") != F.col("_to")).groupBy("src", F.col("_to").alias("dst")).agg(
+        F.min(F.col("weight") + F.col("_further")).alias("weight"))
+    new = twice.join(known.select("src", "dst"), ["src", "dst"], "left_anti")
+    return top_per_key(new, "src", [F.asc("weight"), F.asc("dst")], SHORTCUTS).drop("rank")
 
 
-def shortest_paths(edges: DataFrame, source) -> DataFrame:
+def shortest_paths(edges: DataFrame, source, hot_rows: int = HOT_ROWS, patience: int = 8) -> DataFrame:
     """(id, dist, pred) from one source over undirected edges with weight >= 0.
 
-    Relaxation rounds expand only vertices whose distance fell. Among equal paths the
-    smallest predecessor wins.
+    Relaxation rounds expand only vertices whose distance fell; hubs are split. After every `patience` rounds without an end
+    pairs of links are composed to shortcuts, so that a round reaches twice as far and a long chain needs rounds in proportion to the
+    logarithm of its length. Among equal paths the smallest predecessor wins; with shortcuts paths are equal if they differ by
+    less than 1e-12 of their length, as sums then depend on the order of their terms.
     """
     spark = edges.sparkSession
-    links = durable(both_directions(edges, "weight"))
+    graph = adjacency(edges, "weight", hot_rows=hot_rows)
+    links = graph.links.drop("_salt")
     id_type = links.schema["src"].dataType.simpleString()
     start = spark.createDataFrame([(source, 0.0)], f"id {id_type}, d double")
-    known, changed = start, start
+    known, changed, shortcuts, newest, rounds = start, start, None, links, 0
     while True:
-        offers = changed.join(links, changed["id"] == links["src"]).groupBy(F.col("dst").alias("id")).agg(
-            F.min(F.col("d") + F.col("weight")).alias("d"))
+        steps = graph.around(changed).select(F.col("dst").alias("id"), (F.col("d") + F.col("weight")).alias("d"))
+        if shortcuts is not None:
+            steps = steps.union(changed.join(shortcuts, changed["id"] == shortcuts["src"]).select(
+                F.col("dst").alias("id"), F.col("d") + F.col("weight")))
+        offers = steps.groupBy("id").agg(F.min("d").alias("d"))
         merged = (
             known.select("id", "d", F.col("d").alias("old"))
             .union(offers.select("id", "d", F.lit(None).cast("double").alias("old")))
             .groupBy("id").agg(F.min("d").alias("d"), F.min("old").alias("old"))
         )
         known = durable(merged)
-        changed = known.filter(F.col("old").isNull() | (F.col("d") < F.col("old"))).select("id", "d")
+        fell = F.col("d") < F.col("old") * (1 - (0 if shortcuts is None else TIE))
+        changed = known.filter(F.col("old").isNull() | fell).select("id", "d")
         if changed.isEmpty():
             break
+        rounds += 1
+        if rounds % patience == 0:
+            newest = durable(_composed(newest, links if shortcuts is None else links.unionByName(shortcuts)))
+            shortcuts = newest if shortcuts is None else shortcuts.unionByName(newest)
     reached = known.select("id", F.col("d").alias("dist"))
-    via = reached.select(F.col("id").alias("src"), F.col("dist").alias("_via")).join(links, "src")
-    tight = via.join(reached, via["dst"] == reached["id"]).filter(F.col("_via") + F.col("weight") == F.col("dist"))
-    preds = tight.groupBy("id").agg(F.min("src").alias("pred"))
+    via = graph.around(reached.select("id", F.col("dist").alias("_via"))).select("src", "dst", "weight", "_via")
+    length = F.col("_via") + F.col("weight")
+    exact = length == F.col("dist") if shortcuts is None else F.abs(length - F.col("dist")) <= TIE * F.greatest(length, F.col("dist"))
+    preds = via.join(reached, via["dst"] == reached["id"]).filter(exact).groupBy("id").agg(F.min("src").alias("pred"))
     return reached.join(preds, "id", "left").select(
         "id", "dist", F.when(F.col("id") != F.lit(source), F.col("pred")).alias("pred"))
 
@@ -149,25 +204,67 @@ def path_to(tree: DataFrame, source) -> DataFrame:
         done = done.union(frontier)
 
 
-def bounded_shortest_path(edges: DataFrame, pairs: DataFrame, limit: int = 4) -> DataFrame:
-    """(src, dst, hops) for the pairs that are connected within `limit` hops."""
-    reached = k_hop(edges, pairs.select(F.col("src").alias("source")).distinct(), limit)
-    return pairs.select("src", "dst").distinct().join(
-        reached.select(F.col("source").alias("src"), F.col("id").alias("dst"), "hops"), ["src", "dst"])
+def bounded_shortest_path(edges: DataFrame, pairs: DataFrame, limit: int = 4, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(src, dst, hops) for the pairs that are connected within `limit` hops; edges are undirected.
 
+    The search starts at both ends and the ends take turns. Two layers a and b steps away from the ends meet if and only if the ends are a + b
+    hops apart or closer, and the first time they do they are a + b apart. A pair that has met leaves, and a layer is carried on only for ends that
+    still have an open pair, so a round holds the layers of open pairs: half the radius instead of the whole.
+    """
+    graph = adjacency(edges, hot_rows=hot_rows)
+    still = durable(pairs.select("src", "dst").dropna().distinct())
+    met = durable(still.filter(F.col("src") == F.col("dst")).withColumn("hops", F.lit(0)))
+    still = durable(still.filter(F.col("src") != F.col("dst")))
+    layers = {}
+    for end in ("src", "dst"):
+        layers[end] = (None, still.select(F.col(end).alias("root"), F.col(end).alias("id")).distinct())
+    for hops in range(1, limit + 1):
+        end, other = ("src", "dst") if hops % 2 else ("dst", "src")
+        before, newest = layers[end]
+        wanted = still.select(F.col(end).alias("root")).distinct()
+        newest = newest.join(wanted, "root", "left_semi")
+        layers[end] = (newest, durable(_next_layer(graph, newest, before)))
+        here = layers[end][1].select(F.col("root").alias(end), "id")
+        there = layers[other][1].select(F.col("root").alias(other), "id")
+        found = durable(still.join(here, end).join(there, [other, "id"]).select("src", "dst").distinct().withColumn("hops", F.lit(hops)))
+        met = met.union(found)
+        still = durable(still.join(found, ["src", "dst"], "left_anti"))
+        if still.isEmpty():
+            break
+    return met
 
-def weighted_degree(edges: DataFrame, weight: str = "n") -> DataFrame:
-    return both_directions(edges, weight).groupBy(F.col("src").alias("id")).agg(
-        F.sum(weight).alias("degree"), F.count(F.lit(1)).alias("peers"))
 
+def weighted_degree(placement: DataFrame, item: str, member: str) -> DataFrame:
+    """(id, degree): summed weights of a member's co-occurrence edges, without listing an edge.
 
-def hotspot_peers(edges: DataFrame, host, k: int = 5) -> DataFrame:
-    """The heaviest neighbours of one host: shared anomalous, then shared, then id."""
-    return (
-        both_directions(edges, "n", "n_pos").filter(F.col("src") == F.lit(host))
-        .select(F.col("dst").alias("peer"), F.col("n").alias("shared"), F.col("n_pos").alias("shared_anomalous"))
-        .orderBy(F.desc("shared_anomalous"), F.desc("shared"), "peer").limit(k)
-    )
+    Every item adds the number of its other members. Members that never share an item have no edges and are absent.
+    """
+    base = placement.select(item, member).distinct()
+    sizes = base.groupBy(item).agg(F.count(F.lit(1)).alias("_size"))
+    return salted_join(base, sizes, [item], member).groupBy(F.col(member).alias("id")).agg(
+        F.sum(F.col("_size") - 1).alias("degree")).filter("degree > 0")
+
+
+def peers_of(placement: DataFrame, item: str, member: str, chosen: DataFrame, labels: DataFrame | None = None,
+             label: str = "is_anomaly") -> DataFrame:
+    """(id, peer, shared, shared_anomalous) for the members in `chosen` (one column, `id`) only.
+
+    The items of the chosen members are expanded, not those of all members: a chosen member meets each other member of its items.
+    """
+    base = placement.select(item, member).distinct()
+    own = base.join(chosen.select(F.col("id").alias(member)).distinct(), member).select(item, F.col(member).alias("id"))
+    if labels is not None:
+        own = own.join(labels.select(item, F.col(label).alias("_y")), item)
+    else:
+        own = own.withColumn("_y", F.lit(False))
+    met = salted_join(base, own, [item], member).filter(F.col(member) != F.col("id"))
+    return met.groupBy("id", F.col(member).alias("peer")).agg(
+        F.count(F.lit(1)).alias("shared"), F.count_if("_y").alias("shared_anomalous"))
+
+
+def hotspot_peers(peers: DataFrame, k: int = 5) -> DataFrame:
+    """The k heaviest peers: shared anomalous, then shared, then id."""
+    return peers.select("peer", "shared", "shared_anomalous").orderBy(F.desc("shared_anomalous"), F.desc("shared"), "peer").limit(k)
 
 
 def graph_stats(vertices: DataFrame, edges: DataFrame, transfers: DataFrame, rereplication: DataFrame) -> DataFrame:

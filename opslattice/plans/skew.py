@@ -26,17 +26,16 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFr
     return hot_counts(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")), keys, "_rows", hot_rows)
 
 
-def hot_counts(counts: DataFrame, keys: list[str], rows: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The same from a frame that has one row per key and its number of rows."""
-    known = counts.select(*keys, F.col(rows).alias("_rows"), F.lit(1).alias("_one"))
-    total = known.agg(F.sum("_rows").alias("_all"), F.lit(1).alias("_one"))
-    most = F.greatest(F.lit(hot_rows), F.ceil(F.col("_all") / SHARES))
-    return (
-        known.filter(F.col("_rows") >= hot_rows)
-        .join(F.broadcast(total), "_one")
-        .filter(F.col("_rows") >= most)
-        .select(*keys, (F.ceil(F.col("_rows") / most) + 1).cast("int").alias("_salts"))
-    )
+def hot_counts(counts: DataFrame, keys: list[str], rows: str, hot_rows: int = HOT_ROWS, total: int | None = None) -> DataFrame:
+    """The same from a frame that has one row per key and its number of rows; total: the number of all rows, if it is known."""
+    large = counts.select(*keys, F.col(rows).alias("_rows")).filter(F.col("_rows") >= hot_rows)
+    if total is None:
+        one = F.lit(1).alias("_one")
+        whole = counts.agg(F.greatest(F.lit(hot_rows), F.ceil(F.sum(rows) / SHARES)).alias("_most"), one)
+        large = large.withColumn("_one", one).join(F.broadcast(whole), "_one")
+    else:
+        large = large.withColumn("_most", F.lit(max(hot_rows, -(-total // SHARES))))
+    return large.filter(F.col("_rows") >= F.col("_most")).select(*keys, (F.ceil(F.col("_rows") / F.col("_most")) + 1).cast("int").alias("_salts"))
 
 
 def salt_rows(df: DataFrame, hot: DataFrame, keys: list[str], spread: Column) -> DataFrame:

@@ -121,3 +121,77 @@ def test_burst_is_strict_and_constant_series_has_none(spark):
     out = TS.robust_z_burst(spark.createDataFrame(rows, "hour int, alerts double"), "alerts")
     assert [r["hour"] for r in out.filter("robust_z > 3.4999").orderBy("hour").collect()] == [8, 9]
     assert 9 in [r["hour"] for r in out.filter("burst").collect()]
+
+
+@pytest.mark.parametrize("seed, limit, hot", [(1, 4, 1_000_000), (2, 3, 5), (3, 5, 5), (4, 1, 5)])
+def test_bounded_paths_meet_in_the_middle(spark, seed, limit, hot):
+    rng = random.Random(seed)
+    edges = {tuple(sorted(rng.sample(range(80), 2))) for _ in range(90)} | {(0, i) for i in range(1, 25)}
+    pairs = {(rng.randrange(80), rng.randrange(85)) for _ in range(150)} | {(3, 3)}
+    adj = {}
+    for a, b in edges:
+        adj.setdefault(a, set()).add(b)
+        adj.setdefault(b, set()).add(a)
+
+    def hops(a, b):
+        seen, layer = {a}, {a}
+        for h in range(limit + 1):
+            if b in layer:
+                return h
+            layer = {w for v in layer for w in adj.get(v, ())} - seen
+            seen |= layer
+        return None
+
+    out = G.bounded_shortest_path(spark.createDataFrame(sorted(edges), "src int, dst int"),
+                                  spark.createDataFrame([*sorted(pairs), (None, 1)], "src int, dst int"), limit, hot)
+    expected = {(a, b, hops(a, b)) for a, b in pairs if hops(a, b) is not None}
+    assert out.count() == len(expected) and {tuple(r) for r in out.collect()} == expected
+
+
+def test_long_chain_with_a_hub_needs_few_rounds(spark, monkeypatch):
+    rng = random.Random(8)
+    weights = {(i, i + 1): rng.choice([0.1, 0.25, 1 / 3, 2.0]) for i in range(120)} | {(1000, i): 500.0 for i in range(0, 120, 3)}
+    edges = spark.createDataFrame([(a, b, w) for (a, b), w in weights.items()], "src int, dst int, weight double")
+    dist, heap, adj = {}, [(0.0, 0)], {}
+    for (a, b), w in weights.items():
+        adj.setdefault(a, []).append((b, w))
+        adj.setdefault(b, []).append((a, w))
+    while heap:
+        d, u = heapq.heappop(heap)
+        if u not in dist:
+            dist[u] = d
+            for v, w in adj[u]:
+                heapq.heappush(heap, (d + w, v))
+    rounds = []
+    durable = G.durable
+    monkeypatch.setattr(G, "durable", lambda df: rounds.append(1) or durable(df))
+    got = {r["id"]: r for r in G.shortest_paths(edges, 0, hot_rows=20, patience=3).collect()}
+    assert len(rounds) < 45
+    assert {v: r["dist"] for v, r in got.items()} == {v: pytest.approx(d, rel=1e-11) for v, d in dist.items()}
+    for v, r in got.items():
+        if v:
+            w = min(w for u, w in adj[v] if u == r["pred"])
+            assert dist[r["pred"]] + w == pytest.approx(dist[v], rel=1e-11)
+
+
+def test_degree_and_peers_without_pairs(spark):
+    rng = random.Random(4)
+    placed = sorted({(rng.randint(0, 30), rng.randint(0, 12)) for _ in range(120)}) + [(99, 77)]
+    bad = {i for i in range(31) if rng.random() < 0.3}
+    df = spark.createDataFrame(placed + placed[:5], "item int, member int")
+    labels = spark.createDataFrame([(i, i in bad) for i in {i for i, _ in placed}], "item int, is_anomaly boolean")
+    shared = {}
+    for i, a in placed:
+        for j, b in placed:
+            if i == j and a != b:
+                n, y = shared.get((a, b), (0, 0))
+                shared[a, b] = (n + 1, y + (i in bad))
+    degree = {r["id"]: r["degree"] for r in G.weighted_degree(df, "item", "member").collect()}
+    assert degree == {a: sum(n for (x, _), (n, _y) in shared.items() if x == a) for a in {a for a, _ in shared}}
+    chosen = spark.createDataFrame([(3,), (5,), (77,)], "id int")
+    got = {(r["id"], r["peer"]): (r["shared"], r["shared_anomalous"]) for r in G.peers_of(df, "item", "member", chosen, labels).collect()}
+    assert got == {k: v for k, v in shared.items() if k[0] in (3, 5)}
+    plan = G.weighted_degree(df, "item", "member")._jdf.queryExecution().optimizedPlan().toString()
+    assert "member#" in plan and plan.count("Join") <= 4
+    top = G.hotspot_peers(G.peers_of(df, "item", "member", chosen.filter("id = 3"), labels), 3).collect()
+    assert [r["peer"] for r in top] == sorted((b for a, b in shared if a == 3), key=lambda b: (-shared[3, b][1], -shared[3, b][0], b))[:3]
