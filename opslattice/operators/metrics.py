@@ -11,17 +11,18 @@ from pyspark.sql import functions as F
 from opslattice.functions.parsing import micros
 from opslattice.functions.statistics import precision_recall_f1, ratio
 from opslattice.operators.sessions import one_row
-from opslattice.plans.ranks import exact_percentile, kth_smallest, order_values, running_totals
+from opslattice.plans.ranks import exact_percentile, kth_smallest, order_values, running_totals, written_order_values, written_percentile
+from opslattice.plans.runtime import written
 
 
 def split_point(df: DataFrame, ts: str, key: str, n_first: Callable[[int], int]) -> tuple[int, int] | None:
     """(time in micros, key) of the last of the first n_first(n) rows ordered by (ts, key)."""
-    timed = df.select(micros(F.col(ts)).alias("_t"), F.col(key).alias("_k"))
-    n, found = order_values(timed, "_t", lambda n: [n_first(n) - 1] if n_first(n) > 0 else [])
+    timed = written(df.select(micros(F.col(ts)).alias("v"), F.col(key).alias("_k")).filter("v IS NOT NULL"), "times")
+    n, found = written_order_values(timed.select("v"), lambda n: [n_first(n) - 1] if n_first(n) > 0 else [])
     if not found:
         return None
     at = found[0]
-    last = kth_smallest(timed.filter(F.col("_t") == at.value), "_k", n_first(n) - at.below - 1)
+    last = kth_smallest(timed.filter(F.col("v") == at.value), "_k", n_first(n) - at.below - 1)
     return at.value, last.value
 
 
@@ -129,8 +130,9 @@ def latency_percentiles(df: DataFrame, column: str) -> DataFrame:
 
 def median_mad(df: DataFrame, column: str) -> DataFrame:
     """Exact median and median absolute deviation; a MAD of 0 counts as 1."""
-    med = exact_percentile(df, column, 0.5)
-    mad = exact_percentile(df.select(F.abs(F.col(column) - F.lit(med)).alias("d")), "d", 0.5)
+    values = written(df.select(F.col(column).alias("v")).filter(F.col("v").isNotNull()))
+    med = written_percentile(values, 0.5)
+    mad = exact_percentile(values.select(F.abs(F.col("v") - F.lit(med)).alias("d")), "d", 0.5)
     return df.sparkSession.createDataFrame([(med, mad or 1.0)], "median double, mad double")
 
 

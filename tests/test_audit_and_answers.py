@@ -97,7 +97,7 @@ def test_grounding(spark):
 
 def test_halves_and_golden_set(spark):
     items = spark.createDataFrame([(i * 3,) for i in range(25)], "i int")
-    halves = {r["i"]: r["half"] for r in E.half_split(items, "i", cell=10).collect()}
+    halves = {r["i"]: r["half"] for r in E.half_split(items, "i").collect()}
     assert halves == {i * 3: "AB"[i % 2] for i in range(25)}
     pool = spark.range(500).withColumn("y", F.col("id") % 10 == 0)
     picked = E.golden_set(pool, "y", "id", 20)

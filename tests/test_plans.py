@@ -79,7 +79,7 @@ def test_pairs_within_splits_hot_items(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("band,pivots", [(5_000, 24), (10, 4)])
+@pytest.mark.parametrize("band,pivots", [(5_000, 24), (10, 4), (10, 200)])
 def test_kth_smallest_and_percentile(spark, band, pivots):
     rng = random.Random(5)
     values = [rng.choice([7.0, rng.uniform(-50, 50), float(rng.randint(0, 5))]) for _ in range(500)]
@@ -120,6 +120,27 @@ def test_selection_does_not_shuffle_the_column(spark):
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - len(before) < 30
 
 
+def test_selection_reads_the_plan_above_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for row in rows:
+            seen.add(1)
+            yield row
+
+    df = spark.createDataFrame(spark.range(3_000, numPartitions=3).rdd.mapPartitions(count), "id long")
+    assert ranks.exact_percentile(df, "id", 0.5, band=20) == 1499.5
+    assert seen.value == 3_000
+
+
+def test_positions_without_a_single_window(spark):
+    rng = random.Random(12)
+    ids = [None, "", *{f"k{rng.randint(0, 10**6)}" for _ in range(500)}]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(rng.sample(ids, len(ids)))], "k string, n int")
+    got = {r["k"]: r["pos"] for r in ranks.positions(df.repartition(5), ["k"]).collect()}
+    assert got == {v: i for i, v in enumerate([None, *sorted(v for v in ids if v is not None)], 1)}
+
+
 def test_metrics_of_an_empty_frame(spark):
     empty = spark.createDataFrame([], "y boolean, s double, f boolean")
     rows = binary_metrics(empty, "y", "s", "f").collect()
