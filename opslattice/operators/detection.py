@@ -21,7 +21,7 @@ from opslattice.functions.statistics import binomial_tail
 from opslattice.operators.metrics import before_split, best_threshold, split_point, threshold_curve
 from opslattice.plans.ranks import exact_percentile
 from opslattice.plans.runtime import durable
-from opslattice.plans.skew import history, numbered, salted_join
+from opslattice.plans.skew import history, numbered, salted_join, split_bursts
 
 PERCENTILE = 0.96  # about one session in 25 is anomalous
 SEED = 42
@@ -346,7 +346,7 @@ def sequence_fingerprint(events: DataFrame, key: str, bucket: str, order: list[s
     Positions are assigned bucket by bucket and hashed with the template, so no list
     is ever collected.
     """
-    placed = numbered(events, [key], bucket, order)
+    placed = numbered(split_bursts(events, [key], bucket, order), [key], bucket, order)
     part = F.xxhash64(F.col("pos"), F.col(template)).cast("decimal(20,0)")
     other = F.xxhash64(F.lit(1), F.col(template), F.col("pos")).cast("decimal(20,0)")
     return placed.groupBy(key).agg(F.count(F.lit(1)).alias("len"), F.sum(part).alias("h1"), F.sum(other).alias("h2"))
@@ -437,7 +437,7 @@ def next_event_scores(train_seq: DataFrame, seq: DataFrame, key: str, event_key:
 
 def padded_history(events: DataFrame, key: str, bucket: str, order: list[str], event: str, n: int = 10) -> DataFrame:
     """Previous n events, left-padded with '0'."""
-    listed = history(events, [key], bucket, order, event, n)
+    listed = history(split_bursts(events, [key], bucket, order), [key], bucket, order, event, n)
     pad = F.array_repeat(F.lit("0"), F.lit(n) - F.size("history"))
     return listed.withColumn("history", F.concat(pad, F.col("history")))
 

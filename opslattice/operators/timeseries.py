@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opslattice.functions.parsing import micros
 from opslattice.operators.graph import connected_components
-from opslattice.plans.skew import HOT_ROWS, last_seen, previous
+from opslattice.plans.skew import HOT_ROWS, last_seen, previous, salted_join, split_bursts, totalled
 
 
 def hour_of(ts: str):
@@ -45,17 +45,18 @@ def _timed(events: DataFrame, key: str, ts: str, id_col: str, bucket_s: int) ->
     ).withColumn("bucket", F.floor(F.col("t") / (bucket_s * 1_000_000)))
 
 
-def gap_to_previous(events: DataFrame, key: str, ts: str, id_col: str, bucket_s: int = 3600) -> DataFrame:
-    """(id, key, t, prev_id, gap_us) by (time, id) within each key."""
-    timed = _timed(events, key, ts, id_col, bucket_s)
+def gap_to_previous(events: DataFrame, key: str, ts: str, id_col: str, bucket_s: int = 3600, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(id, key, t, bucket, prev_id, gap_us) by (time, id) within each key; bursts inside a bucket are split."""
+    timed = split_bursts(_timed(events, key, ts, id_col, bucket_s), ["key"], "bucket", ["t", "id"], hot_rows)
     linked = previous(timed, ["key"], "bucket", ["t", "id"], ["t", "id"])
     return linked.select("id", "key", "t", "bucket", F.col("prev.id").alias("prev_id"),
                          (F.col("t") - F.col("prev.t")).alias("gap_us"))
 
 
-def key_runs(events: DataFrame, key: str, ts: str, id_col: str, window_s: int, bucket_s: int = 3600) -> DataFrame:
+def key_runs(events: DataFrame, key: str, ts: str, id_col: str, window_s: int, bucket_s: int = 3600,
+             hot_rows: int = HOT_ROWS) -> DataFrame:
     """(id, key, t, run): run is the id of the first event of its gap-free stretch."""
-    gaps = gap_to_previous(events, key, ts, id_col, bucket_s)
+    gaps = gap_to_previous(events, key, ts, id_col, bucket_s, hot_rows)
     starts = F.col("gap_us").isNull() | (F.col("gap_us") > window_s * 1_000_000)
     flagged = gaps.withColumn("_start", F.when(starts, F.col("id")))
     return last_seen(flagged, ["key"], "bucket", ["t", "id"], "_start", "run").select("id", "key", "t", "run")
@@ -68,28 +69,49 @@ def correlate_incidents(events: DataFrame, id_col: str, ts: str, keys: list[str]
     Per key every event points at the first event of its run, so a long run is a star
     and not a chain before components are merged over all keys.
     """
-    runs = [key_runs(events, k, ts, id_col, window_s, bucket_s).filter(F.col("id") != F.col("run"))
+    runs = [key_runs(events, k, ts, id_col, window_s, bucket_s, hot_rows).filter(F.col("id") != F.col("run"))
             .select(F.col("id").alias("src"), F.col("run").alias("dst")) for k in keys]
     edges = reduce(DataFrame.union, runs)
     parts = connected_components(edges, vertices=events.select(F.col(id_col).alias("id")), hot_rows=hot_rows)
     return parts.withColumnRenamed("component", "incident")
 
 
-def partners_in_window(events: DataFrame, key: str, ts: str, id_col: str, window_s: int) -> DataFrame:
+def links_in_window(events: DataFrame, id_col: str, ts: str, keys: list[str], window_s: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(src, dst): every two events, the earlier one first by (time, id), that share one of the keys and are at most window_s apart.
+
+    Time is cut into cells of the window's length, so partners are in the same cell or the one before. Each later event looks at both
+    cells; a crowded (key, cell) is spread by the earlier event, to whose salts the later events are copied. Pairs that several keys link are
+    listed once. The result grows with the square of a burst, as it is the list of its pairs; `partners_in_window` counts them instead.
+    """
+    w = window_s * 1_000_000
+    out = []
+    for key in keys:
+        timed = _timed(events, key, ts, id_col, window_s).filter(F.col("key").isNotNull())
+        earlier = timed.select("key", F.col("bucket").alias("cell"), F.col("id").alias("src"), F.col("t").alias("_t"))
+        later = timed.select("key", F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("cell"), F.col("id").alias("dst"), "t")
+        met = salted_join(earlier, later, ["key", "cell"], "src", hot_rows=hot_rows)
+        before = (F.col("_t") < F.col("t")) | ((F.col("_t") == F.col("t")) & (F.col("src") < F.col("dst")))
+        out.append(met.filter(before & (F.col("t") - F.col("_t") <= w)).select("src", "dst"))
+    links = reduce(DataFrame.union, out)
+    return links if len(keys) == 1 else links.distinct()
+
+
+def partners_in_window(events: DataFrame, key: str, ts: str, id_col: str, window_s: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(id, partners): earlier events of the same key at most window_s old, by (time, id).
 
-    Counts the links an all-pairs comparison would list, without listing them: rows
-    are counted per (key, window-sized bucket) and only the own and the previous bucket
-    are ranked.
+    Counts the links that `links_in_window` would list, without listing them. An event has as many partners as its position within the
+    key exceeds that of the last event too old for it, and positions are found bucket by bucket, bursts split.
     """
     w = window_s * 1_000_000
     timed = _timed(events, key, ts, id_col, window_s)
-    both = timed.withColumn("half", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("cell", F.col("bucket") + F.col("half"))
-    # in its own cell (half 0) an event is preceded by rows of this and the previous bucket
-    span = Window.partitionBy("key", "cell").orderBy("t").rangeBetween(-w, Window.currentRow)
-    same = Window.partitionBy("key", "cell", "t").orderBy("id").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    counted = both.withColumn("_upto", F.count(F.lit(1)).over(span)).withColumn("_not_before", F.count(F.lit(1)).over(same))
-    return counted.filter(F.col("half") == 0).select("id", (F.col("_upto") - F.col("_not_before")).alias("partners"))
+    # Each event is there once as itself and once as the border of its window, just before all events of that time.
+    rows = timed.select("id", "key", "t", F.lit(1).alias("_one")).unionByName(
+        timed.select("id", "key", (F.col("t") - w).alias("t"), F.lit(0).alias("_one")))
+    rows = rows.withColumn("bucket", F.floor(F.col("t") / w))
+    pieces = split_bursts(rows, ["key"], "bucket", ["t", "_one", "id"], hot_rows)
+    counted = totalled(pieces, ["key"], "bucket", ["t", "_one", "id"], "_one", "_upto")
+    return counted.groupBy("id").agg(
+        (F.max(F.when(F.col("_one") == 1, F.col("_upto"))) - F.max(F.when(F.col("_one") == 0, F.col("_upto"))) - 1).alias("partners"))
 
 
 def incident_stats(incidents: DataFrame, incident: str = "incident") -> DataFrame:

@@ -28,6 +28,11 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFr
 
 def hot_counts(counts: DataFrame, keys: list[str], rows: str, hot_rows: int = HOT_ROWS, total: int | None = None) -> DataFrame:
     """The same from a frame that has one row per key and its number of rows; total: the number of all rows, if it is known."""
+    return _hot(counts, keys, rows, hot_rows, total).drop("_rows")
+
+
+def _hot(counts: DataFrame, keys: list[str], rows: str, hot_rows: int, total: int | None = None) -> DataFrame:
+    """(keys, _rows, _salts)"""
     large = counts.select(*keys, F.col(rows).alias("_rows")).filter(F.col("_rows") >= hot_rows)
     if total is None:
         one = F.lit(1).alias("_one")
@@ -35,7 +40,7 @@ def hot_counts(counts: DataFrame, keys: list[str], rows: str, hot_rows: int = HO
         large = large.withColumn("_one", one).join(F.broadcast(whole), "_one")
     else:
         large = large.withColumn("_most", F.lit(max(hot_rows, -(-total // SHARES))))
-    return large.filter(F.col("_rows") >= F.col("_most")).select(*keys, (F.ceil(F.col("_rows") / F.col("_most")) + 1).cast("int").alias("_salts"))
+    return large.filter(F.col("_rows") >= F.col("_most")).select(*keys, "_rows", (F.ceil(F.col("_rows") / F.col("_most")) + 1).cast("int").alias("_salts"))
 
 
 def salt_rows(df: DataFrame, hot: DataFrame, keys: list[str], spread: Column) -> DataFrame:
@@ -88,6 +93,29 @@ def _attach(rows: DataFrame, carried: DataFrame, keys: list[str], column: str) -
     return rows.join(renamed, on, "left").drop(*[f"_k{i}" for i in range(len(keys))])
 
 
+DRAWN = 20  # rows of a burst that are drawn for each piece it is cut into
+
+
+def split_bursts(df: DataFrame, keys: list[str], bucket: str, order: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """df with its bucket column as (bucket, piece): a (key, bucket) with too many rows is cut into pieces of similar row counts.
+
+    The pieces are ranges of the order columns. Their borders come from about DRAWN rows per piece, drawn by a hash, so borders are
+    bounded like the hot keys themselves. Pieces rise with the order, so the windows below can carry from piece to piece as they
+    do from bucket to bucket; rows that are equal in all order columns share a piece.
+    """
+    at = [*keys, bucket]
+    hot = _hot(df.groupBy(*at).agg(F.count(F.lit(1)).alias("_n")), at, "_n", hot_rows)
+    share = hot.select(*at, F.least(DRAWN * F.col("_salts") / F.col("_rows"), F.lit(1.0)).alias("_share"))
+    place = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    unit = F.pmod(F.xxhash64(*order), F.lit(1 << 20)) / (1 << 20)
+    drawn = _attach(df.select(*at, *[c for c in order if c not in at]), F.broadcast(share), at, "_share").filter(unit < F.col("_share"))
+    borders = drawn.groupBy(*at).agg(F.array_sort(F.collect_list(place)).alias("_all")).select(
+        *at, F.filter("_all", lambda _, i: i % DRAWN == DRAWN - 1).alias("_borders"))
+    piece = F.coalesce(F.size(F.filter("_borders", lambda b: b <= place)), F.lit(0))
+    piece = F.when(F.col("_borders").isNull(), 0).otherwise(piece).alias("piece")
+    return _attach(df, F.broadcast(borders), at, "_borders").withColumn(bucket, F.struct(F.col(bucket).alias("bucket"), piece)).drop("_borders")
+
+
 def history(
     df: DataFrame, keys: list[str], bucket: str, order: list[str], value: str, n: int, alias: str = "history"
 ) -> DataFrame:
@@ -140,6 +168,17 @@ def numbered(df: DataFrame, keys: list[str], bucket: str, order: list[str], alia
     return joined.withColumn(alias, F.col("_local") + F.col("_carry")).drop("_local", "_carry")
 
 
+def totalled(df: DataFrame, keys: list[str], bucket: str, order: list[str], value: str, alias: str) -> DataFrame:
+    """Running total of `value` within the key up to and including the current row."""
+    inner = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = df.withColumn("_local", F.sum(value).over(inner))
+    sums = df.groupBy(*keys, bucket).agg(F.sum(value).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.withColumn("_carry", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    joined = _attach(local, carried, [*keys, bucket], "_carry")
+    return joined.withColumn(alias, F.col("_local") + F.col("_carry")).drop("_local", "_carry")
+
+
 def last_seen(df: DataFrame, keys: list[str], bucket: str, order: list[str], value: str, alias: str) -> DataFrame:
     """The latest non-null `value` of the key up to and including the current row."""
     inner = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

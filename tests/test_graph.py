@@ -98,7 +98,10 @@ def test_incidents_equal_all_pairs(spark, seed):
     links = [(a[0], b[0]) for a in events for b in events if a[0] < b[0] and abs(a[1] - b[1]) <= 300 and (a[2] == b[2] or a[3] == b[3])]
     df = spark.createDataFrame(events, "id int, s double, src string, k2 string").withColumn(
         "ts", F.timestamp_micros((F.col("s") * 1_000_000).cast("bigint")))
-    out = TS.correlate_incidents(df, "id", "ts", ["src", "k2"], 300, bucket_s=200)
+    listed = [tuple(r) for r in TS.links_in_window(df, "id", "ts", ["src", "k2"], 300, hot_rows=5).collect()]
+    assert len(listed) == len(set(listed)) and {tuple(sorted(p)) for p in listed} == set(links)
+    assert all((events[a][1], a) < (events[b][1], b) for a, b in listed)
+    out = TS.correlate_incidents(df, "id", "ts", ["src", "k2"], 300, bucket_s=200, hot_rows=[1_000_000, 10][seed % 2])
     assert {r["id"]: r["incident"] for r in out.collect()} == components(range(120), links)
     stats = TS.incident_stats(out).first()
     assert stats["events"] == 120

@@ -53,6 +53,27 @@ def test_previous_numbered_and_last_seen(table):
             assert seen[i] == latest
 
 
+def test_bursts_are_cut_and_windows_cross_the_cuts(spark):
+    rng = random.Random(2)
+    rows = [(i, "burst" if i % 3 else rng.choice(["a", None]), 5 if i % 3 else rng.randint(0, 20), rng.randint(0, 9)) for i in range(600)]
+    df = spark.createDataFrame(rows, "id int, key string, t int, v int").withColumn("bucket", F.floor(F.col("t") / 7)).repartition(5)
+    cut = skew.split_bursts(df, ["key"], "bucket", ["t", "id"], hot_rows=50)
+    sizes = {tuple(r[:3]): r["n"] for r in cut.groupBy("key", "bucket.bucket", "bucket.piece").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert sum(sizes.values()) == 600 and sum(k[0] == "burst" for k in sizes) >= 5 and max(sizes.values()) < 200
+    groups = defaultdict(list)
+    for i, key, t, v in rows:
+        groups[key].append((t, i, v))
+    prev = {r["id"]: r["prev"] for r in skew.previous(cut, ["key"], "bucket", ["t", "id"], ["id"]).collect()}
+    hist = {r["id"]: list(r["history"]) for r in skew.history(cut, ["key"], "bucket", ["t", "id"], "v", 4).collect()}
+    total = {r["id"]: r["total"] for r in skew.totalled(cut, ["key"], "bucket", ["t", "id"], "v", "total").collect()}
+    for group in groups.values():
+        group.sort()
+        for at, (_, i, _v) in enumerate(group):
+            assert (prev[i]["id"] if prev[i] else None) == (group[at - 1][1] if at else None)
+            assert hist[i] == [v for _, _, v in group[max(0, at - 4):at]]
+            assert total[i] == sum(v for _, _, v in group[:at + 1])
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_salted_join_equals_plain_join(spark, table, how):
     lookup = spark.createDataFrame([("hot", 1), ("a", 2), ("z", 3), (None, 4)], "key string, w int")
