@@ -20,7 +20,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslattice.llm.common import staged
+from opslattice.llm.common import columns_of, free_name, staged
 
 # The four base kinds.
 BASE = {
@@ -123,10 +123,10 @@ def _found(text: Column, kind: str) -> Column:
         F.expr("array()").cast(SPAN))
 
 
-def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs plus _spans: all candidate spans, base and further."""
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.withColumn("_spans", F.concat(*[_found(whole, k) for k in KINDS]))
+def with_candidates(docs: DataFrame, text: str = "text", spans: str = "_spans") -> DataFrame:
+    """docs plus a column with all candidate spans, base and further."""
+    whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    return docs.withColumn(spans, F.concat(*[_found(whole, k) for k in KINDS]))
 
 
 def _of_kind(span: Column, by_kind: dict[str, Column]) -> Column:
@@ -207,39 +207,46 @@ def _posterior(prior: float, labelers: dict[str, Labeler]) -> Column:
     return 1 / (1 + F.exp(-score))
 
 
+def _chance(prior: float, labelers: dict[str, Labeler], votes: dict[str, int]) -> float:
+    score = math.log(prior / (1 - prior)) + sum(math.log(l.yes[votes[k] + 1] / l.no[votes[k] + 1]) for k, l in labelers.items())
+    return 1 / (1 + math.exp(-score))
+
+
 def reliabilities(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple[float, dict[str, Labeler]]:
-    """EM over (votes of each labeler, n). Each round is one aggregate over the distinct vote patterns."""
+    """EM over (votes of each labeler, n), one row per distinct pattern of votes.
+
+    There are at most 3 ** len(names) patterns, 729 for six labelers, however many spans there are. They are read once.
+    """
     prior, labelers = 0.5, {name: Labeler((0.4, 0.4, 0.2), (0.1, 0.4, 0.5)) for name in names}
-    for _ in range(rounds):
-        weighed = patterns.withColumn("_p", _posterior(prior, labelers))
-        sums = [F.sum(F.col("n") * F.col("_p")).alias("yes"), F.sum("n").alias("all")]
-        for name in names:
-            for vote in (-1, 0, 1):
-                hit = F.when(F.col(name) == vote, F.col("n")).otherwise(0)
-                sums += [F.sum(hit * (1 - F.col("_p"))).alias(f"{name}_{vote}_no"), F.sum(hit * F.col("_p")).alias(f"{name}_{vote}_yes")]
-        row = weighed.agg(*sums).first()
-        if not row["all"]:
-            break
-        yes, no = row["yes"], row["all"] - row["yes"]
+    rows = sorted((tuple(r[name] for name in names), r["n"]) for r in patterns.select(*names, "n").collect())
+    everything = sum(n for _, n in rows)
+    for _ in range(rounds if everything else 0):
+        yes, hits = 0.0, {(name, vote): [0.0, 0.0] for name in names for vote in (-1, 0, 1)}
+        for votes, n in rows:
+            p = _chance(prior, labelers, dict(zip(names, votes)))
+            yes += n * p
+            for hit in zip(names, votes):
+                hits[hit][0] += n * (1 - p)
+                hits[hit][1] += n * p
         # One made-up vote of each kind keeps chances off zero; a labeler is not allowed to mean the opposite of what it says.
         new = {}
         for name in names:
-            chances = [tuple((row[f"{name}_{v}_{side}"] + 1) / (total + 3) for v in (-1, 0, 1)) for side, total in (("no", no), ("yes", yes))]
+            chances = [tuple((hits[name, v][side] + 1) / (total + 3) for v in (-1, 0, 1)) for side, total in enumerate((everything - yes, yes))]
             upside_down = chances[1][2] * chances[0][0] < chances[0][2] * chances[1][0]
             new[name] = labelers[name] if upside_down else Labeler(*chances)
         moved = max(abs(a - b) for name in names for s, t in zip(new[name], labelers[name]) for a, b in zip(s, t))
-        prior, labelers = (yes + 1) / (row["all"] + 2), new
+        prior, labelers = (yes + 1) / (everything + 2), new
         if moved < 1e-4:
             break
     return prior, labelers
 
 
-def fit(docs: DataFrame, text: str = "text") -> Model:
+def fit(docs: DataFrame, spans: str = "_spans") -> Model:
     """Labeler reliabilities and the span classifier, from the candidates of all documents. No candidates: nothing is admitted."""
     span = F.col("span")
     votes_of = votes(span)
     names = list(votes_of)
-    spans = with_candidates(docs.select(text), text).select(F.explode("_spans").alias("span"))
+    spans = docs.select(F.explode(spans).alias("span"))
     seen = spans.select(*[F.coalesce(v, F.lit(0)).alias(k) for k, v in votes_of.items()], F.array(*features(span)).alias("features"))
     counted = staged(seen.groupBy(*names, "features").agg(F.count(F.lit(1)).alias("n")), "pii-votes")
     patterns = staged(counted.groupBy(*names).agg(F.sum("n").alias("n")), "pii-patterns")
@@ -260,11 +267,10 @@ def _admitted(span: Column, model: Model) -> Column:
     return (span["kind"] < len(BASE)) | (1 / (1 + F.exp(-score)) >= ADMIT)
 
 
-def with_spans(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs plus _spans: array of (start, kind, end) of base and admitted spans, by start, then kind as listed."""
-    chosen = F.filter("_spans", lambda s: _admitted(s, model))
-    slim = F.transform(chosen, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    return with_candidates(docs, text).withColumn("_spans", F.array_sort(slim))
+def admitted(model: Model, spans: str = "_spans") -> Column:
+    """Array of (start, kind, end) of base and admitted spans, by start, then kind as listed."""
+    chosen = F.filter(spans, lambda s: _admitted(s, model))
+    return F.array_sort(F.transform(chosen, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
 
 
 def _joined(spans: Column) -> Column:
@@ -280,7 +286,8 @@ def digest(docs: DataFrame) -> DataFrame:
     an empty table gives no rows; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = with_spans(docs, fit(docs))
+    found = staged(with_candidates(docs).select("doc_id", "_spans"), "pii-candidates")  # texts are searched once
+    found = found.withColumn("_spans", admitted(fit(found)))
     base = F.filter("_spans", lambda s: s["kind"] < len(BASE))
 
     def number(kind: str) -> Column:
@@ -295,8 +302,9 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Other columns stay as they are, and so do texts without spans and null texts.
     """
+    spans = free_name(docs, "spans")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    whole = F.col(text)
+    whole = F.col(f"`{text}`")
     start = F.struct(F.lit(0).cast("long").alias("pos"), F.expr("array()").cast("array<string>").alias("out"))
 
     def cut(acc: Column, s: Column) -> Column:
@@ -304,7 +312,8 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.when(s["start"] < acc["pos"], F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), acc["out"].alias("out"))).otherwise(
             F.struct(s["end"].alias("pos"), F.concat(acc["out"], F.array(before)).alias("out")))
 
-    done = F.aggregate("_spans", start, cut, lambda acc: F.concat(
+    done = F.aggregate(spans, start, cut, lambda acc: F.concat(
         F.array_join(acc["out"], ""), F.substring(whole, acc["pos"] + 1, F.length(whole))))
-    found = with_spans(docs, fit(docs, text), text)
-    return found.withColumn(text, F.when(F.size("_spans") > 0, done).otherwise(whole)).select(*docs.columns)
+    found = staged(with_candidates(docs, text, spans), "pii-candidates")
+    found = found.withColumn(spans, admitted(fit(found, spans), spans))
+    return found.withColumn(text, F.when(F.size(spans) > 0, done).otherwise(whole)).select(*columns_of(docs))
