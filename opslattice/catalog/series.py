@@ -83,5 +83,4 @@ def _(t):
 def _(t):
     folder = stream_folder(t, "incidents")
     events = jobs.stream_table(t.spark, f"{t.folder}/events*.parquet")
-    jobs.run_available(jobs.stream_key_incidents(events, "ts", "user_id"), folder, "complete")
-    return jobs.last_batch(t.spark, folder)
+    return jobs.key_incidents(events, folder, "ts", "user_id")
