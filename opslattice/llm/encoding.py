@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from struct import pack
+from struct import Struct, pack
 
 import numpy as np
 
@@ -15,6 +15,9 @@ _CHUNK = re.compile(r"\s*\S+|\s+")
 _UNSURE = re.compile("[\x1c-\x1f᠎]")
 # Without runs of white space, blanks and line ends are places to cut at, and no pattern is needed.
 _RUNS = re.compile("\\s\\s|[\x00\x1c-\x1f᠎]")
+# A word of ASCII letters with its blank, and a run of ASCII signs but for the apostrophe: one pre-token each.
+_PLAIN = re.compile(r"( ?[A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
+_PACK = [Struct(f"<{n}I").pack for n in range(16)]
 _LONGEST = 40  # longer chunks are not remembered
 _GENERATION = 400_000  # chunks; two generations are kept
 _BATCH_CHARS = 1 << 20
@@ -28,27 +31,50 @@ def _chunks(text: str) -> list[str] | None:
 
 
 class Encoder:
-    """Whole texts to ids, as little-endian unsigned 32-bit integers. Special tokens in a text are ordinary text."""
+    """Whole texts to ids, as little-endian unsigned 32-bit integers. Strings of special tokens are these tokens, as is the library's default."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._model = self._tokenizer.model
+        self.largest_id = max(self._tokenizer.get_vocab(with_added_tokens=True).values())
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
+        self._signs: dict[str, bytes] = {}  # at most three characters: fewer than 32,000
 
     def _whole(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _merged(self, piece: str) -> bytes:
+        ids = [token.id for token in self._model.tokenize(piece)]
+        return pack(f"<{len(ids)}I", *ids)
+
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of new chunks: cut by the vocabulary's own pre-tokenizer in one call, then merged piece by piece."""
-        plain = [c for c in chunks if c and c[0].isspace() and not c[-1].isspace()]
-        out = {c: self._whole(c) for c in set(chunks).difference(plain)}
-        merge, ids, end, rest = self._model.tokenize, [], 0, iter(plain)
-        chunk = ""
-        for piece, (start, _) in self._tokenizer.pre_tokenizer.pre_tokenize_str("".join(plain)):
+        """Ids of new chunks. Plain words go to the merges at once; the rest is cut by the vocabulary's own pre-tokenizer in one call."""
+        out, others, merge, match = {}, [], self._model.tokenize, _PLAIN.fullmatch
+        for chunk in chunks:
+            if chunk.isascii() and chunk[1:].isalpha() and chunk[0] == " ":
+                ids = [token.id for token in merge("Ġ" + chunk[1:])]
+                out[chunk] = _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else pack(f"<{len(ids)}I", *ids)
+                continue
+            plain = match(chunk)
+            if plain:
+                word, signs = plain.groups()
+                ids = self._young.get(word) or self._old.get(word) or out.get(word) or self._merged("Ġ" + word[1:] if word[0] == " " else word)
+                if signs:
+                    more = self._signs.get(signs) or self._merged(signs)
+                    if len(signs) <= 3:
+                        self._signs[signs] = more
+                    out[word], ids = ids, ids + more
+                out[chunk] = ids
+            else:
+                others.append(chunk)
+        cut = [c for c in others if c and c[0].isspace() and not c[-1].isspace()]
+        out |= {c: self._whole(c) for c in set(others).difference(cut)}
+        ids, end, rest, chunk = [], 0, iter(cut), ""
+        for piece, (start, _) in self._tokenizer.pre_tokenizer.pre_tokenize_str("".join(cut)):
             if start >= end:
                 if chunk:
                     out[chunk] = pack(f"<{len(ids)}I", *ids)
@@ -60,7 +86,7 @@ class Encoder:
         return out
 
     def _batch(self, texts: list[str]) -> list[bytes]:
-        cut = [_chunks(t) for t in texts]
+        cut = [None if any(s in t for s in self._special) else _chunks(t) for t in texts]
         if len(self._young) > _GENERATION:
             self._old, self._young = self._young, {}
         young, old = self._young, self._old

@@ -41,8 +41,8 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     return list(zip(starts, [b - a for a, b in zip(starts, starts[1:] + [n])]))
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
-    """Encoded pieces of every document with their rank among pieces of equal length in the same task."""
+def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, keep_ids: bool = True) -> DataFrame:
+    """Encoded pieces of every document with their rank among pieces of equal length in the same task; ids are null unless kept."""
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, task = encoder(tokenizer), TaskContext.get().partitionId()
         end, seen = np.array([end_id], dtype="<u4").tobytes(), [0] * (capacity + 1)
@@ -52,7 +52,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
                 ids += end
                 for i, (start, length) in enumerate(cuts(len(ids) // 4, capacity)):
                     part = ids[4 * start: 4 * (start + length)]
-                    rows.append((doc_id, i, start, length, part, zlib.crc32(part), task, seen[length]))
+                    rows.append((doc_id, i, start, length, part if keep_ids else None, zlib.crc32(part), task, seen[length]))
                     seen[length] += 1
                 if len(rows) >= 1000:
                     yield _frame(rows)
@@ -186,7 +186,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     tables give no rows. Other columns of docs are ignored. Pieces of equal length are placed in the order of
     (task, row), which is fixed once the pieces are written.
     """
-    cut = staged(pieces(docs, tokenizer, capacity, end_id), "packing-pieces")
+    cut = staged(pieces(docs, tokenizer, capacity, end_id, keep_ids), "packing-pieces")
     return place(cut if keep_ids else cut.drop("ids"), capacity)
 
 

@@ -10,6 +10,7 @@ Every block repeats the hash of the dictionary it was written with, and readers
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,12 +19,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from opslattice.llm.common import hash_sample, id_and_text, stage_path
+from opslattice.llm.common import hash_sample, id_and_text, stage_path, staged
 from opslattice.llm.encoding import encoder
 
 BLOCK_BYTES = 4 << 20
 DICTIONARY_BYTES = 64 << 10
-SAMPLE_DOCS, SAMPLE_BYTES = 400, 8 << 10  # the dictionary is fitted on so many documents, and so many bytes of each
+SAMPLE_DOCS, SAMPLE_BYTES = 400, 8 << 10  # the dictionary is fitted on about so many documents, and so many bytes from somewhere in each
 LEVEL = 3
 
 BLOCKS = ("part int, block int, n_tokens long, dictionary_sha256 string, "
@@ -35,15 +36,23 @@ def _serialise(ids: bytes, width: int) -> bytes:
     return ids if width == 4 else np.frombuffer(ids, dtype="<u4").astype("<u2").tobytes()
 
 
+def _somewhere(ids: bytes, width: int) -> bytes:
+    """At most SAMPLE_BYTES of the ids, from a place that depends on all of them."""
+    spare = (len(ids) - SAMPLE_BYTES) // width
+    start = width * (zlib.crc32(ids) % (spare + 1)) if spare > 0 else 0
+    return ids[start: start + SAMPLE_BYTES]
+
+
 def train_dictionary(docs: DataFrame, tokenizer: str, width: int) -> bytes:
     """A dictionary from the serialised ids of a bounded, hash-drawn sample; empty if the sample is too small for one."""
     def sample(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(tokenizer)
         for frame in frames:
-            yield pd.DataFrame({"ids": [_serialise(ids, width)[:SAMPLE_BYTES] for ids in encode(frame["text"].array)]})
+            yield pd.DataFrame({"ids": [_somewhere(_serialise(ids, width), width) for ids in encode(frame["text"].array)]})
 
     drawn = hash_sample(id_and_text(docs).filter(F.length("text") > 0), "doc_id", SAMPLE_DOCS, "dictionary")
-    samples = sorted(bytes(r["ids"]) for r in drawn.mapInPandas(sample, "ids binary").collect())
+    # A repeated id is drawn as a whole, so the number of rows is bounded here.
+    samples = sorted(bytes(r["ids"]) for r in drawn.limit(2 * SAMPLE_DOCS).mapInPandas(sample, "ids binary").collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=200, d=8).as_bytes() if samples else b""
     except zstandard.ZstdError:
@@ -62,35 +71,49 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, folder: str, width
     id, 2 only for vocabularies of at most 65,536 ids.
     """
     spark = docs.sparkSession
+    most = max(end_id, encoder(tokenizer).largest_id)
+    if most >= 1 << (8 * width):
+        raise ValueError(f"ids up to {most} do not fit {width} bytes")
     data = train_dictionary(docs, tokenizer, width)
     sha = hashlib.sha256(data).hexdigest()
     spark.createDataFrame([(bytearray(data), sha, width, end_id)],
                           "dictionary binary, dictionary_sha256 string, width int, end_id int"
                           ).coalesce(1).write.parquet(f"{folder}/dictionary")
     end = np.array([end_id], dtype="<u4").tobytes()
-    # Ids are not known before encoding, but their order is: documents are dealt by range first and encoded in order.
-    ordered = id_and_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").withColumn(
-        "part", F.spark_partition_id())
 
     def compress(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, compressor = encoder(tokenizer), zstandard.ZstdCompressor(level=LEVEL, **_dictionary(data))
+        for frame in frames:
+            for at in range(0, len(frame), 1000):
+                ids = [i + end for i in encode(frame["text"].array[at: at + 1000])]
+                yield pd.DataFrame({
+                    "doc_id": frame["doc_id"].array[at: at + 1000], "tie": frame["tie"].array[at: at + 1000], "n_tokens": [len(i) // 4 for i in ids],
+                    "frame": [compressor.compress(_serialise(i, width)) for i in ids]})
+
+    # Documents are encoded where they are read; only their frames are dealt out by range, with texts where these decide the order.
+    texts = id_and_text(docs)
+    again = staged(texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("doc_id").alias("_id")), "token-repeats")
+    tied = texts.join(again, F.col("doc_id") == F.col("_id"), "left")
+    tied = tied.select("doc_id", "text", F.when(F.col("_id").isNotNull() | F.col("doc_id").isNull(), F.col("text")).alias("tie"))
+    packed = staged(tied.mapInPandas(compress, "doc_id long, tie string, n_tokens long, frame binary"), "token-frames", "none")
+    ordered = packed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").withColumn("part", F.spark_partition_id())
+
+    def gather(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, block, index, out, size, start = 0, 0, [], [], 0, 0
         for frame in frames:
             part = int(frame["part"].iloc[0]) if len(frame) else part
-            for doc_id, ids in zip(frame["doc_id"].array, encode(frame["text"].array)):
-                ids += end
-                packed = compressor.compress(_serialise(ids, width))
-                index.append({"doc_id": None if pd.isna(doc_id) else int(doc_id), "offset": size, "size": len(packed),
-                              "start": start, "n_tokens": len(ids) // 4})
-                out.append(packed)
-                size, start = size + len(packed), start + len(ids) // 4
+            for doc_id, n_tokens, body in zip(frame["doc_id"].array, frame["n_tokens"], frame["frame"]):
+                index.append({"doc_id": None if pd.isna(doc_id) else int(doc_id), "offset": size, "size": len(body),
+                              "start": start, "n_tokens": int(n_tokens)})
+                out.append(body)
+                size, start = size + len(body), start + int(n_tokens)
                 if size >= BLOCK_BYTES:
                     yield pd.DataFrame([(part, block, start, sha, index, b"".join(out))], columns=COLUMNS)
                     block, index, out, size, start = block + 1, [], [], 0, 0
         if index:
             yield pd.DataFrame([(part, block, start, sha, index, b"".join(out))], columns=COLUMNS)
 
-    ordered.mapInPandas(compress, BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
+    ordered.select("part", "doc_id", "n_tokens", "frame").mapInPandas(gather, BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
     blocks = _blocks(spark, folder).join(_block_starts(spark, folder), ["part", "block"])
     blocks.select("part", "block", "_start", F.explode("index").alias("i")).select(
         "i.doc_id", "part", "block", "i.offset", "i.size", (F.col("_start") + F.col("i.start")).alias("start"), "i.n_tokens",

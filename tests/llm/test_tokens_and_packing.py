@@ -20,7 +20,6 @@ FOLDER = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -36,7 +35,8 @@ def test_word_by_word_equals_whole_texts(plain, words, texts):
 
 
 def test_special_tokens_and_nulls(plain, words):
-    texts = [None, "", "<|endoftext|> and <|endoftext|>", "don't you'll  I've", "x" * 3000 + " y"]
+    texts = [None, "", "<|endoftext|> and <|endoftext|>", "a  <|endoftext|> b", "a<|endoftext|>", "don't you'll  I've", "x" * 3000 + " y",
+             " word,;--. (word) word's word_a [x] `y` ~z^ a", "\nword word\nword,\n word\n", "word !? ...", "Ġword ġ"]
     assert [np.frombuffer(b, "<u4").tolist() for b in words(texts)] == [plain(t) for t in texts]
 
 
