@@ -107,43 +107,98 @@ def dictionary(docs: DataFrame, period: int = PERIOD, most: int = MOST) -> DataF
         "lang", "chunk", "last").agg(F.sum("n").alias("n"))
 
 
+_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
+_INVERSES = tuple(np.uint64(pow(int(p), -1, 1 << 64)) for p in _BASES)
+_SPAN = 1 << 18  # bytes whose powers are kept
+_SHORT = 64  # longer words are hashed one by one
+
+
+def _powers(base: np.uint64) -> np.ndarray:
+    out = np.full(_SPAN + 1, base, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+_POWERS, _BACK = tuple(map(_powers, _BASES)), tuple(map(_powers, _INVERSES))
+
+
+def _hashes_in(text: bytes, starts: np.ndarray, ends: np.ndarray, seed: int, which: int) -> np.ndarray:
+    """64-bit hashes of text[start:end] for rising places: sums of bytes times powers of a base, from running totals."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    data = np.frombuffer(text, dtype=np.uint8)
+    at = 0
+    while at < len(starts):
+        first = starts[at]
+        upto = max(np.searchsorted(ends, first + _SPAN, side="right"), at + 1)
+        part = slice(at, upto)
+        if ends[upto - 1] - first <= _SPAN:
+            size = int(ends[upto - 1] - first)
+            totals = np.zeros(size + 1, dtype=np.uint64)
+            np.cumsum((data[first: first + size].astype(np.uint64) + np.uint64(1)) * _POWERS[which][:size], out=totals[1:])
+            begin = starts[part] - first
+            out[part] = (totals[ends[part] - first] - totals[begin]) * _BACK[which][begin]
+        at = upto
+    sizes = ends - starts
+    for i in np.flatnonzero(sizes > _SHORT).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(text[starts[i]: ends[i]], which)
+    return _mix(out + np.uint64(seed) + _mix(sizes.astype(np.uint64)))
+
+
+def _language_seed(lang: str, which: int) -> int:
+    return xxhash.xxh3_64_intdigest(lang.encode("utf-8"), which)
+
+
 class _Batch:
-    """Tokens of chunks of one language, one after the other."""
+    """Tokens of chunks of one language, one after the other in one string, with a blank between any two."""
 
     def __init__(self, lang: str, chunks: list[bytes], last: np.ndarray, weights: np.ndarray):
-        cut = [c.split(b" ") for c in chunks]
-        sizes = np.array([len(c) for c in cut])
-        self.tokens = [t for c in cut for t in c]
+        self.text = b" ".join(chunks)
+        data = np.frombuffer(self.text, dtype=np.uint8)
+        blanks = np.flatnonzero(data == 32)
+        self.starts = np.r_[0, blanks + 1]
+        self.ends = np.r_[blanks, len(data)]
+        sizes = np.fromiter((c.count(b" ") + 1 for c in chunks), dtype=np.int64, count=len(chunks))
         ends = np.cumsum(sizes)
-        own_ends = ends - np.where(last, 0, OVERLAP)
-        place = np.arange(len(self.tokens))
-        chunk = np.repeat(np.arange(len(cut)), sizes)
+        chunk = np.repeat(np.arange(len(chunks)), sizes)
         self.weights = weights[chunk]
         self.end = ends[chunk]  # first place behind the chunk
-        seed = xxhash.xxh3_64_intdigest(lang.encode("utf-8"))
-        self.hashes = _hashes(self.tokens, seed)
-        breaks = np.flatnonzero(self.hashes == np.uint64(xxhash.xxh3_64_intdigest(b"\n", seed)))
-        self.is_word = np.ones(len(self.tokens), dtype=bool)
-        self.is_word[breaks] = [self.tokens[i] != b"\n" for i in breaks.tolist()]
-        self.own = (place < own_ends[chunk]) & self.is_word
+        self.is_word = (data[self.starts] != 10) | (self.ends - self.starts > 1)
+        self.own = (np.arange(len(self.starts)) < (ends - np.where(last, 0, OVERLAP))[chunk]) & self.is_word
+        self._lang = lang
+        self.hashes = self._hashed(0)
+
+    def _hashed(self, which: int) -> np.ndarray:
+        return _hashes_in(self.text, self.starts, self.ends, _language_seed(self._lang, which), which)
 
     @cached_property
-    def codes(self) -> np.ndarray:
-        """Equal numbers for equal tokens."""
-        return pd.factorize(np.array(self.tokens, dtype=object))[0]
+    def _second(self) -> np.ndarray:
+        return self._hashed(1)
 
     def keys(self, k: int) -> np.ndarray:
         """Key of the k tokens that start at each place."""
         return _sequences(self.hashes, k) & np.uint64((1 << KEY_BITS) - 1)
 
-    def starts(self, fits: np.ndarray, k: int) -> np.ndarray:
+    def places(self, fits: np.ndarray, k: int) -> np.ndarray:
         """Places where k tokens, all of them in `fits` and in one chunk, start a phrase that is counted here."""
-        n = max(len(self.tokens) - k + 1, 0)
+        n = max(len(self.starts) - k + 1, 0)
         good = self.own[:n] & (np.arange(n) + k <= self.end[:n])
         for i in range(k):
             good &= fits[i: i + n]
         return np.flatnonzero(good)
 
+    def spelled(self, at: np.ndarray, k: int) -> Counter:
+        """Phrases of k words that start at the places, with their weights. Two phrases are equal if 128 bits of hash are."""
+        one, two = (_sequences(h, k)[at] for h in (self.hashes, self._second))
+        order = np.argsort(one, kind="stable")
+        at, one, two = at[order], one[order], two[order]
+        found = Counter()
+        if len(at):
+            first = np.flatnonzero(np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+            sums = np.add.reduceat(self.weights[at], first).tolist()
+            for start, end, n in zip(self.starts[at[first]].tolist(), self.ends[at[first] + k - 1].tolist(), sums):
+                found[self.text[start:end]] += n
+        return found
+
 
 def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[str, _Batch]]:
     """Languages with some megabytes of their chunks each."""
@@ -177,10 +232,9 @@ def word_counts(parsed: DataFrame, least: int) -> DataFrame:
     """(lang, phrase, n): words with n >= least, and with phrase null the number of words of each language."""
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lang, batch in _batches(frames):
-            at = np.flatnonzero(batch.own)
-            first, sums = _added_up(batch.codes[at], batch.weights[at])
-            words = [batch.tokens[i].decode("utf-8") for i in at[first].tolist()]
-            yield pd.DataFrame({"lang": lang, "phrase": [*words, None], "n": [*sums.tolist(), int(sums.sum())]})
+            found = batch.spelled(np.flatnonzero(batch.own), 1)
+            words = [word.decode("utf-8") for word in found]
+            yield pd.DataFrame({"lang": lang, "phrase": [*words, None], "n": [*found.values(), sum(found.values())]})
 
     counted = parsed.mapInPandas(count, "lang string, phrase string, n long")
     return counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | F.col("phrase").isNull())
@@ -213,9 +267,12 @@ def _bit_table(rows: DataFrame, hashed: Callable[[pd.DataFrame], np.ndarray], ta
 
 
 def _word_hashes(frame: pd.DataFrame) -> np.ndarray:
-    seeds = {lang: xxhash.xxh3_64_intdigest(lang.encode("utf-8")) for lang in frame["lang"].unique()}
-    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8"), seeds[lang]) for lang, w in zip(frame["lang"], frame["phrase"])),
-                       dtype=np.uint64, count=len(frame))
+    out = np.empty(len(frame), dtype=np.uint64)
+    for lang, rows in frame.groupby("lang", sort=False).indices.items():
+        words = [w.encode("utf-8") for w in frame["phrase"].iloc[rows]]
+        ends = np.cumsum([len(w) for w in words])
+        out[rows] = _hashes_in(b"".join(words), ends - [len(w) for w in words], ends, _language_seed(lang, 0), 0)
+    return out
 
 
 def _hash_column(frame: pd.DataFrame) -> np.ndarray:
@@ -241,7 +298,7 @@ def phrase_counts(parsed: DataFrame, words: DataFrame, least: int, table_bits: i
         return _contains(frequent.value, batch.hashes) & batch.is_word
 
     def pairs(batch: _Batch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        at = batch.starts(known_words(batch), 2)
+        at = batch.places(known_words(batch), 2)
         yield batch.keys(2)[at], batch.weights[at]
 
     paired = _bit_table(_hash_counts(parsed, least, pairs).select("h"), _hash_column, table_bits)
@@ -255,7 +312,7 @@ def phrase_counts(parsed: DataFrame, words: DataFrame, least: int, table_bits: i
         return fits, pair
 
     def placed(batch: _Batch, k: int, fits: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        at = batch.starts(fits, k)
+        at = batch.places(fits, k)
         for i in range(k - 1):
             at = at[pair[at + i]]
         return at
@@ -273,19 +330,9 @@ def phrase_counts(parsed: DataFrame, words: DataFrame, least: int, table_bits: i
             fits, pair = runs(batch)
             for k in range(2, LONGEST + 1):
                 at = placed(batch, k, fits, pair)
-                keys = batch.keys(k)[at]
                 if k > 2:
-                    some = _contains(lengthened.value, keys)
-                    at, keys = at[some], keys[some]
-                found = Counter()
-                # Equal keys are spelled once where their words are equal too.
-                order = np.argsort(keys, kind="stable")
-                at = at[order]
-                codes = np.stack([batch.codes[at + i] for i in range(k)], axis=1)
-                first = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]).any(axis=1)]) if len(at) else []
-                sums = np.add.reduceat(batch.weights[at], first).tolist() if len(first) else []
-                for start, n in zip(at[first].tolist(), sums):
-                    found[b" ".join(batch.tokens[start: start + k])] += n
+                    at = at[_contains(lengthened.value, batch.keys(k)[at])]
+                found = batch.spelled(at, k)
                 if found:
                     yield pd.DataFrame({"lang": lang, "phrase": [p.decode("utf-8") for p in found], "n": list(found.values())})
 
