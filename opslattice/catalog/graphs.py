@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opslattice.catalog.base import Tables, query
-from opslattice.catalog.aggregates import external_flows
-from opslattice.catalog.joins import HARDWARE, KEY, PAIRS
+from opslattice.catalog.aggregates import NODES, external_flows
+from opslattice.catalog.joins import HARDWARE, KEY, PAIRS, SPLIT, split_blocks
 from opslattice.catalog.parsing import REPLICAS, REREPL, TRANSFERS
 from opslattice.functions import parsing as P
 from opslattice.operators import graph as G
@@ -164,3 +167,61 @@ def _(t):
         "FLOW": (t("flows"), "src_ip", "dest_ip"), "TRIGGERED": (t("alerts"), "src_ip", "signature_id"),
         "HAS_MIDPLANE": (nodes, "rack", "mid"), "HAS_NODE": (nodes, "mid", "node"),
     })
+
+
+NODE_PROPERTIES = f"""SELECT 'Block' AS kind, block_id AS id, 'is_anomaly=' || CAST(is_anomaly AS VARCHAR) || ';pca_flag=' || CAST(flag AS VARCHAR)
+      || ';pca_residual_e4=' || CAST(CAST(floor(residual * 10000) AS BIGINT) AS VARCHAR) || ';split=' || split AS properties FROM ({SPLIT})
+    UNION ALL SELECT 'Signature', CAST(signature_id AS VARCHAR), 'category=' || min(category) || ';name=' || min(signature) FROM @alerts GROUP BY signature_id
+    UNION ALL SELECT 'ComputeNode', node, 'alert_types=' || alert_types || ';alerts=' || CAST(alerts AS VARCHAR) || ';lines=' || CAST(lines AS VARCHAR) FROM ({NODES})
+    UNION ALL SELECT 'Host', ip, '' FROM ({HOSTS})
+    UNION ALL SELECT 'IP', ip, '' FROM (SELECT src_ip AS ip FROM @flows UNION SELECT dest_ip FROM @flows UNION SELECT src_ip FROM @alerts)"""
+
+
+@query("s11_node_properties", NODE_PROPERTIES)
+def _(t):
+    blocks = split_blocks(t)
+    residual = {"pca_residual_e4": F.floor(F.col("residual") * 10000), "pca_flag": F.col("flag")}
+    outcome = {"is_anomaly": F.col("is_anomaly"), "split": F.col("split")}
+    signatures = t("alerts").groupBy("signature_id").agg(F.min("signature").alias("name"), F.min("category").alias("category"))
+    nodes = R.node_alert_rollup(parse_hardware_log(t("hardware_raw")))
+    writes = [
+        G.node_writes(blocks, "Block", "block_id", {"split": F.lit("unknown")} | residual, F.lit(0)),
+        G.node_writes(blocks, "Block", "block_id", outcome, F.lit(1)),
+        G.node_writes(signatures, "Signature", "signature_id", {"name": F.col("name"), "category": F.col("category")}),
+        G.node_writes(nodes, "ComputeNode", "node", {c: F.col(c) for c in ("lines", "alerts", "alert_types")}),
+        G.node_writes(log_graph(t)["hosts"], "Host", "ip"),
+        *[G.node_writes(t(name).select(F.col(c).alias("ip")).distinct(), "IP", "ip")
+          for name, c in (("flows", "src_ip"), ("flows", "dest_ip"), ("alerts", "src_ip"))],
+    ]
+    nodes = G.merged(reduce(DataFrame.unionByName, writes))
+    return nodes.select("kind", "id", G.properties_text(F.col("properties")).alias("properties"))
+
+
+EDGE_PROPERTIES = f"""SELECT 'FLOW' AS type, src_ip AS src, dest_ip AS dst, 'port=' || coalesce(CAST(dest_port AS VARCHAR), '') || ';proto=' || coalesce(proto, '') AS key,
+      'alerted_flows=' || CAST(count(*) FILTER (WHERE alerted) AS VARCHAR) || coalesce(';bytes=' || CAST(CAST(sum(bytes_toserver) AS BIGINT) AS VARCHAR), '')
+      || ';flows=' || CAST(count(*) AS VARCHAR) || coalesce(';pkts=' || CAST(CAST(sum(pkts_toserver) AS BIGINT) AS VARCHAR), '') AS properties
+      FROM @flows WHERE src_ip IS NOT NULL AND dest_ip IS NOT NULL GROUP BY src_ip, dest_ip, dest_port, proto
+    UNION ALL SELECT 'TRIGGERED', src_ip, CAST(signature_id AS VARCHAR), '', 'hits=' || CAST(count(*) AS VARCHAR) FROM @alerts GROUP BY src_ip, signature_id
+    UNION ALL SELECT DISTINCT 'REREPLICATED', src_ip, dst_ip, 'block=' || coalesce(block_id, ''), '' FROM ({REREPL}) WHERE src_ip IS NOT NULL AND dst_ip IS NOT NULL
+    UNION ALL SELECT 'CO_REPLICA', a.host_ip, b.host_ip, '', 'anomalous=' || CAST(count(*) FILTER (WHERE coalesce(y, false)) AS VARCHAR)
+      || ';blocks=' || CAST(count(*) AS VARCHAR) FROM (SELECT DISTINCT block_id, host_ip FROM ({REPLICAS})) a
+      JOIN (SELECT DISTINCT block_id, host_ip FROM ({REPLICAS})) b ON a.block_id = b.block_id AND a.host_ip < b.host_ip
+      LEFT JOIN (SELECT BlockId, bool_or(Label = 'Anomaly') AS y FROM @label_raw GROUP BY 1) l ON l.BlockId = a.block_id GROUP BY 2, 3"""
+
+
+@query("s11_edge_properties", EDGE_PROPERTIES)
+def _(t):
+    g = log_graph(t)
+    bad = t("label_raw").groupBy(F.col("BlockId").alias("block_id")).agg(F.bool_or(F.col("Label") == "Anomaly").alias("_y"))
+    labels = g["stored"].select("block_id").distinct().join(bad, "block_id", "left").select(
+        "block_id", F.coalesce("_y", F.lit(False)).alias("is_anomaly"))
+    peers = G.cooccurrence_edges(g["stored"], "block_id", "host_ip", labels)
+    writes = [
+        G.edge_writes(R.flow_edges(t("flows")), "FLOW", "src_ip", "dest_ip", {"port": F.col("dest_port"), "proto": F.col("proto")},
+                      {c: F.col(c) for c in ("flows", "alerted_flows", "pkts", "bytes")}),
+        G.edge_writes(R.alert_edges(t("alerts")), "TRIGGERED", "src_ip", "signature_id", None, {"hits": F.col("hits")}),
+        G.edge_writes(g["moves"], "REREPLICATED", "src_ip", "dst_ip", {"block": F.col("block_id")}),
+        G.edge_writes(peers, "CO_REPLICA", "src", "dst", None, {"blocks": F.col("n"), "anomalous": F.col("n_pos")}),
+    ]
+    edges = G.merged(reduce(DataFrame.unionByName, writes))
+    return edges.select("type", "src", "dst", "key", G.properties_text(F.col("properties")).alias("properties"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslattice.functions.parsing import crosses_subnet, subnet16
@@ -297,3 +297,50 @@ def property_graph_edges(frames: dict[str, tuple[DataFrame, str, str]]) -> DataF
                          F.col(dst).cast("string").alias("dst")).dropna()
         out = part if out is None else out.union(part)
     return out.groupBy("type", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- properties
+def node_writes(df: DataFrame, kind: str, key: str, properties: dict[str, Column] | None = None, order: Column | None = None) -> DataFrame:
+    """(kind, id, order, properties): one write per row; properties are text, null ones are not written."""
+    return df.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), _order_and_properties(properties, order)).select(
+        "kind", "id", "_w.*").filter("id IS NOT NULL")
+
+
+def edge_writes(df: DataFrame, kind: str, src: str, dst: str, key: dict[str, Column] | None = None,
+                properties: dict[str, Column] | None = None, order: Column | None = None) -> DataFrame:
+    """(type, src, dst, key, order, properties): one write per row.
+
+    Edges of one type between the same two nodes are one edge if their key properties are equal, such as port and protocol of a flow.
+    """
+    parts = [F.concat(F.lit(f"{name}="), F.coalesce(value.cast("string"), F.lit(""))) for name, value in (key or {}).items()]
+    return df.select(
+        F.lit(kind).alias("type"), F.col(src).cast("string").alias("src"), F.col(dst).cast("string").alias("dst"),
+        F.concat_ws(";", *parts).alias("key"), _order_and_properties(properties, order)).select(
+        "type", "src", "dst", "key", "_w.*").filter("src IS NOT NULL AND dst IS NOT NULL")
+
+
+def _order_and_properties(properties: dict[str, Column] | None, order: Column | None) -> Column:
+    pairs = [x for name, value in (properties or {}).items() for x in (F.lit(name), value.cast("string"))]
+    known = F.create_map(*pairs) if pairs else F.create_map()
+    return F.struct((F.lit(0) if order is None else order).cast("bigint").alias("order"), known.cast("map<string,string>").alias("properties")).alias("_w")
+
+
+def merged(writes: DataFrame) -> DataFrame:
+    """One row per key with `properties` (map) and `order` (of the last write): every property has the value that was written last.
+
+    All columns but order and properties are the key. A property that a later write leaves out or null keeps its value; of writes with
+    the same order the larger value stays. Merging merged rows again, or with the writes they come from, changes nothing that is in both.
+    """
+    keys = [c for c in writes.columns if c not in ("order", "properties")]
+    entries = writes.select(*keys, "order", F.explode_outer("properties").alias("_name", "_value"))
+    last = entries.groupBy(*keys, "_name").agg(
+        F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct("order", "_value"))).alias("_value"), F.max("order").alias("order"))
+    known = F.col("_name").isNotNull() & F.col("_value").isNotNull()
+    # As many entries as a key has property names.
+    return last.groupBy(*keys).agg(F.max("order").alias("order"), F.map_from_entries(F.array_sort(F.collect_list(
+        F.when(known, F.struct(F.col("_name").alias("key"), F.col("_value").alias("value")))))).alias("properties"))
+
+
+def properties_text(properties: Column) -> Column:
+    """'name=value;...' by name."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(properties)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")

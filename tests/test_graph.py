@@ -198,3 +198,26 @@ def test_degree_and_peers_without_pairs(spark):
     assert "member#" in plan and plan.count("Join") <= 4
     top = G.hotspot_peers(G.peers_of(df, "item", "member", chosen.filter("id = 3"), labels), 3).collect()
     assert [r["peer"] for r in top] == sorted((b for a, b in shared if a == 3), key=lambda b: (-shared[3, b][1], -shared[3, b][0], b))[:3]
+
+
+def test_merge_keeps_the_last_written_properties(spark):
+    rng = random.Random(6)
+    rows = [(f"n{rng.randint(0, 9)}", i, rng.choice([None, "x", "y"]), rng.choice([None, 1, 2])) for i in range(80)]
+    df = spark.createDataFrame(rows, "id string, at int, color string, size int").repartition(4)
+    writes = G.node_writes(df, "N", "id", {"color": F.col("color"), "size": F.col("size")}, F.col("at"))
+    want = {}
+    for i, _, color, size in rows:
+        node = want.setdefault(i, {})
+        node.update({k: v for k, v in (("color", color), ("size", size and str(size))) if v})
+    once = G.merged(writes)
+    assert {r["id"]: r["properties"] for r in once.collect()} == want
+    again = G.merged(once.unionByName(writes).unionByName(writes))
+    assert {r["id"]: r["properties"] for r in again.collect()} == want
+    edges = spark.createDataFrame([("a", "b", 80, "TCP", 3), ("a", "b", 80, "TCP", 5), ("a", "b", 53, None, 1), ("a", None, 1, "x", 1)],
+                                  "s string, d string, port int, proto string, n int")
+    found = G.merged(G.edge_writes(edges, "FLOW", "s", "d", {"port": F.col("port"), "proto": F.col("proto")}, {"n": F.col("n")}, F.col("n")))
+    assert {(r["key"], G_text(r)) for r in found.collect()} == {("port=80;proto=TCP", "n=5"), ("port=53;proto=", "n=1")}
+
+
+def G_text(row):
+    return ";".join(f"{k}={v}" for k, v in sorted(row["properties"].items()))
