@@ -13,10 +13,10 @@ import numpy as np
 _CHUNK = re.compile(r"\s*\S+|\s+")
 # Characters on whose class the two regex engines disagree; such a text is encoded in one go.
 _UNSURE = re.compile("[\x1c-\x1f᠎]")
-# Without runs of white space, blanks and line ends are places to cut at, and no pattern is needed.
-_RUNS = re.compile("\\s\\s|[\x00\x1c-\x1f᠎]")
-# A word of ASCII letters with its blank, and a run of ASCII signs but for the apostrophe: one pre-token each.
-_PLAIN = re.compile(r"( ?[A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
+# A word of Latin letters with its blank, and a run of ASCII signs but for the apostrophe: one pre-token each.
+_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ƺǄ-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+# How the vocabulary shows the bytes of those letters: bytes that are no printable Latin-1 character stand 256 and more places up.
+_SHOWN = {byte: 256 + i for i, byte in enumerate([*range(0x00, 0x21), *range(0x7F, 0xA1), 0xAD])}
 _PACK = [Struct(f"<{n}I").pack for n in range(16)]
 _LONGEST = 40  # longer chunks are not remembered
 _GENERATION = 400_000  # chunks; two generations are kept
@@ -25,7 +25,9 @@ _BATCH_CHARS = 1 << 20
 
 def _chunks(text: str) -> list[str] | None:
     """The text in pieces that can be encoded one by one; None if it can't be cut."""
-    if not _RUNS.search(text):
+    # One blank or line end between any two words and no other white space: then these are the places to cut at.
+    words, cuts = text.split(), text.count(" ") + text.count("\n")
+    if len(words) == cuts + 1 and sum(map(len, words)) + cuts == len(text) and "\0" not in text and "\u180e" not in text:
         return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
     return None if _UNSURE.search(text) else _CHUNK.findall(text)
 
@@ -49,25 +51,28 @@ class Encoder:
 
     def _merged(self, piece: str) -> bytes:
         ids = [token.id for token in self._model.tokenize(piece)]
-        return pack(f"<{len(ids)}I", *ids)
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else pack(f"<{len(ids)}I", *ids)
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of new chunks. Plain words go to the merges at once; the rest is cut by the vocabulary's own pre-tokenizer in one call."""
-        out, others, merge, match = {}, [], self._model.tokenize, _PLAIN.fullmatch
+        out, others, merge, match = {}, [], self._merged, _PLAIN.fullmatch
+        young, old, known = self._young.get, self._old.get, self._signs
         for chunk in chunks:
             if chunk.isascii() and chunk[1:].isalpha() and chunk[0] == " ":
-                ids = [token.id for token in merge("Ġ" + chunk[1:])]
-                out[chunk] = _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else pack(f"<{len(ids)}I", *ids)
+                out[chunk] = merge("Ġ" + chunk[1:])
                 continue
             plain = match(chunk)
             if plain:
                 word, signs = plain.groups()
-                ids = self._young.get(word) or self._old.get(word) or out.get(word) or self._merged("Ġ" + word[1:] if word[0] == " " else word)
+                ids = young(word) or old(word) or out.get(word)
+                if ids is None:
+                    shown = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(_SHOWN)
+                    ids = out[word] = merge("Ġ" + shown[1:] if word[0] == " " else shown)
                 if signs:
-                    more = self._signs.get(signs) or self._merged(signs)
+                    more = known.get(signs) or merge(signs)
                     if len(signs) <= 3:
-                        self._signs[signs] = more
-                    out[word], ids = ids, ids + more
+                        known[signs] = more
+                    ids = ids + more
                 out[chunk] = ids
             else:
                 others.append(chunk)
@@ -80,7 +85,7 @@ class Encoder:
                     out[chunk] = pack(f"<{len(ids)}I", *ids)
                 chunk, ids = next(rest), []
                 end += len(chunk)
-            ids += [token.id for token in merge(piece)]
+            ids += [token.id for token in self._model.tokenize(piece)]
         if chunk:
             out[chunk] = pack(f"<{len(ids)}I", *ids)
         return out
@@ -94,7 +99,7 @@ class Encoder:
         new = {c for chunks, ids in zip(cut, found) if None in ids for c, i in zip(chunks, ids) if i is None}
         again = [c for c in new if c in old]
         learned = {c: old[c] for c in again} | self._learn(list(new.difference(again)))
-        young.update((c, ids) for c, ids in learned.items() if len(c) <= _LONGEST)
+        young.update(learned if max(map(len, learned), default=0) <= _LONGEST else {c: ids for c, ids in learned.items() if len(c) <= _LONGEST})
         out = []
         for text, chunks, ids in zip(texts, cut, found):
             if chunks is None:
