@@ -99,3 +99,42 @@ def _(t):
     FROM ({JUDGED}) GROUP BY 1 HAVING bool_or(ok) AND NOT bool_and(ok)""")
 def _(t):
     return E.rescore_diff(E.judge_answers(t("answers"), t("prompts")))
+
+
+# Two versions of the judge: the second reads denials, and asks sources for a clear word.
+VERSIONS = [
+    ("v1", "block", "anomal|not healthy|failed", None, "1"), ("v1", "host_one", "risky|high|elevated", None, "true"),
+    ("v1", "source", "malicious|flagged|worry", None, "true"), ("v1", "rack", "{truth}", None, None),
+    ("v1", "template", "{truth}", None, None), ("v1", "missing", "not found", None, "not found"),
+    ("v2", "block", "anomal|not healthy|failed", "not anomal|no anomal|normal", "1"), ("v2", "host_one", "risky|high|elevated", "low|not ", "true"),
+    ("v2", "source", "yes|malicious", "not malicious|no need", "true"), ("v2", "rack", "{truth}", None, None),
+    ("v2", "template", "{truth}", None, None), ("v2", "missing", "not found|does not|no (record|data|log)", None, "not found"),
+    ("v2", "signature", "{truth}", None, None),
+]
+
+
+def _quoted(value: str | None) -> str:
+    return "NULL" if value is None else f"'{value}'"
+
+
+VERSIONED = f"""SELECT version, run, i, a.type, CASE WHEN must IS NULL AND must_not IS NULL THEN false WHEN must = '{{truth}}' THEN contains(answer, truth)
+      ELSE ((must IS NULL OR regexp_matches(lower({LINE}), must)) AND NOT (must_not IS NOT NULL AND regexp_matches(lower({LINE}), must_not)))
+        = coalesce(truth = truth_when_met, false) END AS ok
+    FROM (SELECT * FROM (SELECT * FROM @answers JOIN @prompts USING (i)), (SELECT 'v1' AS version UNION ALL SELECT 'v2')) a
+    LEFT JOIN (VALUES {", ".join("(" + ", ".join(map(_quoted, r)) + ")" for r in VERSIONS)}) r(version, type, must, must_not, truth_when_met) USING (version, type)"""
+
+
+def versioned(t: Tables):
+    return E.judge_versions(t("answers"), t("prompts"), t.spark.createDataFrame(VERSIONS, E.RULES))
+
+
+@query("e7_judge_version_flips", f"""SELECT run, i, type, bool_or(ok) FILTER (WHERE version = 'v1') AS was, bool_or(ok) FILTER (WHERE version = 'v2') AS is_now
+    FROM ({VERSIONED}) GROUP BY 1, 2, 3 HAVING was <> is_now""")
+def _(t):
+    return E.version_flips(versioned(t), "v1", "v2")
+
+
+@query("e7_judge_version_accuracy", f"""SELECT version, run, count(*) AS n, count(*) FILTER (WHERE ok) AS correct,
+    round(count(*) FILTER (WHERE ok) / CAST(count(*) AS DOUBLE), 6) AS accuracy FROM ({VERSIONED}) GROUP BY 1, 2""")
+def _(t):
+    return E.version_accuracy(versioned(t))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from opslattice.catalog.aggregates import EVENTS, LINE_TEMPLATES, SESSIONS
@@ -15,7 +16,7 @@ from opslattice.operators import detection as D
 from opslattice.operators import quality as Q
 from opslattice.operators.retrieval import incident_cards
 from opslattice.operators.sessions import parse_log
-from opslattice.plans.runtime import shared_dir
+from opslattice.plans.runtime import durable, shared_dir
 from opslattice.sources import readers, writers
 
 
@@ -126,6 +127,16 @@ def _(t):
     return scored.select("block_id", F.round("score", 6).alias("score"))
 
 
+@query("s10_save_load_scorer")
+def _(t):
+    """Scores and flags of a pipeline that was fitted, saved and loaded: scaler, components and threshold of the residual detector."""
+    counts = durable(vectors(t))
+    path = folder(t, "scorer")
+    Pipeline(stages=[D.AnomalyScorer("residual", LINE_TEMPLATES)]).fit(counts.filter("split = 'train'")).write().save(path)
+    scored = PipelineModel.load(path).transform(counts.filter("split = 'test'"))
+    return scored.select("block_id", F.round("score", 6).alias("score"), "flag")
+
+
 def gate_sql(name: str, expected: str, actual: str, ok: str, source: str) -> str:
     return f"SELECT '{name}' AS gate, CAST({expected} AS VARCHAR) AS expected, CAST({actual} AS VARCHAR) AS actual, {ok} AS ok FROM {source}"
 

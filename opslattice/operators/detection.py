@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
 from typing import NamedTuple
@@ -14,6 +15,8 @@ from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.stat import Correlation
+from pyspark.ml.util import (
+    DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter)
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -236,12 +239,15 @@ class _ScorerParams(Params):
         return SCORINGS[self.getOrDefault("method")]
 
 
-class AnomalyScorer(Estimator, _ScorerParams):
-    """Fits one of SCORINGS and a threshold: the method's own, or a percentile of the training scores."""
+class AnomalyScorer(Estimator, _ScorerParams, DefaultParamsWritable, DefaultParamsReadable):
+    """Fits one of SCORINGS and a threshold: the method's own, or a percentile of the training scores.
 
-    def __init__(self, method: str, columns: list[str], key: str = "block_id", percentile: float = PERCENTILE):
+    Estimator and model can be saved, alone or as stages of a pipeline.
+    """
+
+    def __init__(self, method: str | None = None, columns: list[str] | None = None, key: str = "block_id", percentile: float = PERCENTILE):
         super().__init__()
-        self._set(method=method, columns=columns, key=key, percentile=percentile)
+        self._set(**{k: v for k, v in {"method": method, "columns": columns, "key": key, "percentile": percentile}.items() if v is not None})
 
     def _fit(self, train: DataFrame) -> AnomalyScorerModel:
         how, columns = self._scoring(), self.getOrDefault("columns")
@@ -252,15 +258,50 @@ class AnomalyScorer(Estimator, _ScorerParams):
         return self._copyValues(AnomalyScorerModel(state, threshold))
 
 
-class AnomalyScorerModel(Model, _ScorerParams):
+class _ScorerWriter(MLWriter):
+    """Params as every pipeline stage stores them, and what was learned (scaler and components, or trees) as one JSON row."""
+
+    def __init__(self, model: AnomalyScorerModel):
+        super().__init__()
+        self._model = model
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self._model, path, self.sparkSession)
+        state = self._model._state
+        if isinstance(state, list):
+            state = {"trees": [{c: g[c].tolist() for c in g.columns} for g in state]}
+        self.sparkSession.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.parquet(f"{path}/state")
+
+
+class _ScorerReader(MLReader):
+    def load(self, path: str) -> AnomalyScorerModel:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        state = json.loads(self.sparkSession.read.schema("state string").parquet(f"{path}/state").first()["state"])
+        if isinstance(state, dict) and "trees" in state:
+            state = [pd.DataFrame(tree) for tree in state["trees"]]
+        model = AnomalyScorerModel(state)
+        model._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        return model
+
+
+class AnomalyScorerModel(Model, _ScorerParams, MLWritable, MLReadable):
     """Adds score and flag; rows above the threshold are flagged."""
 
     threshold = Param(Params._dummy(), "threshold", "scores above it are flagged", TypeConverters.toFloat)
 
-    def __init__(self, state, threshold: float):
+    def __init__(self, state=None, threshold: float | None = None):
         super().__init__()
         self._state = state
-        self._set(threshold=threshold)
+        if threshold is not None:
+            self._set(threshold=threshold)
+
+    def write(self) -> MLWriter:
+        return _ScorerWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _ScorerReader()
 
     def _transform(self, df: DataFrame) -> DataFrame:
         scored = self._scoring().score(df, self.getOrDefault("columns"), self._state)

@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from opslattice.catalog import QUERIES
@@ -75,6 +75,23 @@ def test_scorers_as_pipeline_stages(spark):
     assert Pipeline(stages=[scorer]).fit(df).transform(df).count() == 100
 
 
+@pytest.mark.parametrize("method", ["events", "residual", "isolation"])
+def test_saved_scorers_score_as_before(spark, tmp_path, method):
+    rng = random.Random(7)
+    df = spark.createDataFrame([(i, float(rng.randint(0, 5)), float(rng.randint(0, 3)), 1.0) for i in range(150)],
+                               "block_id int, a double, b double, c double")
+    scorer = D.AnomalyScorer(method, ["a", "b", "c"], percentile=0.9)
+    scorer.write().save(str(tmp_path / "estimator"))
+    assert D.AnomalyScorer.load(str(tmp_path / "estimator")).getOrDefault("percentile") == 0.9
+    fitted = Pipeline(stages=[scorer]).fit(df)
+    fitted.write().save(str(tmp_path / "model"))
+    loaded = PipelineModel.load(str(tmp_path / "model"))
+    columns = ["block_id", "score", "flag"]
+    assert sorted(loaded.transform(df).select(columns).collect()) == sorted(fitted.transform(df).select(columns).collect())
+    assert loaded.stages[0].getOrDefault("threshold") == fitted.stages[0].getOrDefault("threshold")
+    assert loaded.stages[0].uid == fitted.stages[0].uid
+
+
 def test_chrono_split_breaks_ties_by_id(spark):
     rng = random.Random(4)
     rows = [(i, f"2024-01-0{rng.randint(1, 3)} 00:00:00") for i in range(50)]
