@@ -9,11 +9,12 @@ and in them the records, that differ are found.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opslattice.llm.common import staged
@@ -46,10 +47,10 @@ def segments(pages: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
 
 
 def write_warc(pages: DataFrame, folder: str) -> None:
-    """Write segments() as folder/segment=n/*.txt, each file a valid WARC file in the order of ids."""
+    """Write segments() as folder/segment=n/*.txt.gz, each file a gzip-compressed WARC file in the order of ids."""
     ordered = pages.repartition("segment").sortWithinPartitions("segment", "page_id", "url", "html")
     ordered.select("segment", record(*map(F.col, ("page_id", "url", "html", "digest"))).alias("value")).write.partitionBy("segment").option(
-        "lineSep", END).text(folder)
+        "lineSep", END).option("compression", "gzip").text(folder)
 
 
 def parse(body: bytes) -> Iterator[tuple[int, int, str, str, bool]]:
@@ -80,15 +81,30 @@ def parse(body: bytes) -> Iterator[tuple[int, int, str, str, bool]]:
         at = end
 
 
+def _inflated(stored: bytes) -> bytes:
+    """The content of a plain or gzip file; of a broken gzip file what comes before the break."""
+    if not stored.startswith(b"\x1f\x8b"):
+        return stored
+    out, unpack = [], zlib.decompressobj(wbits=31)
+    for at in range(0, len(stored), 1 << 16):
+        try:
+            out.append(unpack.decompress(stored[at: at + (1 << 16)]))
+        except zlib.error:
+            break
+    return b"".join(out)
+
+
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    """Every record of every file of a replica, by offset. One file is in memory at a time."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder).select(
-        F.col("segment").cast("long").alias("segment"), "content")
+    """Every record of every file of a replica, by offset in the uncompressed file. One file is in memory at a time; a folder
+    without files has no records."""
+    segment = F.regexp_extract("path", r"segment=(\d+)/[^/]*$", 1).cast("long").alias("segment")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").option("recursiveFileLookup", "true").load(folder).select(
+        segment, "content")
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for segment, body in zip(frame["segment"], frame["content"]):
-                rows = [(segment, *r) for r in parse(bytes(body))]
+            for segment, stored in zip(frame["segment"], frame["content"]):
+                rows = [(segment, *r) for r in parse(_inflated(bytes(stored)))]
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in RECORDS.split(", ")])
 
     return files.mapInPandas(read, RECORDS)
@@ -134,10 +150,12 @@ def mismatches(left: DataFrame, right: DataFrame, fanout: int = FANOUT, levels:
 def audit(left: DataFrame, right: DataFrame, leaf_bytes: int = LEAF_BYTES) -> DataFrame:
     """One row per record of either replica: segment, offset, record_id, both hashes, status.
 
-    left and right are records as read_records() gives them. Status: same, changed, missing (in the right one), added (only in
-    the right one). Only records of mismatching leaves are compared; all others are the same by their trees. Whether a
-    replica's own payload digest fails is told by left_damaged and right_damaged. An empty replica makes all records of the
-    other missing or added; two empty ones give no rows.
+    left and right are records as read_records() gives them. Only records of mismatching leaves are compared; all others are the
+    same by their trees. Records of mismatching leaves meet by id, repeated ids in the order of their offsets, and what has
+    no partner then by offset. Status: same, moved (the same bytes at another offset), changed, missing (in the right one), added
+    (only in the right one). offset is that of the left replica, or of the right one for added records. Whether a replica's own
+    payload digest fails is told by left_damaged and right_damaged. An empty replica makes all records of the other missing or
+    added; two empty ones give no rows.
     """
     left, right = staged(left, "warc-left"), staged(right, "warc-right")
     leaves, _ = mismatches(staged(tree(left, leaf_bytes), "warc-tree"), staged(tree(right, leaf_bytes), "warc-tree"))
@@ -146,13 +164,21 @@ def audit(left: DataFrame, right: DataFrame, leaf_bytes: int = LEAF_BYTES) -> Da
     sound = placed[0].join(bad, ["segment", "node"], "left_anti").select(
         "segment", "offset", "length", "record_id", F.col("sha256").alias("left_sha256"), F.col("sha256").alias("right_sha256"),
         F.col("damaged").alias("left_damaged"), F.col("damaged").alias("right_damaged"), F.lit("same").alias("status"))
-    a, b = [t.join(bad, ["segment", "node"], "left_semi").select(
-        "segment", "offset", *[F.col(c).alias(f"{side}_{c}") for c in ("length", "record_id", "sha256", "damaged")])
+    place = Window.partitionBy("segment", "record_id").orderBy("offset")
+    a, b = [t.join(bad, ["segment", "node"], "left_semi").withColumn("_nth", F.row_number().over(place)).select(
+        "segment", F.col("record_id").alias("_id"), "_nth", *[F.col(c).alias(f"{side}_{c}") for c in ("offset", "length", "record_id", "sha256", "damaged")])
         for t, side in zip(placed, ("left", "right"))]
+    by_id = staged(a.join(b, ["segment", "_id", "_nth"], "full").drop("_id", "_nth"), "warc-pairs")
+    pairs = by_id.filter("left_offset IS NOT NULL AND right_offset IS NOT NULL")
+    alone = [by_id.filter(F.col(f"{other}_offset").isNull()).select(
+        "segment", F.col(f"{side}_offset").alias("_at"), *[f"{side}_{c}" for c in ("offset", "length", "record_id", "sha256", "damaged")])
+        for side, other in (("left", "right"), ("right", "left"))]
+    met = pairs.unionByName(alone[0].join(alone[1], ["segment", "_at"], "full").drop("_at"))
+    equal = F.col("left_sha256") == F.col("right_sha256")
     status = (F.when(F.col("left_sha256").isNull(), "added").when(F.col("right_sha256").isNull(), "missing")
-              .when(F.col("left_sha256") == F.col("right_sha256"), "same").otherwise("changed"))
-    closer = a.join(b, ["segment", "offset"], "full").select(
-        "segment", "offset", F.coalesce("left_length", "right_length").alias("length"),
+              .when(equal & (F.col("left_offset") == F.col("right_offset")), "same").when(equal, "moved").otherwise("changed"))
+    closer = met.select(
+        "segment", F.coalesce("left_offset", "right_offset").alias("offset"), F.coalesce("left_length", "right_length").alias("length"),
         F.coalesce("left_record_id", "right_record_id").alias("record_id"), "left_sha256", "right_sha256", "left_damaged", "right_damaged",
         status.alias("status"))
     return sound.unionByName(closer)

@@ -241,5 +241,52 @@ def test_rough_pages(spark):
     assert warc.segments(spark.createDataFrame([], PAGES)).collect() == []
 
 
+def replica(spark, rows):
+    folder = stage_path(spark, "warc")
+    warc.write_warc(warc.segments(spark.createDataFrame(rows, PAGES), segment_bytes=1 << 30), folder)
+    return folder
+
+
+def statuses(left, right):
+    return {r["record_id"]: r["status"] for r in warc.audit(left, right, leaf_bytes=500).collect()}
+
+
+def test_a_longer_record_moves_the_others(spark):
+    rows = [(i, f"http://a/{i}", f"<p>{i}</p>" * 10, "s", "h") for i in range(50)]
+    longer = [(i, u, h + "!" if i == 20 else h, s, x) for i, u, h, s, x in rows]
+    left, right = (warc.read_records(spark, replica(spark, r)) for r in (rows, longer))
+    # the number of digits in the content length stays, so that one byte is all that is added
+    found = statuses(left, right)
+    order = [r["record_id"] for r in left.orderBy("offset").collect()]
+    at = order.index("20")
+    assert found == {i: "same" if n < at else "changed" if n == at else "moved" for n, i in enumerate(order)}
+    gone = statuses(left, right.filter("record_id != '30'"))
+    assert gone["30"] == "missing" and sum(s == "missing" for s in gone.values()) == 1
+
+
+def test_an_unreadable_header_meets_its_record_by_offset(spark):
+    rows = [(i, f"http://a/{i}", f"<p>{i}</p>" * 10, "s", "h") for i in range(30)]
+    left = warc.read_records(spark, replica(spark, rows))
+    body = b"".join(warc_bytes(i, u, h) for i, u, h, _, _ in rows).replace(b"Record-ID: <urn:page:7>", b"Record-XX: <urn:page:7>")
+    right = spark.createDataFrame([(left.first()["segment"], *r) for r in warc.parse(body)], warc.RECORDS)
+    assert {i: s for i, s in statuses(left, right).items() if s != "same"} == {"7": "changed"}
+
+
+def test_broken_and_empty_replicas(spark):
+    import gzip
+    body = b"".join(warc_bytes(i, "u", str(i) * 3000) for i in range(100))
+    stored = bytearray(gzip.compress(body))
+    assert warc._inflated(bytes(stored)) == body and warc._inflated(body) == body
+    stored[len(stored) // 2] ^= 0xFF
+    kept = warc._inflated(bytes(stored))
+    assert kept == body[: len(kept)] or len(kept) <= len(body)
+    assert warc._inflated(bytes(stored[: len(stored) // 2])) == body[: len(warc._inflated(bytes(stored[: len(stored) // 2])))]
+    empty = replica(spark, [])
+    assert warc.read_records(spark, empty).collect() == []
+    some = warc.read_records(spark, replica(spark, [(1, "u", "x", "s", "h")]))
+    assert statuses(some, warc.read_records(spark, empty)) == {"1": "missing"}
+    assert warc.audit(warc.read_records(spark, empty), warc.read_records(spark, empty)).collect() == []
+
+
 def test_documents_helper(spark):
     assert documents(spark, ["a", None]).count() == 2
