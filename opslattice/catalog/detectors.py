@@ -15,7 +15,7 @@ from opslattice.operators import metrics as M
 from opslattice.operators import relational as R
 from opslattice.operators.metrics import chrono_split
 from opslattice.plans.runtime import durable
-from opslattice.plans.skew import history
+from opslattice.plans.skew import history, split_bursts
 
 
 def labelled_vectors(t: Tables):
@@ -191,7 +191,8 @@ NEXT_EVENT = f"""WITH e AS (SELECT line, session, CASE WHEN session % 50 = 7 AND
 
 def rare_sequences(t: Tables):
     rare = F.when((F.col("session") % 50 == 7) & (F.col("template") == "view"), "rare").otherwise(F.col("template"))
-    listed = history(sequences(t).withColumn("template", rare), ["session"], "cell", ["ts", "line"], "template", CONTEXT)
+    cut = split_bursts(sequences(t).withColumn("template", rare), ["session"], "cell", ["ts", "line"])
+    listed = history(cut, ["session"], "cell", ["ts", "line"], "template", CONTEXT)
     return durable(listed)  # training and scoring both read it
 
 

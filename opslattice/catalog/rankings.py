@@ -11,10 +11,10 @@ from opslattice.catalog.parsing import REPLICAS, TRANSFERS, flow_records
 from opslattice.functions import parsing as P
 from opslattice.operators import audit, detection, evaluation, graph, metrics
 from opslattice.operators import relational as R
-from opslattice.plans.runtime import durable
 from opslattice.operators.sessions import parse_log
 from opslattice.operators.timeseries import gap_to_previous
-from opslattice.plans.skew import history
+from opslattice.plans.runtime import durable
+from opslattice.plans.skew import history, split_bursts
 
 
 @query("w1_gap_to_previous", """SELECT event_id AS id, coalesce(lag(event_id) OVER w, -1) AS prev_id,
@@ -73,7 +73,7 @@ CONTEXTS = f"""SELECT len, ctx, template AS next, count(*) AS cnt FROM (
 @query("w7_rank_of_true_event", f"""SELECT ctx, next, cnt, rank() OVER (PARTITION BY ctx ORDER BY cnt DESC) - 1 AS rank,
     round(cnt / sum(cnt) OVER (PARTITION BY ctx), 6) AS p FROM ({CONTEXTS})""")
 def _(t):
-    listed = history(sequences(t), ["session"], "cell", ["ts", "line"], "template", 3)
+    listed = history(split_bursts(sequences(t), ["session"], "cell", ["ts", "line"]), ["session"], "cell", ["ts", "line"], "template", 3)
     model = detection.context_model(listed.filter("session % 3 <> 0"), "history", "template", [3, 2, 1, 0])
     return model.select("ctx", "next", "cnt", F.col("rank").cast("bigint").alias("rank"), F.round("p", 6).alias("p"))
 
