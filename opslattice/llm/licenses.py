@@ -9,6 +9,7 @@ already taken is dropped, so "licensed under the MIT license" hides the bare nam
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from re import _constants, _parser
 from typing import NamedTuple
 
@@ -225,13 +226,29 @@ def open_rules(words: bytes) -> list[Rule]:
     return [RULES[i] for i in sorted(i for first, group in _GROUPS.items() if has(first) for i in group if all(map(has, RULES[i].keywords)))]
 
 
+class _Cover:
+    """Intervals of which none contains another: starts and ends both rise."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def add(self, start: int, end: int) -> bool:
+        """False if an interval contains this one; otherwise it is added, and those that it contains go."""
+        at = bisect_right(self.starts, start)
+        if at and self.ends[at - 1] >= end:
+            return False
+        first = bisect_left(self.starts, start)
+        last = max(first, bisect_right(self.ends, end))
+        self.starts[first:last], self.ends[first:last] = [start], [end]
+        return True
+
+
 def detect(words: bytes) -> list[Find]:
     """Finds that no stronger find contains, by place. Offsets are bytes of the normalised text."""
     found = [(-r.priority, m.start() - m.end(), m.start(), m.end(), r) for r in open_rules(words) for m in r.pattern.finditer(words)]
-    kept: list[Find] = []
-    for _, _, start, end, rule in sorted(found, key=lambda f: f[:4]):
-        if not any(k.start <= start and end <= k.end for k in kept):
-            kept.append(Find(rule.label, start, end, rule.confidence))
+    cover = _Cover()
+    kept = [Find(rule.label, start, end, rule.confidence) for _, _, start, end, rule in sorted(found, key=lambda f: f[:4]) if cover.add(start, end)]
     return sorted(kept, key=lambda f: (f.start, f.end, f.label))
 
 

@@ -121,6 +121,28 @@ def test_license_signatures(text, labels):
     assert licenses.describe(text)[5] == labels
 
 
+def test_cover_equals_looking_at_all_intervals():
+    rng = random.Random(4)
+    for _ in range(300):
+        cover, kept = licenses._Cover(), []
+        for _ in range(rng.randint(1, 40)):
+            start = rng.randint(0, 20)
+            end = start + rng.randint(1, 12)
+            contained = any(a <= start and end <= b for a, b in kept)
+            assert cover.add(start, end) is not contained
+            if not contained:
+                kept.append((start, end))
+        assert cover.starts == sorted(set(cover.starts)) and cover.ends == sorted(set(cover.ends))
+
+
+def test_many_finds_take_time_in_proportion():
+    import time
+    text = "Licensed under the MIT License. Apache License 2.0, GPL version 3, all rights reserved. " * 4000
+    start = time.process_time()
+    finds = licenses.detect(licenses.normalised(text))
+    assert len(finds) >= 8000 and time.process_time() - start < 8
+
+
 def test_contained_finds_are_suppressed():
     words = licenses.normalised("Released under the MIT License. The MIT license is short.")
     assert [(f.label, words[f.start: f.end]) for f in licenses.detect(words)] == [("mit", b"released under the mit license"), ("mit", b"mit license")]
