@@ -95,19 +95,16 @@ class Encoder:
         if len(self._young) > _GENERATION:
             self._old, self._young = self._young, {}
         young, old = self._young, self._old
-        found = [list(map(young.get, chunks)) if chunks else [] for chunks in cut]
-        new = {c for chunks, ids in zip(cut, found) if None in ids for c, i in zip(chunks, ids) if i is None}
-        again = [c for c in new if c in old]
-        learned = {c: old[c] for c in again} | self._learn(list(new.difference(again)))
-        young.update(learned if max(map(len, learned), default=0) <= _LONGEST else {c: ids for c, ids in learned.items() if len(c) <= _LONGEST})
-        out = []
-        for text, chunks, ids in zip(texts, cut, found):
-            if chunks is None:
-                out.append(self._whole(text))
-            elif None in ids:
-                out.append(b"".join([learned[c] if i is None else i for c, i in zip(chunks, ids)]))
-            else:
-                out.append(b"".join(ids))
+        new = set().union(*filter(None, cut)).difference(young)
+        again = {c: old[c] for c in new if c in old}
+        learned = self._learn(list(new.difference(again)))
+        young.update(again)
+        young.update(learned)
+        ids = young.__getitem__
+        out = [self._whole(text) if chunks is None else b"".join(map(ids, chunks)) for text, chunks in zip(texts, cut)]
+        for chunk in learned:
+            if len(chunk) > _LONGEST:
+                del young[chunk]
         return out
 
     def __call__(self, texts: Iterable[str | None]) -> Iterator[bytes]:
