@@ -41,12 +41,15 @@ PORTS_PER_CELL = 256
 def range_join(rules: DataFrame, points: DataFrame, low: str, high: str, point: str) -> DataFrame:
     """Rules joined to the points inside [low, high] as an equi-join on 256-wide cells.
 
-    A rule spans at most 65536 / 256 cells, and each (rule, point) pair meets in one cell.
+    Only the distinct ranges are spread over the cells they touch, at most 65536 / 256 each; a range and a point meet in one cell, and the
+    rules join the points of their range. Spark sizes a broadcast by the rows before the spread, so both joins are merge joins.
     """
-    cells = F.sequence(F.floor(F.col(low) / PORTS_PER_CELL), F.floor(F.col(high) / PORTS_PER_CELL))
-    spread = rules.filter(F.col(low) <= F.col(high)).withColumn("_cell", F.explode(cells))
+    cells = F.sequence(F.floor(F.col("_low") / PORTS_PER_CELL), F.floor(F.col("_high") / PORTS_PER_CELL))
+    ranges = rules.filter(F.col(low) <= F.col(high)).select(F.col(low).alias("_low"), F.col(high).alias("_high")).distinct()
+    spread = ranges.withColumn("_cell", F.explode(cells))
     placed = points.withColumn("_cell", F.floor(F.col(point) / PORTS_PER_CELL))
-    return spread.join(placed, "_cell").filter(F.col(point).between(F.col(low), F.col(high))).drop("_cell")
+    met = spread.hint("merge").join(placed, "_cell").filter(F.col(point).between(F.col("_low"), F.col("_high"))).drop("_cell")
+    return rules.hint("merge").join(met, (F.col(low) == F.col("_low")) & (F.col(high) == F.col("_high"))).drop("_low", "_high")
 
 
 def result_difference(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -163,3 +163,14 @@ def test_golden_questions_of_every_kind(spark):
 def test_golden_set_query_asks_every_kind(spark):
     kinds = {r["type"] for r in QUERIES["e1_golden_set"](spark, "/root/testdata/sf0.001").collect()}
     assert kinds == {"block", "host", "host_one", "rack", "template", "missing", "source", "scanner", "signature"}
+
+
+def test_range_join_broadcasts_no_spread_ranges(spark):
+    rules = [(i, 7 * (i % 5), 60000 + i % 3) for i in range(40)] + [(0, 0, 60000), (None, None, 5), (8, 9, 3)]
+    ports = [(5, "a"), (5, "b"), (60001, "c"), (None, "d"), (256, "e")]
+    r = spark.createDataFrame(rules, "rule int, lo int, hi int")
+    joined = range_join(r, spark.createDataFrame(ports, "port int, name string"), "lo", "hi", "port")
+    assert joined.columns == ["rule", "lo", "hi", "port", "name"]
+    expected = [(*x, *p) for x in rules for p in ports if x[1] is not None and p[0] is not None and x[1] <= p[0] <= x[2]]
+    assert sorted(map(tuple, joined.collect())) == sorted(expected)
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
