@@ -207,7 +207,8 @@ def path_to(tree: DataFrame, source) -> DataFrame:
 def bounded_shortest_path(edges: DataFrame, pairs: DataFrame, limit: int = 4, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(src, dst, hops) for the pairs that are connected within `limit` hops; edges are undirected.
 
-    The search starts at both ends and the ends take turns. Two layers a and b steps away from the ends meet if and only if the ends are a + b
+    Pairs with a link of their own are found by looking the link up, before any layer is made. For the others the search starts at both
+    ends and the ends take turns. Two layers a and b steps away from the ends meet if and only if the ends are a + b
     hops apart or closer, and the first time they do they are a + b apart. A pair that has met leaves, and a layer is carried on only for ends that
     still have an open pair, so a round holds the layers of open pairs: half the radius instead of the whole.
     """
@@ -215,25 +216,43 @@ def bounded_shortest_path(edges: DataFrame, pairs: DataFrame, limit: int = 4, ho
     still = durable(pairs.select("src", "dst").dropna().distinct())
     met = durable(still.filter(F.col("src") == F.col("dst")).withColumn("hops", F.lit(0)))
     still = durable(still.filter(F.col("src") != F.col("dst")))
+    if limit < 1 or still.isEmpty():
+        return met
+    linked = durable(still.join(graph.links.select("src", "dst"), ["src", "dst"], "left_semi").withColumn("hops", F.lit(1)))
+    met = met.union(linked)
+    still = durable(still.join(linked, ["src", "dst"], "left_anti"))
     layers = {}
     for end in ("src", "dst"):
         layers[end] = (None, still.select(F.col(end).alias("root"), F.col(end).alias("id")).distinct())
     for hops in range(1, limit + 1):
+        if still.isEmpty():
+            break
         end, other = ("src", "dst") if hops % 2 else ("dst", "src")
         before, newest = layers[end]
         wanted = still.select(F.col(end).alias("root")).distinct()
         newest = newest.join(wanted, "root", "left_semi")
         layers[end] = (newest, durable(_next_layer(graph, newest, before)))
-        here = layers[end][1].select(F.col("root").alias(end), "id")
-        there = layers[other][1].select(F.col("root").alias(other), "id")
-        found = durable(still.join(here, end).join(there, [other, "id"]).select("src", "dst").distinct().withColumn("hops", F.lit(hops)))
+        if hops == 1:
+            continue
+        found = durable(_meeting(still, layers[end][1], layers[other][1], end, other).withColumn("hops", F.lit(hops)))
         met = met.union(found)
         still = durable(still.join(found, ["src", "dst"], "left_anti"))
-        if still.isEmpty():
-            break
     return met
 
 
+def _meeting(pairs: DataFrame, here: DataFrame, there: DataFrame, end: str, other: str) -> DataFrame:
+    """(src, dst): the pairs whose layers share a vertex. Each pair lists the smaller of its two layers and looks it up in the other."""
+    sized = pairs
+    for layer, name, size in ((here, end, "_here"), (there, other, "_there")):
+        sized = sized.join(layer.groupBy(F.col("root").alias(name)).agg(F.count(F.lit(1)).alias(size)), name)
+    parts = []
+    for listed, looked, a, b, least in ((here, there, end, other, F.col("_here") <= F.col("_there")),
+                                        (there, here, other, end, F.col("_here") > F.col("_there"))):
+        open_ = sized.filter(least).select("src", "dst").join(listed.select(F.col("root").alias(a), "id"), a)
+        parts.append(open_.join(looked.select(F.col("root").alias(b), "id"), [b, "id"], "left_semi").select("src", "dst"))
+    return parts[0].union(parts[1]).distinct()
+
+
 def weighted_degree(placement: DataFrame, item: str, member: str) -> DataFrame:
     """(id, degree): summed weights of a member's co-occurrence edges, without listing an edge.
 

@@ -221,3 +221,22 @@ def test_merge_keeps_the_last_written_properties(spark):
 
 def G_text(row):
     return ";".join(f"{k}={v}" for k, v in sorted(row["properties"].items()))
+
+
+def test_linked_pairs_need_no_layers(spark, monkeypatch):
+    made = []
+    layer = G._next_layer
+    monkeypatch.setattr(G, "_next_layer", lambda *a: made.append(a) or layer(*a))
+    edges = spark.createDataFrame([(i, j) for i in range(12) for j in range(i)], "src int, dst int")
+    pairs = spark.createDataFrame([(i, (i + 1) % 12) for i in range(12)] + [(3, 3), (2, 99)], "src int, dst int")
+    got = {tuple(r) for r in G.bounded_shortest_path(edges, pairs.filter("dst < 99"), 4).collect()}
+    assert got == {(i, (i + 1) % 12, 1) for i in range(12)} | {(3, 3, 0)} and not made
+    assert G.bounded_shortest_path(edges, pairs, 4).count() == 13 and len(made) == 4
+    assert G.bounded_shortest_path(edges, pairs, 0).collect() == [(3, 3, 0)]
+
+
+def test_a_pair_lists_its_smaller_layer(spark):
+    here = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 7), (3, 8)], "root int, id int")
+    there = spark.createDataFrame([(10, 49), (30, 8), (30, 9), (40, 60)], "root int, id int")
+    pairs = spark.createDataFrame([(1, 10), (1, 40), (2, 30), (3, 30), (5, 10)], "src int, dst int")
+    assert {tuple(r) for r in G._meeting(pairs, here, there, "src", "dst").collect()} == {(1, 10), (3, 30)}
