@@ -184,3 +184,21 @@ def test_durable_cuts_lineage(spark):
     df = durable(spark.range(10).withColumn("x", F.col("id") * 2))
     assert df.agg(F.sum("x")).first()[0] == 90
     assert "Range" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_unset_settings_leave_the_session_its_own(spark):
+    from opslattice.plans.runtime import UNSET_CONF, tune
+
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = {k: spark.conf.get(k, None) for k in UNSET_CONF}
+    try:
+        spark.conf.set(key, "3m")
+        for k in UNSET_CONF:
+            if k != key:
+                spark.conf.unset(k)
+        tune(spark)
+        assert spark.conf.get(key) == "3m"
+        assert all(spark.conf.get(k) == v for k, v in UNSET_CONF.items() if k != key)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
