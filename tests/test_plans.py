@@ -186,6 +186,16 @@ def test_durable_cuts_lineage(spark):
     assert "Range" not in df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_fanning_join_spreads_a_small_hot_key(spark):
+    rows = [(i % 3, i) for i in range(90)] + [(None, 7), (0, 3)]
+    lookup = [(k % 4, k) for k in range(20)] + [(None, 1)]
+    left, right = spark.createDataFrame(rows, "k int, a int"), spark.createDataFrame(lookup, "k int, b int")
+    joined = skew.fanning_join(left, right, ["k"], "a")
+    assert sorted((r["k"], r["a"], r["b"]) for r in joined.collect()) == sorted((k, a, b) for k, a in rows for x, b in lookup if k is not None and k == x)
+    shares = joined.groupBy(F.spark_partition_id()).count().collect()
+    assert joined.rdd.getNumPartitions() == skew.FAN_TASKS and max(r["count"] for r in shares) < joined.count() / 4
+
+
 def test_unset_settings_leave_the_session_its_own(spark):
     from opslattice.plans.runtime import UNSET_CONF, tune
 
