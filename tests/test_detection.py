@@ -2,6 +2,7 @@
 
 import math
 import random
+import threading
 
 import numpy as np
 import pytest
@@ -211,3 +212,26 @@ def test_boosted_triage_runs_300_rounds_on_separable_rows(spark):
     high = 1 / (1 + math.exp(-2 * margin))
     assert {r["y"]: round(r["score"], 6) for r in scored} == {True: round(high, 6), False: round(1 - high, 6)}
     assert all(r["flag"] == r["y"] for r in scored)
+
+
+def test_boosted_fits_run_side_by_side_on_dealt_rows(spark, monkeypatch):
+    assert [D.boosting_parts(n, 8) for n in (0, 50_000, 50_001, 10_000_000, 100_000_000)] == [1, 1, 2, 8, 50]
+    rng = random.Random(8)
+    rows = [(i, i * 7 % 300, rng.random() < 0.4) for i in range(300)]
+    flows = spark.createDataFrame(rows, "flow_id long, at long, alerted boolean").select(
+        "flow_id", F.timestamp_seconds("at").alias("start_ts"), "alerted",
+        *[(F.col("alerted").cast("int") * 3 + F.col("flow_id") % (i + 2)).alias(c) for i, c in enumerate(D.FLOW_FEATURES)])
+    plain = {r["flow_id"]: (r["score"], r["threshold"]) for r in D.boosted_triage(flows, "start_ts", "flow_id", "alerted", 2).collect()}
+    both, parts = threading.Barrier(2, timeout=60), []
+
+    class Meeting(D.GBTClassifier):
+        def fit(self, train):
+            both.wait()
+            parts.append(train.rdd.getNumPartitions())
+            return super().fit(train)
+
+    monkeypatch.setattr(D, "GBTClassifier", Meeting)
+    monkeypatch.setattr(D, "BOOST_ROWS", 100)
+    dealt = {r["flow_id"]: (r["score"], r["threshold"]) for r in D.boosted_triage(flows, "start_ts", "flow_id", "alerted", 2).collect()}
+    assert parts == [3, 3] and dealt.keys() == plain.keys() and len(dealt) == 90
+    assert all(math.isclose(a, b, abs_tol=1e-9) for i in dealt for a, b in zip(dealt[i], plain[i]))
