@@ -165,9 +165,10 @@ def fit_isolation_forest(train: DataFrame, columns: list[str], key: str, trees:
         return F.pmod(F.xxhash64(F.lit(seed), tree, "_k"), F.lit(1 << 40))
 
     rows = train.select(F.col(key).alias("_k"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
-    passed = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: ticket(tree) < int(share * (1 << 40)))
+    # exploded first: a plain filter is compiled, a filter inside an array is not
     drawn = (
-        rows.withColumn("tree", F.explode(passed))
+        rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+        .filter(ticket(F.col("tree")) < int(share * (1 << 40)))
         .withColumn("r", F.row_number().over(Window.partitionBy("tree").orderBy(ticket(F.col("tree")), "_k")))
         .filter(F.col("r") <= sample)
     )
@@ -186,31 +187,40 @@ def fit_isolation_forest(train: DataFrame, columns: list[str], key: str, trees:
     return [g.sort_values("node").reset_index(drop=True) for _, g in forest.groupby("tree")]
 
 
+def _walkable(tree: pd.DataFrame) -> tuple:
+    """(levels, feature, cut, children, length): leaves lead to themselves, so every row takes the same number of steps.
+
+    children holds the right and the left child of each node in turn, length the path length of a row that ends at the node.
+    """
+    left, right = tree["left"].to_numpy(), tree["right"].to_numpy()
+    inner = left >= 0
+    depth = np.zeros(len(tree), dtype=np.int64)
+    for node in np.flatnonzero(inner):  # children come after their parent
+        depth[[left[node], right[node]]] = depth[node] + 1
+    own = np.arange(len(tree))
+    children = np.stack([np.where(inner, right, own), np.where(inner, left, own)], axis=1).ravel()
+    feature = np.where(inner, tree["feature"].to_numpy(), 0)
+    return int(depth.max()), feature, tree["cut"].to_numpy(), children, depth + _unsuccessful_search(tree["size"].to_numpy())
+
+
 def score_isolation_forest(df: DataFrame, columns: list[str], forest: list[pd.DataFrame]) -> DataFrame:
-    """score = 2^(-mean depth / c); equal count vectors are scored once."""
+    """score = 2^(-mean depth / c)"""
     spark = df.sparkSession
     size = int(forest[0]["size"].iloc[0])
-    packed = [tuple(g[c].to_numpy() for c in ("left", "right", "feature", "cut", "size")) for g in forest]
-    shared = spark.sparkContext.broadcast(packed)  # at most trees * (2 * sample - 1) nodes
+    shared = spark.sparkContext.broadcast([_walkable(g) for g in forest])  # at most trees * (2 * sample - 1) nodes
     norm = float(_unsuccessful_search(size)) or 1.0
 
     @F.pandas_udf("double")
     def score(xs: pd.Series) -> pd.Series:
         x = np.array(xs.tolist(), dtype=float).reshape(len(xs), -1)
+        flat, start = x.ravel(), np.arange(len(x)) * x.shape[1]
         depth = np.zeros(len(x))
-        every = np.arange(len(x))
-        for left, right, feature, cut, count in shared.value:
+        for levels, feature, cut, children, length in shared.value:
             node = np.zeros(len(x), dtype=np.int64)
-            steps = np.zeros(len(x))
-            while True:
-                inner = left[node] >= 0
-                if not inner.any():
-                    break
-                f = np.where(inner, feature[node], 0)
-                below = x[every, f] <= cut[node]
-                node = np.where(inner, np.where(below, left[node], right[node]), node)
-                steps += inner
-            depth += steps + _unsuccessful_search(count[node])
+            for _ in range(levels):
+                below = flat.take(start + feature.take(node)) <= cut.take(node)
+                node = children.take(2 * node + below)
+            depth += length.take(node)
         return pd.Series(np.power(2.0, -depth / len(shared.value) / norm))
 
     return df.withColumn("score", score(F.array(*[F.col(c).cast("double") for c in columns])))

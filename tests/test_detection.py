@@ -235,3 +235,29 @@ def test_boosted_fits_run_side_by_side_on_dealt_rows(spark, monkeypatch):
     dealt = {r["flow_id"]: (r["score"], r["threshold"]) for r in D.boosted_triage(flows, "start_ts", "flow_id", "alerted", 2).collect()}
     assert parts == [3, 3] and dealt.keys() == plain.keys() and len(dealt) == 90
     assert all(math.isclose(a, b, abs_tol=1e-9) for i in dealt for a, b in zip(dealt[i], plain[i]))
+
+
+def test_forest_scores_equal_a_walk_from_node_to_node(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, *map(float, x)) for i, x in enumerate(np.round(rng.normal(size=(90, 3)), 1))] + [(90, None, 0.0, 9.0)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double")
+    forest = D.fit_isolation_forest(df.filter("a IS NOT NULL"), ["a", "b", "c"], "id", trees=7, sample=32)
+    got = {r["id"]: r["score"] for r in D.score_isolation_forest(df, ["a", "b", "c"], forest).collect()}
+    norm = float(D._unsuccessful_search(32))
+    for key, *x in rows:
+        depth = 0.0
+        for tree in forest:
+            nodes, at, steps = tree.to_dict("records"), 0, 0
+            while nodes[at]["left"] >= 0:
+                value = x[nodes[at]["feature"]]
+                at = nodes[at]["left" if value is not None and value <= nodes[at]["cut"] else "right"]
+                steps += 1
+            depth += steps + float(D._unsuccessful_search(nodes[at]["size"]))
+        assert math.isclose(got[key], 2 ** (-depth / 7 / norm), rel_tol=1e-12)
+
+
+def test_protocol_scores_rows_once(spark, monkeypatch):
+    read, whole = [], M.binary_metrics
+    monkeypatch.setattr(M, "binary_metrics", lambda df, *names: read.append(df.inputFiles()) or whole(df, *names))
+    QUERIES["d5_detector_protocol"](spark, "/root/testdata/sf0.001")
+    assert len(read) == 3 and all(read)
