@@ -212,3 +212,21 @@ def test_unset_settings_leave_the_session_its_own(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_tune_bounds_file_splits_unless_the_session_does(spark):
+    from opslattice.plans.runtime import tune
+
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        tune(spark)
+        assert spark.conf.get(key) == "32m"
+        spark.conf.set(key, "16m")
+        tune(spark)
+        assert spark.conf.get(key) == "16m"
+    finally:
+        spark.conf.unset(key)
+        if before is not None:
+            spark.conf.set(key, before)
