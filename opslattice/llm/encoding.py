@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from codecs import charmap_decode
 from collections.abc import Iterable, Iterator
 from struct import Struct, pack
 
@@ -13,23 +14,37 @@ import numpy as np
 _CHUNK = re.compile(r"\s*\S+|\s+")
 # Characters on whose class the two regex engines disagree; such a text is encoded in one go.
 _UNSURE = re.compile("[\x1c-\x1f᠎]")
-# A word of Latin letters with its blank, and a run of ASCII signs but for the apostrophe: one pre-token each.
-_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ƺǄ-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
-# How the vocabulary shows the bytes of those letters: bytes that are no printable Latin-1 character stand 256 and more places up.
-_SHOWN = {byte: 256 + i for i, byte in enumerate([*range(0x00, 0x21), *range(0x7F, 0xA1), 0xAD])}
+# A word of Latin letters with what stands for its beginning, and a run of ASCII signs but for the apostrophe: one pre-token each.
+_PLAIN = re.compile(r"([\0\n]?)([A-Za-zÀ-ÖØ-öø-ƺǄ-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+# How the vocabulary shows bytes: those that are no printable Latin-1 character stand 256 and more places up.
+_HIDDEN = [*range(0x00, 0x21), *range(0x7F, 0xA1), 0xAD]
+_SHOWN = "".join(chr(256 + _HIDDEN.index(byte)) if byte in _HIDDEN else chr(byte) for byte in range(256))
 _PACK = [Struct(f"<{n}I").pack for n in range(16)]
 _LONGEST = 40  # longer chunks are not remembered
 _GENERATION = 400_000  # chunks; two generations are kept
 _BATCH_CHARS = 1 << 20
 
 
-def _chunks(text: str) -> list[str] | None:
-    """The text in pieces that can be encoded one by one; None if it can't be cut."""
+def _key(chunk: str) -> str:
+    """The name that a chunk is remembered by: one blank and a word go by the word, all else has NUL before it."""
+    return chunk[1:] if chunk[0] == " " and chunk[1:] and chunk[1] != "\0" and not chunk[1].isspace() else "\0" + chunk
+
+
+def _chunk(key: str) -> str:
+    return key[1:] if key[0] == "\0" else key if key[0] == "\n" else " " + key
+
+
+def _keys(text: str) -> list[str] | None:
+    """Keys of the pieces of a text that can be encoded one by one; a line end and a word go by themselves. None if it can't be cut."""
     # One blank or line end between any two words and no other white space: then these are the places to cut at.
-    words, cuts = text.split(), text.count(" ") + text.count("\n")
+    words, lines = text.split(), text.count("\n")
+    cuts = text.count(" ") + lines
     if len(words) == cuts + 1 and sum(map(len, words)) + cuts == len(text) and "\0" not in text and "\u180e" not in text:
-        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-    return None if _UNSURE.search(text) else _CHUNK.findall(text)
+        if lines:
+            words = text.replace("\n", " \n").split(" ")
+        words[0] = "\0" + words[0]
+        return words
+    return None if _UNSURE.search(text) else list(map(_key, _CHUNK.findall(text)))
 
 
 class Encoder:
@@ -44,6 +59,7 @@ class Encoder:
         self.largest_id = max(self._tokenizer.get_vocab(with_added_tokens=True).values())
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
+        self._newline = self._whole("\n")
         self._signs: dict[str, bytes] = {}  # at most three characters: fewer than 32,000
 
     def _whole(self, text: str) -> bytes:
@@ -53,45 +69,50 @@ class Encoder:
         ids = [token.id for token in self._model.tokenize(piece)]
         return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else pack(f"<{len(ids)}I", *ids)
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of new chunks. Plain words go to the merges at once; the rest is cut by the vocabulary's own pre-tokenizer in one call."""
+    def _learn(self, keys: list[str]) -> dict[str, bytes]:
+        """Ids of new keys. Plain words go to the merges at once; the rest is cut by the vocabulary's own pre-tokenizer in one call."""
         out, others, merge, match = {}, [], self._merged, _PLAIN.fullmatch
         young, old, known = self._young.get, self._old.get, self._signs
-        for chunk in chunks:
-            if chunk.isascii() and chunk[1:].isalpha() and chunk[0] == " ":
-                out[chunk] = merge("Ġ" + chunk[1:])
+        for key in keys:
+            if key.isascii() and key.isalpha():
+                if key not in out:
+                    out[key] = merge("Ġ" + key)
                 continue
-            plain = match(chunk)
+            plain = match(key)
             if plain:
-                word, signs = plain.groups()
-                ids = young(word) or old(word) or out.get(word)
+                lead, word, signs = plain.groups()
+                base = "\0" + word if lead else word
+                ids = young(base) or old(base) or out.get(base)
                 if ids is None:
-                    shown = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(_SHOWN)
-                    ids = out[word] = merge("Ġ" + shown[1:] if word[0] == " " else shown)
+                    shown = word if word.isascii() else charmap_decode(word.encode("utf-8"), "strict", _SHOWN)[0]
+                    ids = out[base] = merge(shown if lead else "Ġ" + shown)
+                if lead == "\n":
+                    ids = self._newline + ids
                 if signs:
                     more = known.get(signs) or merge(signs)
                     if len(signs) <= 3:
                         known[signs] = more
                     ids = ids + more
-                out[chunk] = ids
+                out[key] = ids
             else:
-                others.append(chunk)
-        cut = [c for c in others if c and c[0].isspace() and not c[-1].isspace()]
-        out |= {c: self._whole(c) for c in set(others).difference(cut)}
-        ids, end, rest, chunk = [], 0, iter(cut), ""
-        for piece, (start, _) in self._tokenizer.pre_tokenizer.pre_tokenize_str("".join(cut)):
+                others.append(key)
+        cut = [(k, c) for k, c in zip(others, map(_chunk, others)) if c and c[0].isspace() and not c[-1].isspace()]
+        for key in set(others).difference(k for k, _ in cut):
+            out[key] = self._whole(_chunk(key))
+        ids, end, rest, key = [], 0, iter(cut), None
+        for piece, (start, _) in self._tokenizer.pre_tokenizer.pre_tokenize_str("".join(c for _, c in cut)):
             if start >= end:
-                if chunk:
-                    out[chunk] = pack(f"<{len(ids)}I", *ids)
-                chunk, ids = next(rest), []
+                if key is not None:
+                    out[key] = pack(f"<{len(ids)}I", *ids)
+                (key, chunk), ids = next(rest), []
                 end += len(chunk)
             ids += [token.id for token in self._model.tokenize(piece)]
-        if chunk:
-            out[chunk] = pack(f"<{len(ids)}I", *ids)
+        if key is not None:
+            out[key] = pack(f"<{len(ids)}I", *ids)
         return out
 
     def _batch(self, texts: list[str]) -> list[bytes]:
-        cut = [None if any(s in t for s in self._special) else _chunks(t) for t in texts]
+        cut = [None if any(s in t for s in self._special) else _keys(t) for t in texts]
         if len(self._young) > _GENERATION:
             self._old, self._young = self._young, {}
         young, old = self._young, self._old

@@ -50,7 +50,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, width: int) -> bytes:
         for frame in frames:
             yield pd.DataFrame({"ids": [_somewhere(_serialise(ids, width), width) for ids in encode(frame["text"].array)]})
 
-    drawn = hash_sample(id_and_text(docs).filter(F.length("text") > 0), "doc_id", SAMPLE_DOCS, "dictionary")
+    drawn = hash_sample(id_and_text(docs).filter(F.col("text") != ""), "doc_id", SAMPLE_DOCS, "dictionary")
     # A repeated id is drawn as a whole, so the number of rows is bounded here.
     samples = sorted(bytes(r["ids"]) for r in drawn.limit(2 * SAMPLE_DOCS).mapInPandas(sample, "ids binary").collect())
     try:

@@ -141,3 +141,19 @@ def test_packing_of_rough_rows(spark, rough, nothing, plain):
     full = packing.sequences(packed).collect()
     assert all(len(r["ids"]) == 4 * r["n_tokens"] <= 256 for r in full)
     assert packing.pack(nothing, VOCABULARY).collect() == []
+
+
+def test_a_word_is_merged_once_at_text_and_line_starts(plain):
+    class Counted:
+        def __init__(self, model):
+            self.model, self.pieces = model, Counter()
+
+        def tokenize(self, piece):
+            self.pieces[piece] += 1
+            return self.model.tokenize(piece)
+
+    encoder = Encoder(VOCABULARY)
+    encoder._model = counted = Counted(encoder._model)
+    text = "Grüße word\nGrüße, word!\nword\nGrüße"
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder([text])] == [plain(text)]
+    assert counted.pieces == Counter(["GrÃ¼ÃŁe", "Ġword", "word", ",", "!"])
