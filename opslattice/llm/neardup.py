@@ -132,6 +132,12 @@ def _buckets(reps: DataFrame) -> DataFrame:
     return staged(bands.join(chosen, "key"), "neardup-buckets")
 
 
+def _cards(signed: DataFrame, firsts: DataFrame, members: DataFrame) -> DataFrame:
+    """Sketches and texts of the classes that are in some bucket. Texts are most of what is shuffled, and every round shuffles the cards."""
+    wanted = firsts.join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+    return signed.select("doc_id", "fingerprint", "sketch", "body").join(wanted, ["doc_id", "fingerprint"], "left_semi").drop("fingerprint")
+
+
 def _groups(frames: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
     """Whole groups of rows with equal `by` from sorted batches; a group may cross the border of a batch."""
     rest = None
@@ -327,9 +333,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, block: int = BLOCK, hot_
     classes = staged(salted_join(one, first.drop("_n"), ["fingerprint"], "doc_id", "left", hot=many).select(
         "doc_id", "n_shingles", "fingerprint", F.coalesce("first", "doc_id").alias("first")), "neardup-classes")
     firsts = classes.filter("n_shingles > 0 AND doc_id = first").select("doc_id", "fingerprint")
-    reps = staged(signed.join(firsts, ["doc_id", "fingerprint"], "left_semi").select("doc_id", "sketch", "keys", "body"), "neardup-reps")
+    reps = staged(signed.select("doc_id", "fingerprint", "keys").join(firsts, ["doc_id", "fingerprint"], "left_semi").select("doc_id", "keys"), "neardup-reps")
     members = _buckets(reps)
-    cards = reps.select("doc_id", "sketch", "body")
+    cards = staged(_cards(signed, firsts, members), "neardup-cards")
     limit = most_differing_bits(percent / 100 - MARGIN)
     groups = staged(_first_round(members, cards, limit, percent, block), "neardup-groups")
     for further in (_second_round, _last_round):

@@ -99,3 +99,21 @@ def test_odd_sketches_tell_high_similarities():
         differing = int(np.bitwise_count(a ^ b).sum())
         estimate = 1 + neardup.BITS / (4 * neardup.SAMPLES) * np.log(1 - 2 * differing / neardup.BITS)
         assert abs(estimate - share) < 0.12
+
+
+def test_texts_outside_all_buckets_are_not_carried_on(spark, monkeypatch):
+    draw = random.Random(5)
+    texts = [" ".join("".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(40)) for _ in range(30)]
+    texts += [texts[3] + " more", texts[4] + " more", texts[4]]
+    carried, staged = {}, neardup.staged
+
+    def noted(df, label, *more):
+        out = staged(df, label, *more)
+        if "body" in out.columns:
+            carried[label] = sorted(r["doc_id"] for r in out.select("doc_id").collect())
+        return out
+
+    monkeypatch.setattr(neardup, "staged", noted)
+    assert found(neardup.near_duplicates(documents(spark, texts))) == brute_force(dict(enumerate(texts)))
+    del carried["neardup-signatures"]
+    assert carried == {"neardup-cards": [3, 4, 30, 31]}
