@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -84,8 +85,9 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, folder: str, width
     def compress(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, compressor = encoder(tokenizer), zstandard.ZstdCompressor(level=LEVEL, **_dictionary(data))
         for frame in frames:
+            encoded = encode(frame["text"].array)
             for at in range(0, len(frame), 1000):
-                ids = [i + end for i in encode(frame["text"].array[at: at + 1000])]
+                ids = [i + end for i in islice(encoded, 1000)]
                 yield pd.DataFrame({
                     "doc_id": frame["doc_id"].array[at: at + 1000], "tie": frame["tie"].array[at: at + 1000], "n_tokens": [len(i) // 4 for i in ids],
                     "frame": [compressor.compress(_serialise(i, width)) for i in ids]})

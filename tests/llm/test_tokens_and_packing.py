@@ -157,3 +157,35 @@ def test_a_word_is_merged_once_at_text_and_line_starts(plain):
     text = "Grüße word\nGrüße, word!\nword\nGrüße"
     assert [np.frombuffer(b, "<u4").tolist() for b in encoder([text])] == [plain(text)]
     assert counted.pieces == Counter(["GrÃ¼ÃŁe", "Ġword", "word", ",", "!"])
+
+
+def test_different_pieces_of_a_batch_are_looked_up_once(plain):
+    class Counted(dict):
+        looked_up = 0
+
+        def get(self, *key):
+            self.looked_up += 1
+            return super().get(*key)
+
+        def __getitem__(self, key):
+            self.looked_up += 1
+            return super().__getitem__(key)
+
+    encoder = Encoder(VOCABULARY)
+    encoder._young = counted = Counted(encoder._young)
+    texts = ["word, word word. " * 200 + "\nword", "", None, "word word"] * 50
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder(texts)] == [plain(t) for t in texts]
+    assert counted.looked_up < 50
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("aZé×÷Çȿɀª \n\t1'.-sd\x1c\x85\xa0\u2009\u2028\u3000\u180e—’я日\u0301😀\0\x7f"), max_size=30), max_size=5))
+def test_pieces_equal_whole_texts(plain, words, texts):
+    assert [np.frombuffer(b, "<u4").tolist() for b in words(texts)] == [plain(t) for t in texts]
+
+
+def test_each_character_between_others(plain):
+    encoder = Encoder(VOCABULARY)
+    for c in [*map(chr, range(0x300)), *map(chr, range(0x1670, 0x1690)), *map(chr, range(0x1FF0, 0x2070)), "\u180e", "\u3000", "\ufeff", "\ufffd"]:
+        texts = [a + c + b for a in ("", "a", "1", ",", "'", " ", "\n", "é", c) for b in ("", "a", "1", ",", "'s", " a", "\na", "é", "\u3000")]
+        assert [np.frombuffer(b, "<u4").tolist() for b in encoder(texts)] == [plain(t) for t in texts], hex(ord(c))
