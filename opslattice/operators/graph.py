@@ -11,7 +11,7 @@ from opslattice.functions.parsing import crosses_subnet, subnet16
 from opslattice.operators.relational import top_per_key
 from opslattice.operators.sessions import one_row
 from opslattice.plans.runtime import durable
-from opslattice.plans.skew import HOT_ROWS, hot_counts, hot_keys, pairs_within, replicate_rows, salt_rows, salted_join
+from opslattice.plans.skew import HOT_ROWS, hot_counts, hot_keys, pairs_within, replicate_rows, salt_rows, salted_join, with_salts
 
 
 def cooccurrence_edges(placement: DataFrame, item: str, member: str, labels: DataFrame | None = None,
@@ -253,14 +253,17 @@ def _meeting(pairs: DataFrame, here: DataFrame, there: DataFrame, end: str, othe
     return parts[0].union(parts[1]).distinct()
 
 
-def weighted_degree(placement: DataFrame, item: str, member: str) -> DataFrame:
+def weighted_degree(placement: DataFrame, item: str, member: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(id, degree): summed weights of a member's co-occurrence edges, without listing an edge.
 
     Every item adds the number of its other members. Members that never share an item have no edges and are absent.
     """
     base = placement.select(item, member).distinct()
-    sizes = base.groupBy(item).agg(F.count(F.lit(1)).alias("_size"))
-    return salted_join(base, sizes, [item], member).groupBy(F.col(member).alias("id")).agg(
+    # The sizes tell which items are hot, so they need no lookup among the hot ones.
+    sizes = with_salts(base.groupBy(item).agg(F.count(F.lit(1)).alias("_size")), "_size", hot_rows)
+    left = salt_rows(base, sizes.filter("_salts > 1").select(item, "_salts"), [item], F.col(member))
+    right = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    return left.join(right, [item, "_salt"]).groupBy(F.col(member).alias("id")).agg(
         F.sum(F.col("_size") - 1).alias("degree")).filter("degree > 0")
 
 

@@ -43,6 +43,14 @@ def _hot(counts: DataFrame, keys: list[str], rows: str, hot_rows: int, total: in
     return large.filter(F.col("_rows") >= F.col("_most")).select(*keys, "_rows", (F.ceil(F.col("_rows") / F.col("_most")) + 1).cast("int").alias("_salts"))
 
 
+def with_salts(counts: DataFrame, rows: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """counts, one row per key, with _salts: over how many values to spread the rows of the key, by the same measure; 1 if it is not hot."""
+    one = F.lit(1).alias("_one")
+    whole = counts.agg(F.greatest(F.lit(hot_rows), F.ceil(F.sum(rows) / SHARES)).alias("_most"), one)
+    salts = F.when(F.col(rows) >= F.col("_most"), F.ceil(F.col(rows) / F.col("_most")) + 1).otherwise(1)
+    return counts.withColumn("_one", one).join(F.broadcast(whole), "_one").withColumn("_salts", salts.cast("int")).drop("_one", "_most")
+
+
 def salt_rows(df: DataFrame, hot: DataFrame, keys: list[str], spread: Column) -> DataFrame:
     """Add _salt: rows of hot or null keys are spread, others get 0."""
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])

@@ -2,7 +2,7 @@
 
 import heapq
 import random
-from collections import deque
+from collections import Counter, deque
 
 import pytest
 from pyspark.sql import functions as F
@@ -240,3 +240,15 @@ def test_a_pair_lists_its_smaller_layer(spark):
     there = spark.createDataFrame([(10, 49), (30, 8), (30, 9), (40, 60)], "root int, id int")
     pairs = spark.createDataFrame([(1, 10), (1, 40), (2, 30), (3, 30), (5, 10)], "src int, dst int")
     assert {tuple(r) for r in G._meeting(pairs, here, there, "src", "dst").collect()} == {(1, 10), (3, 30)}
+
+
+def test_degrees_with_hot_items_null_items_and_repeats(spark):
+    placed = [(i % 3, i) for i in range(60)] + [(9, 1), (9, 2), (8, 77), (None, 5), (None, 6), (7, None), (7, 3)]
+    df = spark.createDataFrame(placed + placed[:9], "item int, member int")
+    expected = Counter()
+    for i, a in placed:
+        if i is not None:
+            expected[a] += sum(i == j for j, _ in placed) - 1
+    for hot_rows in (4, 1_000_000):
+        got = {r["id"]: r["degree"] for r in G.weighted_degree(df, "item", "member", hot_rows).collect()}
+        assert got == {a: n for a, n in expected.items() if n}
