@@ -261,3 +261,15 @@ def test_protocol_scores_rows_once(spark, monkeypatch):
     monkeypatch.setattr(M, "binary_metrics", lambda df, *names: read.append(df.inputFiles()) or whole(df, *names))
     QUERIES["d5_detector_protocol"](spark, "/root/testdata/sf0.001")
     assert len(read) == 3 and all(read)
+
+
+def test_risk_of_asked_keys_equals_that_of_all(spark):
+    rng = random.Random(6)
+    scores = spark.createDataFrame([(k, rng.random() < 0.4, rng.choice(["train", "test"])) for k in range(60)], "k int, y boolean, split string")
+    placed = sorted({(rng.randrange(58), rng.randrange(9)) for _ in range(200)})
+    placement = spark.createDataFrame([*placed, (70, 3), (None, 1)], "k int, host int")
+    whole = {r["k"]: r["host_risk"] for r in D.neighbour_risk(scores, placement, "k", "host").collect()}
+    some = scores.filter("k % 7 = 2")
+    repeated = placement.union(placement).join(some.select("k"), "k", "left_semi")
+    got = {r["k"]: r["host_risk"] for r in D.neighbour_risk(scores, placement, "k", "host", asked=(some, repeated)).collect()}
+    assert got == {k: r for k, r in whole.items() if k % 7 == 2} and len(got) == 9

@@ -57,3 +57,17 @@ def test_blocks_below_the_floor_are_not_scored(spark, monkeypatch):
     best = X.bm25_topk_indexed(X.bm25_index(d, "id", F.col("tokens"), same), terms, 2, block_docs=4)
     assert [(r["doc"]) for r in best.orderBy("rank").collect()] == [d for d, _ in brute_force(docs, {1: ["rare", "common"]}, 2)[1]]
     assert sum(sizes) < 100  # of 400 documents that share a term
+
+
+def test_report_rates_hosts_and_splits_blocks_once(spark, monkeypatch):
+    from opslattice.catalog import QUERIES, joins, reports
+
+    calls = {"binomial_hotspots": 0, "chrono_split": 0}
+    for module, name in ((reports.D, "binomial_hotspots"), (joins, "chrono_split")):
+        def counted(*args, _name=name, _whole=getattr(module, name), **more):
+            calls[_name] += 1
+            return _whole(*args, **more)
+
+        monkeypatch.setattr(module, name, counted)
+    QUERIES["x7_grounded_report"](spark, "/root/testdata/sf0.001")
+    assert calls == {"binomial_hotspots": 1, "chrono_split": 1}
