@@ -63,7 +63,9 @@ PATHS = f"""{rounds_sql(ROUNDS)}, p AS (SELECT v.id, v.dist, min(e.src) AS pred
 
 def path_tree(t: Tables):
     start = source_host(t).first()["source"]
-    return start, G.shortest_paths(host_edges(t).select("src", "dst", "weight"), start)
+    rows = t.sql("SELECT l_orderkey AS block_no, l_suppkey AS host FROM @lineitem")  # the edges take each placement once
+    edges = G.cooccurrence_edges(rows, "block_no", "host", t("order_labels"))
+    return start, G.shortest_paths(edges.select("src", "dst", "weight"), start)
 
 
 @query("h4_shortest_paths", f"{PATHS} SELECT v.id, round(v.dist, 9) AS dist, coalesce(p.pred, -1) AS pred FROM d{ROUNDS} v LEFT JOIN p USING (id)")

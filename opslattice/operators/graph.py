@@ -10,22 +10,25 @@ from pyspark.sql import functions as F
 from opslattice.functions.parsing import crosses_subnet, subnet16
 from opslattice.operators.relational import top_per_key
 from opslattice.operators.sessions import one_row
-from opslattice.plans.runtime import durable
+from opslattice.plans.runtime import durable, written
 from opslattice.plans.skew import HOT_ROWS, hot_counts, hot_keys, pairs_within, replicate_rows, salt_rows, salted_join, with_salts
 
 
 def cooccurrence_edges(placement: DataFrame, item: str, member: str, labels: DataFrame | None = None,
                        label: str = "is_anomaly", hot_rows: int = 10_000) -> DataFrame:
-    """Edges between members that share items: shared count n, anomalous share, weight 1/n.
+    """Edges between members that share items: shared count n, anomalous share, weight 1/n. The placement may repeat rows.
 
-    The label joins before pairing, while there is one row per placement.
+    The label joins before pairing, while there is one row per placement. Where no item is hot, rows are dealt by item once, for the
+    distinct ones, the label and the pairs.
     """
-    base = placement.select(item, member).distinct()
+    placed = placement.select(item, member).filter(F.col(item).isNotNull())
+    hot = not hot_keys(placed, [item], hot_rows).isEmpty()
+    base = (placed if hot else placed.repartition(item)).distinct()
     if labels is None:
         base = base.withColumn("_y", F.lit(False))
     else:
-        base = base.join(labels.select(item, F.col(label).alias("_y")), item)
-    pairs = pairs_within(base, item, member, ("_y",), hot_rows)
+        base = base.join(labels.select(item, F.col(label).alias("_y")).hint("shuffle_hash"), item)
+    pairs = pairs_within(base, item, member, ("_y",), hot_rows, split=hot)
     return (
         pairs.groupBy(F.col("a").alias("src"), F.col("b").alias("dst"))
         .agg(F.count(F.lit(1)).alias("n"), F.count_if("_y").alias("n_pos"))
@@ -93,8 +96,13 @@ class Adjacency(NamedTuple):
     links: DataFrame
     hubs: DataFrame
 
-    def around(self, frontier: DataFrame, vertex: str = "id") -> DataFrame:
-        """Columns of the frontier and of the links of its vertices; a row at a hub goes to each of the hub's salts."""
+    def around(self, frontier: DataFrame, vertex: str = "id", small: bool = False) -> DataFrame:
+        """Columns of the frontier and of the links of its vertices; a row at a hub goes to each of the hub's salts.
+
+        A small frontier is sent to the links, which then stay where they are.
+        """
+        if small:
+            return self.links.drop("_salt").join(F.broadcast(frontier.withColumn("src", F.col(vertex))), "src")
         copies = replicate_rows(frontier.withColumn("src", F.col(vertex)), self.hubs, ["src"])
         return copies.join(self.links, ["src", "_salt"]).drop("_salt")
 
@@ -133,6 +141,7 @@ def k_hop(edges: DataFrame, sources: DataFrame, k: int, hot_rows: int = HOT_ROWS
     return reached.withColumnRenamed("root", "source")
 
 
+FEW = 500_000  # vertices that are sent to all links at once; more are joined by a shuffle of the links
 SHORTCUTS = 8  # composed links that a vertex keeps per doubling
 TIE = 1e-12  # relative difference below which two path lengths are equal
 
@@ -150,22 +159,27 @@ def _composed(links: DataFrame, known: DataFrame) -> DataFrame:
 def shortest_paths(edges: DataFrame, source, hot_rows: int = HOT_ROWS, patience: int = 8) -> DataFrame:
     """(id, dist, pred) from one source over undirected edges with weight >= 0.
 
-    Relaxation rounds expand only vertices whose distance fell; hubs are split. After every `patience` rounds without an end
+    The edges are written once, in one direction. Relaxation rounds expand only vertices whose distance fell; up to FEW vertices are
+    sent to the links, for more the links are shuffled and hubs are split. After every `patience` rounds without an end
     pairs of links are composed to shortcuts, so that a round reaches twice as far and a long chain needs rounds in proportion to the
     logarithm of its length. Among equal paths the smallest predecessor wins; with shortcuts paths are equal if they differ by
     less than 1e-12 of their length, as sums then depend on the order of their terms.
     """
     spark = edges.sparkSession
-    graph = adjacency(edges, "weight", hot_rows=hot_rows)
-    links = graph.links.drop("_salt")
+    links = both_directions(written(edges.select("src", "dst", "weight"), "links"), "weight")
+    hubs = durable(hot_keys(links, ["src"], hot_rows))
+    graph = Adjacency(links.withColumn("_salt", F.lit(0)) if hubs.isEmpty() else salt_rows(links, hubs, ["src"], F.col("dst")), hubs)
     id_type = links.schema["src"].dataType.simpleString()
     start = spark.createDataFrame([(source, 0.0)], f"id {id_type}, d double")
-    known, changed, shortcuts, newest, rounds = start, start, None, links, 0
+    known, changed, shortcuts, newest, rounds, size, frontier = start, start, None, links, 0, 1, 1
     while True:
-        steps = graph.around(changed).select(F.col("dst").alias("id"), (F.col("d") + F.col("weight")).alias("d"))
+        steps = graph.around(changed, small=frontier <= FEW).select(F.col("dst").alias("id"), (F.col("d") + F.col("weight")).alias("d"))
         if shortcuts is not None:
             steps = steps.union(changed.join(shortcuts, changed["id"] == shortcuts["src"]).select(
                 F.col("dst").alias("id"), F.col("d") + F.col("weight")))
+        if size <= FEW:  # an offer that is no better need not be sent anywhere
+            steps = steps.join(F.broadcast(known.select("id", F.col("d").alias("_best"))), "id", "left").filter(
+                F.col("_best").isNull() | (F.col("d") < F.col("_best"))).drop("_best")
         offers = steps.groupBy("id").agg(F.min("d").alias("d"))
         merged = (
             known.select("id", "d", F.col("d").alias("old"))
@@ -175,17 +189,19 @@ def shortest_paths(edges: DataFrame, source, hot_rows: int = HOT_ROWS, patience:
         known = durable(merged)
         fell = F.col("d") < F.col("old") * (1 - (0 if shortcuts is None else TIE))
         changed = known.filter(F.col("old").isNull() | fell).select("id", "d")
-        if changed.isEmpty():
+        size, frontier = known.count(), changed.count()
+        if frontier == 0:
             break
         rounds += 1
         if rounds % patience == 0:
             newest = durable(_composed(newest, links if shortcuts is None else links.unionByName(shortcuts)))
             shortcuts = newest if shortcuts is None else shortcuts.unionByName(newest)
     reached = known.select("id", F.col("d").alias("dist"))
-    via = graph.around(reached.select("id", F.col("dist").alias("_via"))).select("src", "dst", "weight", "_via")
+    via = graph.around(reached.select("id", F.col("dist").alias("_via")), small=size <= FEW).select("src", "dst", "weight", "_via")
     length = F.col("_via") + F.col("weight")
     exact = length == F.col("dist") if shortcuts is None else F.abs(length - F.col("dist")) <= TIE * F.greatest(length, F.col("dist"))
-    preds = via.join(reached, via["dst"] == reached["id"]).filter(exact).groupBy("id").agg(F.min("src").alias("pred"))
+    ends = reached.select("id", "dist")
+    preds = via.join(F.broadcast(ends) if size <= FEW else ends, F.col("dst") == F.col("id")).filter(exact).groupBy("id").agg(F.min("src").alias("pred"))
     return reached.join(preds, "id", "left").select(
         "id", "dist", F.when(F.col("id") != F.lit(source), F.col("pred")).alias("pred"))
 

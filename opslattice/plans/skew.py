@@ -97,13 +97,17 @@ def fanning_join(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: st
 
 
 def pairs_within(
-    df: DataFrame, item: str, member: str, carry: tuple[str, ...] = (), hot_rows: int = 10_000
+    df: DataFrame, item: str, member: str, carry: tuple[str, ...] = (), hot_rows: int = 10_000, split: bool = True
 ) -> DataFrame:
     """(item, a, b, *carry) for members a < b of the same item; df holds distinct (item, member).
 
     Every row is an edge of the requested graph. A hot item is split over tasks by
-    member on one side and replicated on the other.
+    member on one side and replicated on the other. Where it is known that no item is hot, split = False joins by the item alone,
+    which needs no shuffle of rows that are dealt by item.
     """
+    if not split:
+        pairs = df.select(item, F.col(member).alias("a"), *carry).join(df.select(item, F.col(member).alias("b")), item)
+        return pairs.filter(F.col("a") < F.col("b")).select(item, "a", "b", *carry)
     hot = hot_keys(df, [item], hot_rows)
     left = salt_rows(df.select(item, member, *carry), hot, [item], F.col(member))
     right = replicate_rows(df.select(item, member), hot, [item])

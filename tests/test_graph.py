@@ -252,3 +252,62 @@ def test_degrees_with_hot_items_null_items_and_repeats(spark):
     for hot_rows in (4, 1_000_000):
         got = {r["id"]: r["degree"] for r in G.weighted_degree(df, "item", "member", hot_rows).collect()}
         assert got == {a: n for a, n in expected.items() if n}
+
+
+@pytest.mark.parametrize("hot_rows", [10_000, 4])
+def test_edges_of_repeated_hot_and_null_items(spark, hot_rows):
+    rng = random.Random(11)
+    placed = [(rng.randint(0, 12), rng.randint(0, 9)) for _ in range(80)]
+    bad = {i: rng.random() < 0.4 for i in range(12)}  # item 12 has no label
+    rows = spark.createDataFrame([*placed, *placed[:20], (None, 1), (None, 2), (3, None)], "item int, member int")
+    labels = spark.createDataFrame(list(bad.items()), "item int, is_anomaly boolean")
+    for known, kept in ((labels, set(bad)), (None, set(range(13)))):
+        expected = {}
+        for i, a in set(placed):
+            for b in {m for j, m in placed if j == i and m > a and i in kept}:
+                n, y = expected.get((a, b), (0, 0))
+                expected[a, b] = (n + 1, y + (known is not None and bad[i]))
+        got = G.cooccurrence_edges(rows, "item", "member", known, hot_rows=hot_rows).collect()
+        assert {(r["src"], r["dst"]): (r["n"], r["n_pos"]) for r in got} == expected and len(got) == len(expected)
+
+
+def test_placements_are_dealt_by_item_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(200).select((F.col("id") % 40).alias("item"), (F.col("id") % 7).alias("member"))
+        labels = spark.range(40).select(F.col("id").alias("item"), (F.col("id") % 3 == 0).alias("is_anomaly"))
+        plan = G.cooccurrence_edges(rows, "item", "member", labels)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # rows and labels once for either side of the pairs, which share them when the query runs, and the edges
+    assert plan.count("Exchange hashpartitioning") == 5 and "Exchange hashpartitioning(member" not in plan
+
+
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_paths_with_few_and_with_many_vertices(spark, monkeypatch, few):
+    monkeypatch.setattr(G, "FEW", few)
+    rng = random.Random(3)
+    edges = [(a, b, rng.choice([0.25, 0.5, 1.0])) for a, b in (rng.sample(range(40), 2) for _ in range(90))] + [(0, i, 2.0) for i in range(1, 30)]
+    adj = {}
+    for a, b, w in edges:
+        adj.setdefault(a, []).append((b, w))
+        adj.setdefault(b, []).append((a, w))
+    dist, heap = {}, [(0.0, 5)]
+    while heap:
+        d, u = heapq.heappop(heap)
+        if u not in dist:
+            dist[u] = d
+            for v, w in adj[u]:
+                heapq.heappush(heap, (d + w, v))
+    tree = G.shortest_paths(spark.createDataFrame(edges, "src int, dst int, weight double"), 5, hot_rows=20)
+    preds = {v: min(u for u, w in adj[v] if dist[u] + w == dist[v]) for v in dist if v != 5} | {5: None}
+    assert {r["id"]: (r["dist"], r["pred"]) for r in tree.collect()} == {v: (d, preds[v]) for v, d in dist.items()}
+
+
+def test_rounds_leave_the_links_where_they_are(spark, monkeypatch):
+    plans, durable = [], G.durable
+    monkeypatch.setattr(G, "durable", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or durable(df))
+    edges = spark.range(300).select((F.col("id") % 50).alias("src"), (F.col("id") * 7 % 61 + 100).alias("dst"), F.lit(1.0).alias("weight"))
+    assert G.shortest_paths(edges, 0, patience=100).count() > 50
+    rounds = [p for p in plans if "weight" in p]
+    assert rounds and all("SortMergeJoin" not in p and "Exchange hashpartitioning(src" not in p for p in rounds)
